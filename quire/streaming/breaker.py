@@ -1,0 +1,95 @@
+"""Circuit breaker over a stream of fetch attempts."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from quire.operators.logs import BREAK_FAILS, BREAK_WINDOW
+
+OUTPUT = "host string, us bigint, id bigint, ok boolean, state string"
+ROW = "us bigint, id bigint, ok boolean"
+STATE = "fails int, until bigint, drained bigint"
+
+
+class BreakerProcessor(StatefulProcessor):
+    """Holds the attempts of a host until the watermark has passed them, then folds them in order.
+
+    The state is a count and a time; the buffer spans the watermark delay. An attempt older than what
+    has been folded is given out as `late` and changes nothing.
+    """
+
+    def __init__(self, fails: int, window_us: int):
+        self.fails, self.window_us = fails, window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", STATE)
+        self.buffer = handle.getListState("buffer", ROW)
+
+    def _current(self):
+        return self.state.get() if self.state.exists() else (0, None, None)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        _, _, drained = self._current()
+        for batch in rows:
+            late = batch["us"] <= drained if drained is not None else pd.Series(False, index=batch.index)
+            if late.any():
+                yield batch.loc[late, ["us", "id", "ok"]].assign(host=key[0], state="late")[
+                    ["host", "us", "id", "ok", "state"]
+                ]
+            kept = batch.loc[~late, ["us", "id", "ok"]]
+            if len(kept):
+                self.buffer.appendList([(int(u), int(i), bool(o)) for u, i, o in kept.itertuples(index=False)])
+                self.handle.registerTimer(int(kept["us"].max() // 1000) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = int(timerValues.getCurrentWatermarkInMs()) * 1000
+        rows = sorted(self.buffer.get())
+        ready = [r for r in rows if r[0] <= upto]
+        if not ready:
+            return
+        fails, until, _ = self._current()
+        out = []
+        for us, id_, ok in ready:
+            if until is not None and us < until:
+                out.append((key[0], us, id_, ok, "refused"))
+                continue
+            until = None
+            fails = 0 if ok else fails + 1
+            state = "closed"
+            if fails >= self.fails:
+                fails, until, state = 0, us + self.window_us, "opened"
+            out.append((key[0], us, id_, ok, state))
+        self.state.update((fails, until, upto))
+        rest = [tuple(r) for r in rows[len(ready):]]
+        if rest:
+            self.buffer.put(rest)
+        else:
+            self.buffer.clear()
+        yield pd.DataFrame(out, columns=["host", "us", "id", "ok", "state"])
+
+    def close(self) -> None:
+        pass
+
+
+def breaker_stream(
+    fetch_log: DataFrame, delay: str = "10 minutes", fails: int = BREAK_FAILS, window: float = BREAK_WINDOW
+) -> DataFrame:
+    """States of a streaming fetch log (host, ts, id, ok); needs the RocksDB state store."""
+    rows = (
+        fetch_log.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", delay)
+        .select(F.col("host").cast("string").alias("host"), "ts", F.unix_micros("ts").alias("us"), "id", "ok")
+    )
+    folded = rows.groupBy("host").transformWithStateInPandas(
+        statefulProcessor=BreakerProcessor(fails, int(window * 1_000_000)),
+        outputStructType=OUTPUT,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    return folded.select("host", F.timestamp_micros("us").alias("ts"), "id", "ok", "state")
