@@ -54,8 +54,9 @@ def collapse_space(c: str | Column) -> Column:
 
 def split_lines(c: str | Column) -> Column:
     """Lines without their ends; a final line end opens no further line, empty text has none."""
-    parts = F.split(as_col(c), LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    text = as_col(c)
+    parts = F.split(F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def line_count(c: str | Column) -> Column:
@@ -105,11 +106,22 @@ def full_key(*parts: str | Column) -> Column:
 
 
 def size_mb(bytes_: str | Column) -> Column:
-    """`x.xMB`; empty when the size is missing, zero or no whole number."""
+    """`x.xMB`; empty when the size is missing, zero or no whole number.
+
+    Rounds the double `bytes / 1e6` as it is in binary, a true half to even; the built-in format rounds
+    its decimal text instead. 20x is split into 16x + 4x, whose rounding error is exact.
+    """
     raw = as_col(bytes_).cast("string")
-    whole = F.when(raw.rlike(r"^\s*[+-]?\d+\s*$"), raw.try_cast("bigint"))
-    label = F.format_string("%.1fMB", whole.cast("double") / F.lit(1e6))
-    return F.when(whole.isNull() | (raw == "") | (raw == "0"), "").otherwise(label)
+    n = F.when(raw.rlike(r"^\s*[+]?\d+\s*$"), F.trim(raw).try_cast("bigint"))
+    tenths, rest = F.floor(n / F.lit(100_000)), n % 100_000
+    x = n.cast("double") / F.lit(1e6)
+    total = x * 16.0 + x * 4.0
+    lost = x * 4.0 - (total - x * 16.0)
+    above = (total - (tenths * 2 + 1).cast("double")) + lost
+    up = (rest > 50_000) | ((rest == 50_000) & ((above > 0) | ((above == 0) & (tenths % 2 == 1))))
+    t = tenths + up.cast("bigint")
+    label = F.concat(F.floor(t / F.lit(10)).cast("string"), F.lit("."), (t % 10).cast("string"), F.lit("MB"))
+    return F.when(n.isNull() | (n == 0), "").otherwise(label)
 
 
 def size_kb(bytes_: str | Column) -> Column:

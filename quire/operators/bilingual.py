@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.rows import explode_rows
 from quire.functions.text import as_col, full_key, trans_direction
 from quire.operators.segment import paragraph_array
 
@@ -47,11 +48,11 @@ def bilingual(chapters: DataFrame, stored: DataFrame, keys: Sequence[str] = ("re
         "_paras", paragraph_array("text", "title")
     )
     joined = open_.withColumn("chapter_key", chapter_key(rel, idx, "direction", "text")).join(known, "chapter_key", "left")
-    fits = F.size("_trs") == F.size("_paras")
-    return joined.select(
-        rel, idx, "direction", F.coalesce(fits, F.lit(False)).alias("translated"),
-        F.posexplode(F.arrays_zip(F.col("_paras").alias("para"), F.when(fits, F.col("_trs")).alias("translation"))).alias("para_idx", "_p"),
-    ).select(
+    fits = F.coalesce(F.size("_trs") == F.size("_paras"), F.lit(False))
+    given = F.when(fits, F.col("_trs")).otherwise(F.array().cast("array<string>"))
+    zipped = F.arrays_zip(F.col("_paras").alias("para"), given.alias("translation"))
+    keyed = joined.withColumn("translated", fits)
+    return explode_rows(keyed, [rel, idx, "direction", "translated"], zipped, "para_idx", "_p").select(
         rel, idx, "direction", "translated", "para_idx", "_p.para", "_p.translation",
         F.concat_ws("\n", "_p.para", F.nullif("_p.translation", F.lit(""))).alias("block"),
     )

@@ -20,6 +20,7 @@ from quire.functions.html import (
     unescape_array,
     unescape_html,
 )
+from quire.functions.rows import explode_rows, settle
 from quire.functions.text import as_col, decode_title, is_blank, split_lines, strip
 
 INTRO_LENGTH = 120
@@ -48,7 +49,7 @@ def extract_cards(
 ) -> DataFrame:
     """Repeated cards of a page, one row each with its position; a card without an id is no record."""
     keys = [c for c in pages.columns if c != html]
-    cards = pages.select(*keys, F.posexplode(all_groups(F.col(html), card)).alias("card_idx", "_card"))
+    cards = explode_rows(pages, keys, all_groups(F.col(html), card), "card_idx", "_card")
     raw = cards.select(
         *keys,
         "card_idx",
@@ -102,7 +103,7 @@ def extract_links(
         & (F.lit(True) if own is None else F.contains(x["whole"], own)),
     )
     kept = F.array_distinct(F.transform(wanted, lambda x: F.struct(x["target"], x["label"])))
-    return clean_labels.select(*keys, F.posexplode(kept).alias("link_idx", "_l")).select(*keys, "link_idx", "_l.*")
+    return explode_rows(clean_labels, keys, kept, "link_idx", "_l").select(*keys, "link_idx", "_l.*")
 
 
 def region(html: str | Column, start: str, stop: str) -> Column:
@@ -137,7 +138,7 @@ def extract_region_links(
         ),
         lambda x: decode_title(x["t"]),
     )
-    return links.select(*keys, F.posexplode(F.array_distinct(names)).alias("link_idx", "title"))
+    return explode_rows(links, keys, F.array_distinct(names), "link_idx", "title")
 
 
 def extract_main_text(
@@ -164,7 +165,7 @@ def extract_main_text(
         F.translate(unescape_html("_plain"), "\u3000\r", " ").alias("_text"),
     )
     lines = F.filter(F.transform(split_lines("_text"), strip), lambda ln: ln != "")
-    return clear.select(*keys, "title", F.array_join(lines, "\n").alias("text"))
+    return settle(clear.select(*keys, "title", F.array_join(lines, "\n").alias("text")), "title", "text")
 
 
 def extract_cells(
@@ -261,9 +262,7 @@ def html_chapters(
     )
     parse = sections_nested(tuple(levels), tuple(junk))
     both = pieces.select(*keys, F.coalesce(parse(F.col("_hard")), native).alias("_sections"))
-    return both.select(*keys, F.posexplode("_sections").alias("chapter_idx", "_s")).select(
-        *keys, "chapter_idx", "_s.title", "_s.text"
-    )
+    return explode_rows(both, keys, "_sections", "chapter_idx", "_s").select(*keys, "chapter_idx", "_s.title", "_s.text")
 
 
 def prefix_sections(sections: str | Column, page: str | Column) -> Column:

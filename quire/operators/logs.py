@@ -92,7 +92,9 @@ def breaker_log(
     last = F.get("_prev", F.lit(0))["_us"]
     opens = F.when(last.isNull() | (F.col("_start") >= last + width), 1).otherwise(0)
     segments = cut_lineage(
-        running_sum_within(linked.drop("_prev").withColumn("_cut", opens), ["host"], order, F.col("_slot"), F.col("_cut"), "_segment").drop("_cut")
+        running_sum_within(
+            linked.withColumn("_cut", opens).drop("_prev"), ["host"], order, F.col("_slot"), F.col("_cut"), "_segment"
+        ).drop("_cut")
     )
     sizes = segments.groupBy("host", "_segment").agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > segment_limit).select("host", "_segment")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.rows import explode_rows
 from quire.functions.text import SPACE_CLASS, as_col, split_lines, strip
 
 # What a stand-alone heading line looks like, and the bare markers.
@@ -107,9 +108,7 @@ def with_rendered_chapters(books: DataFrame, content: str | Column = "content",
 
 def explode_chapters(books: DataFrame, chapters: str) -> DataFrame:
     keys = [c for c in books.columns if c != chapters]
-    return books.select(*keys, F.posexplode(chapters).alias("chapter_idx", "_c")).select(
-        *keys, "chapter_idx", "_c.title", "_c.text"
-    )
+    return explode_rows(books, keys, chapters, "chapter_idx", "_c").select(*keys, "chapter_idx", "_c.title", "_c.text")
 
 
 def split_headings(
@@ -188,7 +187,7 @@ def paragraph_array(text: str | Column, title: str | Column | None = None) -> Co
 
 def paragraphs(chapters: DataFrame, text: str = "text", title: str | None = "title") -> DataFrame:
     keys = [c for c in chapters.columns if c != text]
-    return chapters.select(*keys, F.posexplode(paragraph_array(text, title)).alias("para_idx", "para"))
+    return explode_rows(chapters, keys, paragraph_array(text, title), "para_idx", "para")
 
 
 def strip_boilerplate(

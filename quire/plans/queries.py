@@ -485,7 +485,7 @@ def q_store_upsert(spark, d):
     for batch, (rows, dead) in enumerate(
         [
             (docs, False),
-            (docs.join(labels, "id", "left_semi").withColumn("content", F.upper("content")), False),
+            (docs.join(labels, "id", "left_semi").withColumn("content", F.concat("content", F.lit("!"))), False),
             (docs.join(labels.filter("toxic = 1"), "id", "left_semi").select("source", "id"), True),
         ]
     ):
@@ -627,7 +627,7 @@ def _paras_and_memory(spark, d):
     lines = segment.paragraphs(texts, title=None).select("direction", "para").union(
         texts.select("direction", F.col("text").alias("para"))
     ).union(paras.filter(F.length("para") < SHORT_LINE).select("direction", "para"))
-    memory = lines.select("direction", F.sha1("para").alias("para_sha"), F.upper("para").alias("translation"))
+    memory = lines.select("direction", F.sha1("para").alias("para_sha"), F.concat(F.lit("* "), "para").alias("translation"))
     return paras, memory
 
 
@@ -639,7 +639,7 @@ def q_bilingual(spark, d):
     """Translations kept per chapter: those of assistant turns have one paragraph too few."""
     chapters = _chapters(spark, d).select(F.col("id").cast("string").alias("rel"), F.col("chapter_idx"), "title", "text")
     direction = bi.chapter_direction("title", "text")
-    trs = F.transform(segment.paragraph_array("text", "title"), F.upper)
+    trs = F.transform(segment.paragraph_array("text", "title"), lambda p: F.concat(F.lit("* "), p))
     stored = chapters.select(
         bi.chapter_key("rel", "chapter_idx", direction, "text").alias("chapter_key"),
         F.when(F.col("title") == "assistant", F.slice(trs, F.lit(1), F.greatest(F.size(trs) - 1, F.lit(0)))).otherwise(trs).alias("translations"),

@@ -131,6 +131,9 @@ def direction(x: str) -> str:
     return f"CASE WHEN len(regexp_extract_all({x}, '[A-Za-z]{{2,}}')) >= 15 THEN 'en2zh' ELSE 'zh2en' END"
 
 
+MEMBER = "'<h1>' || role || '</h1>' || repeat(chr(10), 4) || '<p>' || text || '</p>'"
+NEWLINES = r"\n{3,}"
+
 SQL: dict[str, str] = {
     "strip_tags": f"SELECT page_id, {one_line(unescape(tagless(drop_blocks('html'))))} AS text FROM pages",
     "page_links": f"""WITH {LINKS.format(html='html')},
@@ -184,7 +187,7 @@ SELECT id, chapter_idx, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '
     "book_manifest": f"""WITH c AS (SELECT conv_id AS id, turn AS chapter_idx, role, role = 'assistant' OR {strip('text')} = '' AS blank,
   min(turn) OVER (PARTITION BY conv_id) AS first, bool_and(role = 'assistant' OR {strip('text')} = '') OVER (PARTITION BY conv_id) AS allb FROM conversations),
 k AS (SELECT id, chapter_idx, role, row_number() OVER (PARTITION BY id ORDER BY chapter_idx) AS play_order FROM c WHERE NOT blank OR (allb AND chapter_idx = first))
-SELECT id, chapter_idx, play_order, 'chap' || play_order AS item_id, 'chap_' || lpad(CAST(play_order AS VARCHAR), greatest(length(CAST(play_order AS VARCHAR)), 4), '0') || '.xhtml' AS href, role AS label FROM k""",
+SELECT id, chapter_idx, play_order, 'chap' || play_order AS item_id, 'chap_' || lpad(CAST(play_order AS VARCHAR), CAST(greatest(length(CAST(play_order AS VARCHAR)), 4) AS INT), '0') || '.xhtml' AS href, role AS label FROM k""",
     "strip_dup_heading": f"""SELECT conv_id AS id, turn AS chapter_idx, role AS title,
   CASE WHEN len({lines('text')}) = 0 THEN role || chr(10) || text ELSE {strip(f"array_to_string({lines('text')}, chr(10))")} END AS text FROM conversations""",
     "paragraphs": f"""WITH p AS (SELECT doc_id, list_filter({paras('text')}, lambda y: y <> source AND y <> '《' || source || '》') AS ps FROM documents)
@@ -253,16 +256,16 @@ WHERE source IN (SELECT source FROM documents WHERE lang = 'es') AND right(sourc
   'txt' AS format_hint FROM part WHERE p_type <> 'ECONOMY'""",
     "wiki_json": f"""SELECT lang || ' ' || doc_id AS id, 'https://zh.example.org/wiki/' || lang || '_' || doc_id AS url,
   left({one_line(unescape(tagless("'<span>&quot;' || text || '</span>'")))}, 120) AS subtitle, CAST(doc_id AS VARCHAR) AS pageid FROM documents WHERE n_chars > 300""",
-    "book_members": f"""WITH m AS (SELECT conv_id AS book, turn, role, {strip(f"regexp_replace({tagless(chr(39) + '<h1>' + chr(39) + ' || role || ' + chr(39) + '</h1>' + chr(39) + ' || repeat(chr(10), 4) || ' + chr(39) + '<p>' + chr(39) + ' || text || ' + chr(39) + '</p>' + chr(39))}, '\\n{{3,}}', chr(10) || chr(10), 'g')")} AS t,
+    "book_members": f"""WITH m AS (SELECT conv_id AS book, turn, role, {strip(f"regexp_replace({tagless(MEMBER)}, '{NEWLINES}', repeat(chr(10), 2), 'g')")} AS t,
   bool_or(role = 'assistant') OVER (PARTITION BY conv_id) AS spine FROM conversations),
-k AS (SELECT book, CASE WHEN spine THEN 1000 - turn ELSE turn END AS at, role AS title, ltrim(substr(t, length(role) + 1), chr(10)) AS text FROM m WHERE NOT spine OR role = 'assistant')
-SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY at) - 1 AS INT) AS chapter_idx, title, text FROM k""",
+k AS (SELECT book, CASE WHEN spine THEN 1000 - turn ELSE turn END AS place, role AS title, ltrim(substr(t, length(role) + 1), chr(10)) AS text FROM m WHERE NOT spine OR role = 'assistant')
+SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY place) - 1 AS INT) AS chapter_idx, title, text FROM k""",
     "file_paths": "SELECT p_partkey, p_name AS title, p_type AS folder, p_name || '.TXT' AS base FROM part",
     "split_cached": "SELECT source, doc_id AS id, doc_id IN (SELECT doc_id FROM labels) AS cached FROM documents",
     "pending_requests": "SELECT source, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "delete_books": "SELECT source, doc_id AS id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "store_upsert": """SELECT source, CAST(d.doc_id AS VARCHAR) AS id, left(sha1(source || '|' || d.doc_id), 24) AS store_key, CAST(n_chars AS INT) AS chars,
-  md5(CASE WHEN l.doc_id IS NULL THEN text ELSE upper(text) END) AS digest, CAST(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS batch_id
+  md5(CASE WHEN l.doc_id IS NULL THEN text ELSE text || '!' END) AS digest, CAST(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS batch_id
 FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id WHERE coalesce(l.toxic, 0) <> 1""",
     "resume_plan": """WITH c AS (SELECT l_orderkey, max(l_linenumber) AS idx FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
 SELECT l_orderkey AS id, l_linenumber AS pos FROM lineitem LEFT JOIN c USING (l_orderkey) WHERE l_linenumber > coalesce(idx, -1)""",
@@ -314,10 +317,10 @@ SELECT event_id, outcome, outcome = 'ok' AS ok, outcome IN ('network', 'rate_lim
 q AS (SELECT doc_id, direction, CAST(unnest(generate_series(1, len(ps))) - 1 AS INT) AS para_idx, unnest(ps) AS para FROM d),
 b AS (SELECT text, {direction('text')} AS direction, {paras('text')} AS ps FROM benchmark),
 m AS (SELECT direction, unnest(ps) AS para FROM b UNION SELECT direction, text FROM b UNION SELECT direction, para FROM q WHERE length(para) < 25)
-SELECT doc_id, direction, para_idx, para, CASE WHEN m.para IS NOT NULL THEN upper(q.para) END AS translation FROM (SELECT * FROM q) q LEFT JOIN m USING (direction, para)""",
+SELECT doc_id, direction, para_idx, para, CASE WHEN m.para IS NOT NULL THEN '* ' || q.para END AS translation FROM (SELECT * FROM q) q LEFT JOIN m USING (direction, para)""",
     "bilingual": f"""WITH c AS (SELECT conv_id, turn, role, {direction("role || chr(10) || text")} AS direction, list_filter({paras('text')}, lambda y: y <> role AND y <> '《' || role || '》') AS ps FROM conversations),
 q AS (SELECT conv_id, turn, role, direction, unnest(ps) AS para, generate_subscripts(ps, 1) AS i FROM c)
 SELECT CAST(conv_id AS VARCHAR) AS rel, turn AS chapter_idx, direction, role <> 'assistant' AS translated, CAST(i - 1 AS INT) AS para_idx,
-  CASE WHEN role <> 'assistant' THEN para || chr(10) || upper(para) ELSE para END AS block FROM q""",
+  CASE WHEN role <> 'assistant' THEN para || chr(10) || '* ' || para ELSE para END AS block FROM q""",
     "ingest_stream": f"WITH {MAIN_TEXT} SELECT {HOST} AS source, page_id AS id, title, text AS content FROM main WHERE {strip('text')} <> ''",
 }
