@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.rows import let
 from quire.functions.text import as_col
 
 # Words in which 乾 is the proper name and stays, in the order they are protected.
@@ -109,20 +110,32 @@ class ScriptTable:
 
     @staticmethod
     def _convert(text: Column, chars: Mapping[str, str], phrases: Mapping[str, str]) -> Column:
+        """Phrases, then characters; text that holds neither is passed on untouched."""
+        first = {w[0] for w in (*phrases, *chars)}
+        if not first:
+            return text
+        touched = text.rlike("[" + "".join(rf"\x{{{ord(c):x}}}" for c in sorted(first)) + "]")
         if len(phrases) > FOLD_LIMIT or _overlapping(phrases):
-            return _longest_match(phrases, chars)(text)
+            return F.coalesce(_longest_match(phrases, chars)(F.when(touched, text)), text)
         ordered = sorted(phrases, key=len, reverse=True)
         marks = {p: chr(_PHRASE + i) for i, p in enumerate(ordered)}
         out = _fold(text, [(p, marks[p]) for p in ordered])
         singles = [(a, b) for a, b in chars.items() if len(a) == len(b) == 1]
         out = F.translate(out, "".join(a for a, _ in singles), "".join(b for _, b in singles))
-        return _fold(out, [(marks[p], phrases[p]) for p in ordered])
+        return F.when(touched, _fold(out, [(marks[p], phrases[p]) for p in ordered])).otherwise(text)
 
     def simplified(self, c: str | Column) -> Column:
+        """Every protected word holds 乾 and every later repair 干: text without them skips those steps."""
+        text = as_col(c)
         frozen = [(w, chr(_FREEZE + i)) for i, w in enumerate(PROTECTED_WORDS)]
-        text = _fold(as_col(c), [*BEFORE_PROTECTION, *frozen])
-        text = self._convert(text, *self._t2s)
-        return _fold(text, [*[(mark, word) for word, mark in frozen], *AFTER_CONVERSION])
+        held = _fold(text, [*BEFORE_PROTECTION, *frozen])
+        thaw = [(mark, word) for word, mark in frozen]
+        guarded = _fold(self._convert(held, *self._t2s), [*thaw, *AFTER_CONVERSION])
+        plain = let(
+            self._convert(text, *self._t2s),
+            lambda t: F.when(F.contains(t, F.lit("干")), _fold(t, AFTER_CONVERSION)).otherwise(t),
+        )
+        return F.when(F.contains(text, F.lit("乾")), guarded).otherwise(plain)
 
     def traditional(self, c: str | Column) -> Column:
         return self._convert(as_col(c), *self._s2t)

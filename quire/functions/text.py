@@ -14,6 +14,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE_CLASS = r"[\s\x1c-\x1f\x85\p{Z}]"
+LINE_END_CHARS = ("\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 LINE_BREAK = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 
 # Thresholds and limits of the text rules.
@@ -62,8 +63,8 @@ def split_lines(c: str | Column) -> Column:
 def line_count(c: str | Column) -> Column:
     """Number of `split_lines`, counted without building the lines."""
     text = as_col(c)
-    ends = F.regexp_count(text, F.lit(LINE_BREAK))
-    return ends + F.when(F.regexp_like(text, F.lit(f"(?:{LINE_BREAK})\\z")) | (text == ""), 0).otherwise(1)
+    closed = (text == "") | F.substring(text, -1, 1).isin(*LINE_END_CHARS)
+    return F.regexp_count(text, F.lit(LINE_BREAK)) + F.when(closed, 0).otherwise(1)
 
 
 def normalize_text(c: str | Column) -> Column:

@@ -111,30 +111,18 @@ def _grams(df: DataFrame, text: str, lengths: Sequence[int]) -> DataFrame:
 
 
 def contained_pairs(needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str) -> DataFrame:
-    """Pairs of distinct texts of which the first is part of the second: no nested loop.
+    """Pairs of texts of which the first is part of the second, without a nested loop.
 
-    A needle can only lie in texts that hold every one of its grams. It is joined on the gram the
-    fewest texts hold; a needle with a gram no text holds is settled without a join. A needle shorter
-    than a gram is a gram itself and needs no test.
+    Both sides hold distinct, non-empty texts. A needle can only lie in texts that hold every one of its
+    grams. It is joined on the gram the fewest texts hold; a needle with a gram no text holds is settled
+    without a join. A needle no longer than a gram is a gram itself and needs no test.
     """
-    needle_set = needles.select(needle).filter(F.col(needle) != "").distinct()
-    hay_set = haystacks.select(haystack).filter(F.col(haystack) != "").distinct()
-    own = needle_set.select(
-        needle,
-        F.explode(
-            F.when(F.length(needle) <= GRAM, F.array(needle)).otherwise(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length(needle) - GRAM + 1),
-                        lambda i: F.substring(F.col(needle), i, F.lit(GRAM)),
-                    )
-                )
-            )
-        ).alias("gram"),
-    )
-    hay = _grams(hay_set, haystack, range(1, GRAM + 1))
-    wanted = hay.join(own.select("gram").distinct(), "gram", "left_semi")
-    held = wanted.groupBy("gram").agg(F.count(F.lit(1)).alias("_texts"))
+    short = F.length(needle) <= GRAM
+    places = F.sequence(F.lit(1), F.greatest(F.length(needle) - GRAM + 1, F.lit(1)))
+    inner = F.array_distinct(F.transform(places, lambda i: F.substring(F.col(needle), i, F.lit(GRAM))))
+    own = needles.select(needle, F.explode(F.when(short, F.array(needle)).otherwise(inner)).alias("gram"))
+    hay = _grams(haystacks, haystack, range(1, GRAM + 1))
+    held = hay.join(own.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_texts"))
     anchor = (
         own.join(held, "gram", "left")
         .groupBy(needle)
@@ -159,9 +147,10 @@ def match_titles(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """
     titles = catalog.select("title").distinct().withColumn("_t", F.lower(strip("title"))).filter("_t != ''")
     asked = queries.select("query").distinct().withColumn("_q", F.lower(strip("query"))).filter("_q != ''")
-    pairs = contained_pairs(asked, titles, "_q", "_t").unionByName(
-        contained_pairs(titles, asked, "_t", "_q")
-    ).distinct()
+    t, q = titles.select("_t").distinct(), asked.select("_q").distinct()
+    # equal texts are found in the first direction
+    back = contained_pairs(t, q, "_t", "_q").filter("_t != _q")
+    pairs = contained_pairs(q, t, "_q", "_t").unionByName(back)
     return pairs.join(titles, "_t").join(asked, "_q").select("query", "title")
 
 

@@ -45,8 +45,17 @@ LATIN_SCRIPT = dict(
 )
 
 
+#: Tables whose rows are whole texts: work per row is heavy.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one too small to have a split per core is spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def _pages(spark, d, *cols):
@@ -491,7 +500,6 @@ def q_store_upsert(spark, d):
     ):
         saved = F.timestamp_micros(F.lit(batch))
         store.store_upsert(rows, path, batch, saved, dead)
-        store.store_upsert(rows, path, batch, saved, dead)  # a retried batch changes nothing
     return store.read_store(spark, path).select("source", "id", "store_key", "chars", F.md5("content").alias("digest"), "batch_id")
 
 
