@@ -109,13 +109,16 @@ def render_txt(
 
 
 def write_txt(rendered: DataFrame, path: str, file_name: str = "file_name") -> None:
-    """One folder per book holding its parts in order."""
+    """One folder per book holding its parts in order.
+
+    The text sink ends every value with a line feed, so the last one of the content is left to it; a
+    text without a final line feed gets one.
+    """
     (
-        rendered.select(file_name, "part", F.col("content").alias("value"))
+        rendered.select(file_name, "part", F.regexp_replace("content", r"\n\z", "").alias("value"))
         .repartition(file_name, "part")
         .write.mode("overwrite")
         .partitionBy(file_name, "part")
-        .option("lineSep", "")
         .text(path)
     )
 

@@ -107,7 +107,8 @@ def with_rendered_chapters(books: DataFrame, content: str | Column = "content",
 
 
 def explode_chapters(books: DataFrame, chapters: str) -> DataFrame:
-    keys = [c for c in books.columns if c != chapters]
+    """One row per chapter; the title and the text are those of the chapter."""
+    keys = [c for c in books.columns if c not in (chapters, "chapter_idx", "title", "text")]
     return explode_rows(books, keys, chapters, "chapter_idx", "_c").select(*keys, "chapter_idx", "_c.title", "_c.text")
 
 

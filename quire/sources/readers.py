@@ -168,8 +168,8 @@ def scan_library(spark: SparkSession, path: str) -> DataFrame:
         .select("path", "length", "modificationTime")
     )
     name = F.substring_index("path", "/", -1)
-    root = F.lit(path.rstrip("/") + "/")
-    rel = F.substring_index("path", root, -1)
+    root = path.rstrip("/") + "/"
+    rel = F.substring("path", F.instr("path", root) + len(root), F.length("path"))
     return files.filter(
         ~name.startswith(".") & (F.lower(name).rlike(r"\.(?:txt|epub)\z") | name.endswith(".txt.part"))
     ).select(rel.alias("rel"), "length", "modificationTime")
