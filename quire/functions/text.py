@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,7 +90,7 @@ def trans_direction(c: str | Column, threshold: int = LATIN_WORDS_FOR_ENGLISH) -
 def is_challenge(c: str | Column, marks: Sequence[str] = CHALLENGE_MARKS) -> Column:
     """Does the head of the page carry a human-verification phrase?"""
     head = F.lower(F.substring(as_col(c), 1, CHALLENGE_HEAD))
-    return head.rlike("|".join(rf"\Q{m}\E" for m in marks))
+    return reduce(or_, [F.contains(head, F.lit(m)) for m in marks])
 
 
 def sanitize_filename(c: str | Column) -> Column:

@@ -242,7 +242,9 @@ def translate_queries(
     """
     known = titles.groupBy("zh").agg(F.min("en").alias("_en"))
     asks = (has_cjk("query") if needs is None else needs) & F.col("source").isin(*foreign)
-    looked = queries.withColumn("_key", F.when(asks, F.col("query"))).join(
+    # rows not looked up get keys of their own: a shared null would gather them in one task
+    own_key = F.concat(F.lit("\x00"), F.xxhash64(*queries.columns).cast("string"))
+    looked = queries.withColumn("_key", F.when(asks, F.col("query")).otherwise(own_key)).join(
         known, F.col("_key") == F.col("zh"), "left"
     )
     return looked.select(

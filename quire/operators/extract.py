@@ -71,12 +71,11 @@ def extract_links(
     own: Column | None = None,
     clean: str = "title",
     html: str | Column = "html",
-    keep_target=None,
 ) -> DataFrame:
     """Ordered links of a page: blank labels dropped, the first of equal (target, label) kept.
 
-    `own` is a pattern the whole match has to satisfy as a column per page, e.g. the path of the book
-    the contents page belongs to; `keep_target` rewrites targets before equality is tested.
+    `own` is a text per page that the whole match has to hold, e.g. the path of the book the contents
+    page belongs to.
     """
     source = as_col(html)
     drop = [html] if isinstance(html, str) else []
@@ -85,24 +84,17 @@ def extract_links(
         *keys,
         all_groups(source, pattern, target).alias("_targets"),
         F.transform(all_groups(source, pattern, label), remove_tags).alias("_raw"),
-        all_groups(source, pattern, 0).alias("_whole"),
+        *([] if own is None else [all_groups(source, pattern, 0).alias("_whole")]),
     )
-    clean_labels = base.select(*keys, "_targets", "_whole", unescape_array("_raw").alias("_labels"))
-    cleaner = CLEANERS[clean]
-    rewrite = keep_target or (lambda t: t)
+    whole = [] if own is None else ["_whole"]
+    clean_labels = base.select(*keys, "_targets", *whole, unescape_array("_raw").alias("_labels"))
+    matches = F.arrays_zip("_targets", "_labels", *whole)
+    if own is not None:
+        matches = F.filter(matches, lambda x: F.contains(x["_whole"], own))
     pairs = F.transform(
-        F.arrays_zip("_targets", "_labels", "_whole"),
-        lambda x: F.struct(
-            rewrite(x["_targets"]).alias("target"), cleaner(x["_labels"]).alias("label"), x["_whole"].alias("whole")
-        ),
-    )
-    wanted = F.filter(
-        pairs,
-        lambda x: x["target"].isNotNull()
-        & (x["label"] != "")
-        & (F.lit(True) if own is None else F.contains(x["whole"], own)),
+        matches, lambda x: F.struct(x["_targets"].alias("target"), CLEANERS[clean](x["_labels"]).alias("label"))
     )
-    kept = F.array_distinct(F.transform(wanted, lambda x: F.struct(x["target"], x["label"])))
+    kept = F.array_distinct(F.filter(pairs, lambda x: x["target"].isNotNull() & (x["label"] != "")))
     return explode_rows(clean_labels, keys, kept, "link_idx", "_l").select(*keys, "link_idx", "_l.*")
 
 

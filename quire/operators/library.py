@@ -38,7 +38,8 @@ def shelf(files: DataFrame, progress: DataFrame, counts: DataFrame) -> DataFrame
         F.when(is_part, "txt").otherwise(F.lower(F.substring_index(name, ".", -1))).alias("format"),
     )
     finished = listed.filter("not partial").select(F.col("rel").alias("_finished")).distinct()
-    target = F.when(F.col("partial"), F.concat("title", F.lit(".txt")))
+    # finished books look for nothing; a key of their own keeps them apart in the shuffle
+    target = F.when(F.col("partial"), F.concat("title", F.lit(".txt"))).otherwise(F.concat(F.lit("\x00"), F.col("rel")))
     shown = listed.withColumn("_target", target).join(finished, F.col("_target") == F.col("_finished"), "left_anti")
     return (
         shown.withColumn("_key", F.when(F.col("partial"), progress_key("rel")).otherwise(F.col("rel")))

@@ -177,9 +177,10 @@ def q_ensure_chapters(spark, d):
 
 def q_rendered_roundtrip(spark, d):
     chapters = _chapters(spark, d)
-    rendered = render.render_txt(chapters, ["id"]).select("id", F.col("id").cast("string").alias("title"), "content")
+    rendered = render.render_txt(chapters, ["id"]).select("id", "part", F.col("id").cast("string").alias("title"), "content")
     back = segment.ensure_chapters(rendered, rendered=True)
-    return back.select("id", "chapter_idx", "title", strip("text").alias("text"))
+    idx = (F.col("part") * render.PART + F.col("chapter_idx")).cast("int")
+    return back.select("id", idx.alias("chapter_idx"), "title", strip("text").alias("text"))
 
 
 def q_render_txt(spark, d):

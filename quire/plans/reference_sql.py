@@ -221,6 +221,11 @@ SELECT query_id, rank, source, id FROM r WHERE rank <= 20""",
 k AS (SELECT query_id, CASE WHEN NOT fok OR fh > 0 THEN 'none' WHEN starts_with(query_id, 'b') THEN 'dict' ELSE 'plain' END AS hint_kind FROM g)
 SELECT query_id, hint_kind, CASE hint_kind WHEN 'dict' THEN '外文源已按英文名「' || upper(query_id) || '」检索仍无结果——此书可能尚未进入公版（古登堡/维基文库只有公版书）'
   WHEN 'plain' THEN '外文原版源按英文书名索引，中文书名搜不到——试试英文原名直接搜' ELSE '' END AS hint FROM k""",
+    "search_envelope": f"""WITH {CATALOG}, {ASKED}, {PAIRS},
+r AS (SELECT query_id, source, id, title, row_number() OVER (PARTITION BY query_id ORDER BY title, source, id) AS rank FROM pairs JOIN catalog USING (title)),
+g AS (SELECT query_id, count(*) AS n, list({{'source': source, 'id': id, 'title': title}} ORDER BY rank) FILTER (WHERE rank <= 200) AS results FROM r GROUP BY 1)
+SELECT query_id, CAST(json_object('query', query, 'count', coalesce(n, 0), 'errors', json_object(), 'hint', '', 'results', coalesce(to_json(results), json_array())) AS VARCHAR) AS envelope
+FROM asked LEFT JOIN g USING (query_id)""",
     "resolve_unique": """WITH w AS (SELECT DISTINCT p_brand AS source, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS title FROM part),
 c AS (SELECT p_brand AS source, p_name AS title, count(*) AS hits, min(p_partkey) AS id FROM part GROUP BY 1, 2)
 SELECT w.source, w.title, coalesce(hits, 0) AS hits, CASE WHEN hits = 1 THEN id END AS id,
