@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import error_message, full_key, has_cjk, strip
 from quire.operators.ordering import hash_chunk, number_chunk, number_within, running_sum_within
+from quire.session import cut_lineage
 
 # Sources with their labels in registry order, the categories over them, and the
 # sources that index foreign titles.
@@ -143,10 +144,15 @@ def contained_pairs(needles: DataFrame, haystacks: DataFrame, needle: str, hayst
 def match_titles(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """Distinct (query, title) with one inside the other, trimmed and without regard to case.
 
-    Works on distinct texts, so copies of a title are matched once.
+    Works on distinct texts, so copies of a title are matched once. The distinct texts are needed several
+    times and are materialised, so the catalogue itself is read once.
     """
-    titles = catalog.select("title").distinct().withColumn("_t", F.lower(strip("title"))).filter("_t != ''")
-    asked = queries.select("query").distinct().withColumn("_q", F.lower(strip("query"))).filter("_q != ''")
+    titles = cut_lineage(
+        catalog.select("title").distinct().withColumn("_t", F.lower(strip("title"))).filter("_t != ''")
+    )
+    asked = cut_lineage(
+        queries.select("query").distinct().withColumn("_q", F.lower(strip("query"))).filter("_q != ''")
+    )
     t, q = titles.select("_t").distinct(), asked.select("_q").distinct()
     # equal texts are found in the first direction
     back = contained_pairs(t, q, "_t", "_q").filter("_t != _q")
@@ -154,9 +160,13 @@ def match_titles(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     return pairs.join(titles, "_t").join(asked, "_q").select("query", "title")
 
 
-def search_titles(catalog: DataFrame, queries: DataFrame) -> DataFrame:
-    """All editions a query matches."""
-    pairs = queries.select("query_id", "query").join(match_titles(catalog, queries), "query")
+def _matched(catalog: DataFrame, queries: DataFrame, matches: DataFrame | None) -> DataFrame:
+    return matches if matches is not None else match_titles(catalog, queries)
+
+
+def search_titles(catalog: DataFrame, queries: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """All editions a query matches. `matches` takes the result of `match_titles` when it is at hand."""
+    pairs = queries.select("query_id", "query").join(_matched(catalog, queries, matches), "query")
     return pairs.join(catalog, "title")
 
 
@@ -182,7 +192,9 @@ def limit_hits(hits: DataFrame, n: int = SEARCH_LIMIT, mode: str = "merged") ->
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def search_top(catalog: DataFrame, queries: DataFrame, n: int = SEARCH_LIMIT) -> DataFrame:
+def search_top(
+    catalog: DataFrame, queries: DataFrame, n: int = SEARCH_LIMIT, matches: DataFrame | None = None
+) -> DataFrame:
     """First `n` hits per query without ever joining all editions of a title.
 
     Hits with one title follow each other by (source, id), so only the first `n` editions of a title
@@ -190,16 +202,21 @@ def search_top(catalog: DataFrame, queries: DataFrame, n: int = SEARCH_LIMIT) ->
     """
     per_title = Window.partitionBy("title").orderBy("source", "id")
     editions_ = catalog.withColumn("_n", F.row_number().over(per_title)).filter(F.col("_n") <= n).drop("_n")
-    pairs = queries.select("query_id", "query").join(match_titles(catalog, queries), "query")
+    pairs = queries.select("query_id", "query").join(_matched(catalog, queries, matches), "query")
     return limit_hits(pairs.join(editions_, "title"), n)
 
 
-def search_summary(catalog: DataFrame, queries: DataFrame, foreign: Sequence[str] = FOREIGN_SOURCES) -> DataFrame:
+def search_summary(
+    catalog: DataFrame,
+    queries: DataFrame,
+    foreign: Sequence[str] = FOREIGN_SOURCES,
+    matches: DataFrame | None = None,
+) -> DataFrame:
     """Hits per query before the limit, from counts per title; a query without hits has zero."""
     counts = catalog.groupBy("title").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col("source").isin(*foreign)).alias("_f")
     )
-    hits = match_titles(catalog, queries).join(counts, "title").groupBy("query").agg(
+    hits = _matched(catalog, queries, matches).join(counts, "title").groupBy("query").agg(
         F.sum("_n").alias("_n"), F.sum("_f").alias("_f")
     )
     return queries.select("query_id", "query").join(hits, "query", "left").select(
@@ -267,23 +284,31 @@ def source_errors(requested: DataFrame, registry: DataFrame, outcomes: DataFrame
 
     requested (query_id, source); registry (source); outcomes (query_id, source, ok, kind, name, detail).
     """
-    asked = requested.select("query_id", "source").distinct()
-    answered = outcomes.filter("ok").select("query_id", "source").distinct()
-    failed = (
-        outcomes.filter(~F.col("ok"))
+    none = F.lit(None).cast("string")
+    error = F.struct(F.col("kind").alias("kind"), F.col("name").alias("name"), F.col("detail").alias("detail"))
+    asked = requested.select(
+        "query_id", "source", F.lit(True).alias("_asked"), F.lit(False).alias("ok"), none.alias("kind"),
+        none.alias("name"), none.alias("detail"),
+    )
+    said = outcomes.select("query_id", "source", F.lit(False).alias("_asked"), "ok", "kind", "name", "detail")
+    # one aggregate settles asked, answered and failed; partial sums come first, so a hot source is small
+    state = (
+        asked.unionByName(said)
         .groupBy("query_id", "source")
-        .agg(F.min(F.struct("kind", "name", "detail")).alias("_e"))
-        .select("query_id", "source", error_message("_e.kind", "_e.name", "_e.detail").alias("_message"))
+        .agg(
+            F.bool_or("_asked").alias("_asked"),
+            F.bool_or("ok").alias("_ok"),
+            F.min(F.when(~F.col("_asked") & ~F.col("ok"), error)).alias("_e"),
+        )
+        .filter("_asked")
     )
-    known = registry.select("source").distinct()
-    unknown = asked.join(known, "source", "left_anti").withColumn("message", F.lit(UNKNOWN_SOURCE))
-    silent = (
-        asked.join(known, "source", "left_semi")
-        .join(answered, ["query_id", "source"], "left_anti")
-        .join(failed, ["query_id", "source"], "left")
-        .select("source", "query_id", F.coalesce("_message", F.lit(NO_RESPONSE)).alias("message"))
+    known = registry.select("source").distinct().withColumn("_known", F.lit(True))
+    text = F.when(F.col("_e").isNull(), NO_RESPONSE).otherwise(error_message("_e.kind", "_e.name", "_e.detail"))
+    return (
+        state.join(known, "source", "left")
+        .filter(F.col("_known").isNull() | ~F.col("_ok"))
+        .select("query_id", "source", F.when(F.col("_known").isNull(), UNKNOWN_SOURCE).otherwise(text).alias("message"))
     )
-    return silent.unionByName(unknown).select("query_id", "source", "message")
 
 
 def resolve_unique(titles: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -322,10 +347,12 @@ def dedup_names(imports: DataFrame, existing: DataFrame) -> DataFrame:
     ext = r"(\.[^.]*)\z"
     stem = F.regexp_replace("name", ext, "")
     named = imports.withColumn("_key", full_key("source", "id"))
-    ranked = number_within(named, ["name"], ["_key"], hash_chunk("_key"), "_nth").withColumn("_k", F.col("_nth") - 1)
+    ranked = cut_lineage(
+        number_within(named, ["name"], ["_key"], hash_chunk("_key"), "_nth").withColumn("_k", F.col("_nth") - 1)
+    )
     # numbers taken per name: 0 is the plain name, n is `stem(n).ext`
     known = existing.select("name").distinct()
-    wanted = imports.select("name").distinct()
+    wanted = ranked.filter(F.col("_k") == 0).select("name")  # one row per name
     copy = r"\A(.*)\(([1-9][0-9]{0,17})\)((?:\.[^.]*)?)\z"
     numbered = known.unionByName(wanted).distinct().filter(F.col("name").rlike("(?s)" + copy)).select(
         F.concat(F.regexp_extract("name", "(?s)" + copy, 1), F.regexp_extract("name", "(?s)" + copy, 3)).alias("name"),
@@ -333,6 +360,7 @@ def dedup_names(imports: DataFrame, existing: DataFrame) -> DataFrame:
     )
     taken = known.select("name", F.lit(0).cast("bigint").alias("_number")).unionByName(numbered)
     taken = taken.join(wanted, "name", "left_semi")
+    taken = cut_lineage(taken)
     places = number_within(taken, ["name"], ["_number"], number_chunk("_number"), "_nth")
     # free numbers below a taken one: imports before that count are numbered below it
     passed = places.select(

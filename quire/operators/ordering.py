@@ -3,7 +3,8 @@
 A plain window puts a whole group into one task. Here the order is cut into chunks by a monotone
 expression of the order columns (position ranges, time ranges, hash prefixes). The window runs per
 (group, chunk); what one chunk hands to the next is a summary row, and only those summaries meet per
-group. Both sides of the final join are partitioned by (group, chunk), so no row moves twice.
+group. Both sides of the final join are partitioned by (group, chunk), so no row moves twice. The input
+is read twice, once for its narrow columns; callers materialise an input that is costly to compute.
 """
 
 from __future__ import annotations

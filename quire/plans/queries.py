@@ -26,7 +26,7 @@ from quire.operators import extract as ex
 from quire.operators import library as lib
 from quire.operators import logs, render, script, segment, store
 from quire.operators.ordering import first_per_key
-from quire.session import checkpoint_dir
+from quire.session import checkpoint_dir, cut_lineage
 from quire.sources import readers
 
 ARTICLE = r"(?s)<article[^>]*>(.*?)</article>"
@@ -40,7 +40,7 @@ BREAK_HOURS = 24.0
 LATIN_SCRIPT = dict(
     t2s_chars={"e": "3", "a": "4", "o": "0", "é": "e"},
     s2t_chars={"s": "z", "t": "7"},
-    t2s_phrases={"the": "THE", "tion": "SHN", "eau": "O"},
+    t2s_phrases={"the": "THE", "qu": "KW", "sch": "SH"},
     s2t_phrases={"st": "ST"},
 )
 
@@ -322,8 +322,9 @@ def q_search_hint(spark, d):
 
 def q_search_envelope(spark, d):
     catalog, asked = _catalog(spark, d), _asked(spark, d)
-    summary = cat.search_summary(catalog, asked)
-    return cat.to_envelope(summary, cat.search_top(catalog, asked))
+    matches = cut_lineage(cat.match_titles(catalog, asked))
+    summary = cat.search_summary(catalog, asked, matches=matches)
+    return cat.to_envelope(summary, cat.search_top(catalog, asked, matches=matches))
 
 
 def q_resolve_unique(spark, d):

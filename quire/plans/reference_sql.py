@@ -90,10 +90,10 @@ MARKS = ("\ue001", "\ue002", "\ue003")
 
 
 def t2s(x: str) -> str:
-    for a, mark in zip(("tion", "the", "eau"), MARKS):
+    for a, mark in zip(("the", "sch", "qu"), MARKS):
         x = f"replace({x}, '{a}', '{mark}')"
     x = f"translate({x}, 'eaoé', '340e')"
-    for mark, b in zip(MARKS, ("SHN", "THE", "O")):
+    for mark, b in zip(MARKS, ("THE", "SH", "KW")):
         x = f"replace({x}, '{mark}', '{b}')"
     return x
 
