@@ -161,13 +161,17 @@ def match_titles(catalog: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _matched(catalog: DataFrame, queries: DataFrame, matches: DataFrame | None) -> DataFrame:
-    return matches if matches is not None else match_titles(catalog, queries)
+    """(query_id, query, title). A query is matched by `asked` where there is one, and ranked by `query`."""
+    text = F.col("asked" if "asked" in queries.columns else "query")
+    if matches is None:
+        matches = match_titles(catalog, queries.select(text.alias("query")))
+    found = matches.select(F.col("query").alias("_text"), "title")
+    return queries.select("query_id", "query", text.alias("_text")).join(found, "_text").drop("_text")
 
 
 def search_titles(catalog: DataFrame, queries: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """All editions a query matches. `matches` takes the result of `match_titles` when it is at hand."""
-    pairs = queries.select("query_id", "query").join(_matched(catalog, queries, matches), "query")
-    return pairs.join(catalog, "title")
+    return _matched(catalog, queries, matches).join(catalog, "title")
 
 
 def _rank_columns(query: str = "query") -> tuple[Column, Column]:
@@ -202,8 +206,7 @@ def search_top(
     """
     per_title = Window.partitionBy("title").orderBy("source", "id")
     editions_ = catalog.withColumn("_n", F.row_number().over(per_title)).filter(F.col("_n") <= n).drop("_n")
-    pairs = queries.select("query_id", "query").join(_matched(catalog, queries, matches), "query")
-    return limit_hits(pairs.join(editions_, "title"), n)
+    return limit_hits(_matched(catalog, queries, matches).join(editions_, "title"), n)
 
 
 def search_summary(
@@ -216,10 +219,10 @@ def search_summary(
     counts = catalog.groupBy("title").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col("source").isin(*foreign)).alias("_f")
     )
-    hits = _matched(catalog, queries, matches).join(counts, "title").groupBy("query").agg(
+    hits = _matched(catalog, queries, matches).join(counts, "title").groupBy("query_id").agg(
         F.sum("_n").alias("_n"), F.sum("_f").alias("_f")
     )
-    return queries.select("query_id", "query").join(hits, "query", "left").select(
+    return queries.select("query_id", "query").join(hits, "query_id", "left").select(
         "query_id", "query", F.coalesce("_n", F.lit(0)).alias("hits"), F.coalesce("_f", F.lit(0)).alias("foreign_hits")
     )
 

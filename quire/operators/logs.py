@@ -85,7 +85,10 @@ def breaker_log(
         start = F.get("_prev", F.lit(0))["_us"]
     else:
         failing, start = F.lit(True), F.col("_us")
-    candidates = slim.filter(~F.col("ok")).filter(failing).select("host", "_us", "id", "_slot", start.alias("_start"))
+    # a fraction of the log, read several times below
+    candidates = cut_lineage(
+        slim.filter(~F.col("ok")).filter(failing).select("host", "_us", "id", "_slot", start.alias("_start"))
+    )
 
     order = ["_us", "id"]
     linked = previous_within(candidates, ["host"], order, F.col("_slot"), ["_us"], 1, "_prev")

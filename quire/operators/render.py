@@ -192,3 +192,9 @@ def lean(books: DataFrame, chapters: str = "chapters") -> DataFrame:
     keep = [c for c in books.columns if c not in ("content", "raw", chapters)]
     titles = F.when(F.size(chapters) > 0, F.transform(chapters, lambda c: c["title"]))
     return books.select(*keep, titles.alias("chapters"))
+
+
+def book_json(books: DataFrame, keys: Sequence[str] = ("source", "id")) -> DataFrame:
+    """JSON text of the lean view of every book."""
+    fields = lean(books)
+    return fields.select(*keys, F.to_json(F.struct(*fields.columns)).alias("json"))
