@@ -141,10 +141,11 @@ def extract_main_text(
     `container` holds one group. A page without it is an empty shell: empty text, empty title.
     """
     keys = [c for c in pages.columns if c != html]
+    body = F.regexp_extract(html, container, 1)
     found = pages.select(
         *keys,
-        F.regexp_extract(html, container, 1).alias("_body"),
-        F.col(html).rlike(container).alias("_found"),
+        body.alias("_body"),
+        ((body != "") | F.col(html).rlike(container)).alias("_found"),
         remove_tags(F.regexp_extract(html, title, 1)).alias("_title"),
     )
     plain = found.select(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.rows import explode_rows
-from quire.functions.text import SPACE_CLASS, as_col, split_lines, strip
+from quire.functions.text import SPACE_CLASS, as_col, split_lines, strip, strip_text
 
 # What a stand-alone heading line looks like, and the bare markers.
 MAX_HEADING = 80
@@ -78,7 +78,7 @@ def _cut(books: DataFrame, name: str, fold_lead: bool, keep_heading: bool, trim:
             start = F.when(k == 0, 0).otherwise(start)
         end = F.coalesce(F.get(heads, k + 1)["at"], F.size(lines))
         text = F.array_join(F.slice(lines, start + 1, end - start), "\n")
-        return F.struct(h["title"].alias("title"), (strip(text) if trim else text).alias("text"))
+        return F.struct(h["title"].alias("title"), (strip_text(text) if trim else text).alias("text"))
 
     return books.withColumn(name, F.when(F.size(heads) > 0, F.transform(heads, chapter))).drop("_lines", "_heads")
 
@@ -172,7 +172,7 @@ def strip_dup_heading(chapters: DataFrame, only: Column | None = None) -> DataFr
     hit = (at > 0) & (size > 1)
     if only is not None:
         hit = hit & only
-    return lined.withColumn("text", F.when(hit, strip(F.array_join(rest, "\n"))).otherwise(F.col("text"))).drop(
+    return lined.withColumn("text", F.when(hit, strip_text(F.array_join(rest, "\n"))).otherwise(F.col("text"))).drop(
         "_lines", "_at"
     )
 
@@ -207,8 +207,8 @@ def strip_boilerplate(
     before = F.regexp_replace(after, rf"(?s)(?i:(?:\A|(?<=\n)){end}).*\z", "")
     cut = books.withColumn("_text", unix).withColumn(
         content,
-        F.trim(
-            F.when(F.col("_text").rlike(rf"(?i)(?:\A|(?<=\n)){start}"), before).otherwise(F.col("_text")), F.lit("\n")
+        strip_text(
+            F.when(F.col("_text").rlike(rf"(?i)(?:\A|(?<=\n)){start}"), before).otherwise(F.col("_text")), r"[\n]"
         ),
     )
     return cut.withColumn("reason", F.when(F.col(content) == "", "no text after strip")).drop("_text")

@@ -17,7 +17,7 @@ from quire.functions.html import strip_tags
 from quire.functions.script import ScriptTable
 from quire.functions.text import (
     decode_title, encode_title, error_message, full_key, has_cjk, is_challenge, latin_words, line_count,
-    normalize_text, progress_pct, sanitize_filename, size_kb, size_mb, store_key, strip, trans_direction,
+    normalize_text, progress_pct, sanitize_filename, size_kb, size_mb, store_key, strip, strip_text, trans_direction,
     url_host, url_param, xml_clean, xml_escape,
 )
 from quire.operators import bilingual as bi
@@ -180,7 +180,7 @@ def q_rendered_roundtrip(spark, d):
     rendered = render.render_txt(chapters, ["id"]).select("id", "part", F.col("id").cast("string").alias("title"), "content")
     back = segment.ensure_chapters(rendered, rendered=True)
     idx = (F.col("part") * render.PART + F.col("chapter_idx")).cast("int")
-    return back.select("id", idx.alias("chapter_idx"), "title", strip("text").alias("text"))
+    return back.select("id", idx.alias("chapter_idx"), "title", strip_text("text").alias("text"))
 
 
 def q_render_txt(spark, d):

@@ -29,8 +29,9 @@ def tagless(x: str) -> str:
 
 
 def unescape(x: str) -> str:
-    for a, b in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = f"replace({x}, '{a}', '{b}')"
+    """The references of the pages; a text cut off after one may lack its semicolon."""
+    for a, b in (("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
     return x
 
 

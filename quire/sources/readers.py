@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire import schemas
 from quire.functions.fallback import decode_legacy
 from quire.functions.html import remove_tags, strip_tags
-from quire.functions.text import as_col, encode_title, file_title, folder, size_mb, strip
+from quire.functions.text import as_col, encode_title, file_title, folder, size_mb, strip, strip_text
 from quire.operators.catalog import UNDECLARED_LICENSE
 from quire.operators.ordering import number_chunk, number_within
 
@@ -148,7 +148,7 @@ def members_to_chapters(members: DataFrame, spine: DataFrame | None = None) -> D
     parsed = ordered.select(
         "book",
         "_at",
-        strip(F.regexp_replace(plain, r"\n{3,}", "\n\n")).alias("text"),
+        strip_text(F.regexp_replace(plain, r"\n{3,}", "\n\n")).alias("text"),
         F.when(F.col("content").rlike(heading), strip(remove_tags(F.regexp_extract("content", heading, 1))))
         .otherwise(F.col("path"))
         .alias("title"),

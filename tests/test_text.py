@@ -25,12 +25,14 @@ def test_sanitize(spark, name, want):
 )
 def test_lines_and_strip_agree_with_python(spark, value):
     df = spark.createDataFrame([(value,)], "c string").select(
-        text.split_lines("c"), text.line_count("c"), text.strip("c"), text.collapse_space("c")
+        text.split_lines("c"), text.line_count("c"), text.strip("c"), text.collapse_space("c"), text.strip_text("c"),
+        text.is_blank("c"),
     )
-    lines, count, stripped, collapsed = df.first()
+    lines, count, stripped, collapsed, whole, blank = df.first()
     assert lines == value.splitlines()
     assert count == len(value.splitlines())
-    assert stripped == value.strip()
+    assert stripped == whole == value.strip()
+    assert blank is (not value.strip())
     assert collapsed == " ".join(value.split())
 
 
@@ -74,7 +76,7 @@ def test_titles_and_authors(spark):
 
 @pytest.mark.parametrize(
     "value",
-    ["&amp;lt;", "&eacute;t&eacute;", "&#20013;&#x6587;", "a & b", "&copy 1", "&quot;x&quot;", "&nbsp;y", "&notit;", "AT&T", "?a=1&ref=x"],
+    ["&amp;lt;", "&eacute;t&eacute;", "&#20013;&#x6587;", "a & b", "&copy 1", "&quot;x&quot;", "&nbsp;y", "&notit;", "&ampx", "&amp&amp;", "AT&T", "?a=1&ref=x"],
 )
 def test_unescape_agrees_with_python(spark, value):
     import html as std
