@@ -99,45 +99,40 @@ def union_sources(*hits: DataFrame) -> DataFrame:
 
 # ---- title search -------------------------------------------------------
 
-def _grams(df: DataFrame, text: str, lengths: Sequence[int]) -> DataFrame:
-    """Distinct character sequences of the given lengths, one row each."""
-    n = F.length(text)
+def _cuts(text: str, k: int) -> Column:
+    """All character sequences of length `k`; the text itself when it is shorter."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1)))
+    return F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(k)))
 
-    def of_length(k: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(text), i, F.lit(k)))
-        return F.when(n >= k, cut).otherwise(F.array().cast("array<string>"))
 
-    both = F.array_distinct(F.concat(*[of_length(k) for k in lengths]))
-    return df.select(text, F.explode(both).alias("gram"))
+def contained_pairs(needles: DataFrame, haystacks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs (needle, haystack) of which the first is part of the second, without a nested loop.
 
-
-def contained_pairs(needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str) -> DataFrame:
-    """Pairs of texts of which the first is part of the second, without a nested loop.
-
-    Both sides hold distinct, non-empty texts. A needle can only lie in texts that hold every one of its
-    grams. It is joined on the gram the fewest texts hold; a needle with a gram no text holds is settled
-    without a join. A needle no longer than a gram is a gram itself and needs no test.
+    Both sides hold distinct, non-empty texts; `by` names columns that have to be equal. A needle can only
+    lie in texts that hold every one of its grams. It is joined on the gram the fewest texts hold; a needle
+    with a gram no text holds is settled without a join. A needle no longer than a gram is a gram itself
+    and needs no test.
     """
-    short = F.length(needle) <= GRAM
-    places = F.sequence(F.lit(1), F.greatest(F.length(needle) - GRAM + 1, F.lit(1)))
-    inner = F.array_distinct(F.transform(places, lambda i: F.substring(F.col(needle), i, F.lit(GRAM))))
-    own = needles.select(needle, F.explode(F.when(short, F.array(needle)).otherwise(inner)).alias("gram"))
-    hay = _grams(haystacks, haystack, range(1, GRAM + 1))
-    held = hay.join(own.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_texts"))
+    by = list(by)
+    own = needles.select(*by, "needle", F.explode(F.array_distinct(_cuts("needle", GRAM))).alias("gram"))
+    hay = haystacks.select(
+        *by, "haystack", F.explode(F.array_distinct(F.concat(*[_cuts("haystack", k) for k in range(1, GRAM + 1)]))).alias("gram")
+    )
+    held = hay.join(own.select(*by, "gram"), [*by, "gram"], "left_semi").groupBy(*by, "gram").agg(
+        F.count(F.lit(1)).alias("_texts")
+    )
+    texts = F.coalesce("_texts", F.lit(0))
     anchor = (
-        own.join(held, "gram", "left")
-        .groupBy(needle)
-        .agg(
-            F.min_by("gram", F.struct(F.coalesce("_texts", F.lit(0)), F.col("gram"))).alias("gram"),
-            F.min(F.coalesce("_texts", F.lit(0))).alias("_texts"),
-        )
-        .filter(F.col("_texts") > 0)
-        .drop("_texts")
+        own.join(held, [*by, "gram"], "left")
+        .groupBy(*by, "needle")
+        .agg(F.min(F.struct(texts.alias("n"), F.col("gram").alias("gram"))).alias("_a"))
+        .filter(F.col("_a.n") > 0)
+        .select(*by, "needle", F.col("_a.gram").alias("gram"))
     )
     return (
-        hay.join(anchor, "gram")
-        .filter((F.length(needle) <= GRAM) | F.contains(F.col(haystack), F.col(needle)))
-        .select(needle, haystack)
+        hay.join(anchor, [*by, "gram"])
+        .filter((F.length("needle") <= GRAM) | F.contains(F.col("haystack"), F.col("needle")))
+        .select(*by, "needle", "haystack")
     )
 
 
@@ -145,7 +140,7 @@ def match_titles(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """Distinct (query, title) with one inside the other, trimmed and without regard to case.
 
     Works on distinct texts, so copies of a title are matched once. The distinct texts are needed several
-    times and are materialised, so the catalogue itself is read once.
+    times and are materialised, so the catalogue itself is read once. Both directions run as one join.
     """
     titles = cut_lineage(
         catalog.select("title").distinct().withColumn("_t", F.lower(strip("title"))).filter("_t != ''")
@@ -154,9 +149,19 @@ def match_titles(catalog: DataFrame, queries: DataFrame) -> DataFrame:
         queries.select("query").distinct().withColumn("_q", F.lower(strip("query"))).filter("_q != ''")
     )
     t, q = titles.select("_t").distinct(), asked.select("_q").distinct()
-    # equal texts are found in the first direction
-    back = contained_pairs(t, q, "_t", "_q").filter("_t != _q")
-    pairs = contained_pairs(q, t, "_q", "_t").unionByName(back)
+
+    def both(first: DataFrame, second: DataFrame, name: str) -> DataFrame:
+        sides = [df.select(F.lit(side).alias("side"), F.col(df.columns[0]).alias(name)) for side, df in enumerate((first, second))]
+        return sides[0].unionByName(sides[1])
+
+    found = contained_pairs(both(q, t, "needle"), both(t, q, "haystack"), ["side"])
+    # equal texts are found from either side
+    once = found.filter((F.col("side") == 0) | (F.col("needle") != F.col("haystack")))
+    q_first = F.col("side") == 0
+    pairs = once.select(
+        F.when(q_first, F.col("needle")).otherwise(F.col("haystack")).alias("_q"),
+        F.when(q_first, F.col("haystack")).otherwise(F.col("needle")).alias("_t"),
+    )
     return pairs.join(titles, "_t").join(asked, "_q").select("query", "title")
 
 

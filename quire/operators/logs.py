@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import is_challenge
-from quire.operators.ordering import number_within, previous_within, running_sum_within, time_chunk
+from quire.operators.ordering import CHUNK_SECONDS, number_within, previous_within, running_sum_within, time_chunk
 from quire.session import cut_lineage
 
 MIN_GAP = 2.0
@@ -41,7 +41,7 @@ def classify_outcome(fetch_log: DataFrame) -> DataFrame:
 
 
 def pacing_audit(
-    fetch_log: DataFrame, min_gap: float = MIN_GAP, chunk_seconds: float = 3600.0
+    fetch_log: DataFrame, min_gap: float = MIN_GAP, chunk_seconds: float = CHUNK_SECONDS
 ) -> DataFrame:
     """Gap to the previous request on the same host and whether it is below the minimum.
 
@@ -60,6 +60,7 @@ def breaker_log(
     fails: int = BREAK_FAILS,
     window: float = BREAK_WINDOW,
     segment_limit: int = 10_000,
+    chunk_seconds: float = CHUNK_SECONDS,
 ) -> DataFrame:
     """Circuit breaker per host over a log: `state` is opened, refused or closed.
 
@@ -78,25 +79,27 @@ def breaker_log(
     log = fetch_log.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(
         "_slot", F.floor(F.col("_us") / F.lit(width))
     )
-    slim = log.select("host", "_us", "id", "ok", "_slot")
+    # ordered work is cut finer than the window, which may be long
+    part = F.col("_part")
+    slim = log.select("host", "_us", "id", "ok", time_chunk("ts", chunk_seconds).alias("_part"))
     if fails > 1:
-        slim = previous_within(slim, ["host"], ["_us", "id"], F.col("_slot"), ["_us", "ok"], fails - 1, "_prev")
+        slim = previous_within(slim, ["host"], ["_us", "id"], part, ["_us", "ok"], fails - 1, "_prev")
         failing = (F.size("_prev") == fails - 1) & F.forall("_prev", lambda p: ~p["ok"])
         start = F.get("_prev", F.lit(0))["_us"]
     else:
         failing, start = F.lit(True), F.col("_us")
     # a fraction of the log, read several times below
     candidates = cut_lineage(
-        slim.filter(~F.col("ok")).filter(failing).select("host", "_us", "id", "_slot", start.alias("_start"))
+        slim.filter(~F.col("ok")).filter(failing).select("host", "_us", "id", "_part", start.alias("_start"))
     )
 
     order = ["_us", "id"]
-    linked = previous_within(candidates, ["host"], order, F.col("_slot"), ["_us"], 1, "_prev")
+    linked = previous_within(candidates, ["host"], order, part, ["_us"], 1, "_prev")
     last = F.get("_prev", F.lit(0))["_us"]
     opens = F.when(last.isNull() | (F.col("_start") >= last + width), 1).otherwise(0)
     segments = cut_lineage(
         running_sum_within(
-            linked.withColumn("_cut", opens).drop("_prev"), ["host"], order, F.col("_slot"), F.col("_cut"), "_segment"
+            linked.withColumn("_cut", opens).drop("_prev"), ["host"], order, part, F.col("_cut"), "_segment"
         ).drop("_cut")
     )
     sizes = segments.groupBy("host", "_segment").agg(F.count(F.lit(1)).alias("_n"))
@@ -161,13 +164,12 @@ def _chase_segments(segments: DataFrame, width: int) -> DataFrame:
     with the starts. The chain is walked by doubling: after k rounds 2^k openings are known.
     """
     keys = ["host", "_segment"]
-    slot = F.col("_slot")
-    nodes = number_within(segments, keys, ["_us", "id"], slot, "_n").select(*keys, "_n", "_us", "id", "_start")
+    nodes = number_within(segments, keys, ["_us", "id"], F.col("_part"), "_n").select(*keys, "_n", "_us", "id", "_start")
     nodes = cut_lineage(nodes)
     starts = nodes.select(*keys, F.col("_start").alias("_v"), F.lit(1).alias("_side"), F.lit(1).alias("_one"), "_n")
     ends = nodes.select(*keys, (F.col("_us") + width).alias("_v"), F.lit(0).alias("_side"), F.lit(0).alias("_one"), "_n")
     merged = running_sum_within(
-        starts.unionByName(ends), keys, ["_v", "_side", "_n"], F.floor(F.col("_v") / F.lit(width)), F.col("_one"), "_seen"
+        starts.unionByName(ends), keys, ["_v", "_side", "_n"], F.floor(F.col("_v") / F.lit(int(CHUNK_SECONDS * 1_000_000))), F.col("_one"), "_seen"
     )
     jump = cut_lineage(
         merged.filter(F.col("_side") == 0).select(*keys, "_n", (F.col("_seen") + 1).alias("_to"))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Positions per chunk where the order column is a whole number.
 CHUNK = 1 << 14
+#: Seconds per chunk where it is a time.
+CHUNK_SECONDS = 60.0
 
 
 def number_chunk(c: str | Column, size: int = CHUNK) -> Column:
@@ -28,7 +30,7 @@ def time_chunk(c: str | Column, seconds: float) -> Column:
     return F.floor(F.unix_micros(col.cast("timestamp")) / F.lit(int(seconds * 1_000_000)))
 
 
-def hash_chunk(key: str | Column, digits: int = 3) -> Column:
+def hash_chunk(key: str | Column, digits: int = 4) -> Column:
     """Prefix of a hexadecimal hash: evenly filled and in the order of the hash."""
     return F.substring(F.col(key) if isinstance(key, str) else key, 1, digits)
 

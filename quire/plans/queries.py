@@ -600,7 +600,7 @@ def q_breaker_log(spark, d):
 
 
 def q_pacing_audit(spark, d):
-    return logs.pacing_audit(_fetch_log(spark, d), min_gap=3600.0, chunk_seconds=86400.0).select("host", "id", "gap_us", "too_fast")
+    return logs.pacing_audit(_fetch_log(spark, d), min_gap=3600.0).select("host", "id", "gap_us", "too_fast")
 
 
 def q_job_status(spark, d):
