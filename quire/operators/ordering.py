@@ -75,25 +75,28 @@ def previous_within(
     """Array of the up to `n` rows just before each row in its group, oldest first."""
     keys = list(keys)
     rows = df.withColumn("_chunk", chunk).withColumn("_fields", F.struct(*fields))
-    back = Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(o) for o in order])
-    tails = (
-        rows.select(*keys, "_chunk", *order, "_fields")
-        .withColumn("_back", F.row_number().over(back))
-        .filter(F.col("_back") <= n)
-        .groupBy(*keys, "_chunk")
-        .agg(F.reverse(F.sort_array(F.collect_list(F.struct("_back", "_fields")))).alias("_tail"))
-    )
+    if n == 1:
+        tails = rows.groupBy(*keys, "_chunk").agg(F.array(F.max_by("_fields", F.struct(*order))).alias("_tail"))
+    else:
+        back = Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(o) for o in order])
+        tails = (
+            rows.select(*keys, "_chunk", *order, "_fields")
+            .withColumn("_back", F.row_number().over(back))
+            .filter(F.col("_back") <= n)
+            .groupBy(*keys, "_chunk")
+            .agg(F.reverse(F.sort_array(F.collect_list(F.struct("_back", "_fields")))).alias("_tail"))
+            .select(*keys, "_chunk", F.transform("_tail", lambda t: t["_fields"]).alias("_tail"))
+        )
     # every chunk present holds at least one row, so n chunks back are enough
     across = Window.partitionBy(*keys).orderBy("_chunk")
     empty = F.slice("_tail", F.lit(1), F.lit(0))
     carried = F.concat(*[F.coalesce(F.lag("_tail", k).over(across), empty) for k in range(n, 0, -1)])
-    carry = tails.withColumn("_carry", carried).select(
-        *keys, "_chunk", F.transform("_carry", lambda t: t["_fields"]).alias("_carry")
-    )
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(-n, -1)
+    carry = tails.select(*keys, "_chunk", carried.alias("_carry"))
+    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    near = F.filter(F.array(*[F.lag("_fields", k).over(local) for k in range(n, 0, -1)]), lambda f: f.isNotNull())
     seen = F.concat("_carry", "_near")
     return (
-        rows.withColumn("_near", F.collect_list("_fields").over(local))
+        rows.withColumn("_near", near)
         .join(carry, [*keys, "_chunk"])
         .withColumn(name, F.slice(seen, F.greatest(F.size(seen) - n + 1, F.lit(1)), F.lit(n)))
         .drop("_chunk", "_fields", "_near", "_carry")
