@@ -13,11 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.html import strip_tags
+from quire.functions.html import clean_title, strip_tags
+from quire.functions.rows import explode_rows
 from quire.functions.script import ScriptTable
 from quire.functions.text import (
     decode_title, encode_title, error_message, full_key, has_cjk, is_challenge, latin_words, line_count,
-    normalize_text, progress_pct, sanitize_filename, size_kb, size_mb, store_key, strip, strip_text, trans_direction,
+    normalize_text, progress_pct, sanitize_filename, size_kb, size_mb, split_lines, store_key, strip, strip_text, trans_direction,
     url_host, url_param, xml_clean, xml_escape,
 )
 from quire.operators import bilingual as bi
@@ -153,6 +154,59 @@ def q_reject_pages(spark, d):
     return ex.reject_page_bytes(files.unionByName(texts)).select("kind", "id", "is_page")
 
 
+def q_shell_counts(spark, d):
+    """Pages with and without an article of their language mark, per host."""
+    text = ex.extract_main_text(_pages(spark, d, "url", "html"), r'(?s)lang="en".*?<article[^>]*>(.*?)</article>')
+    return ex.shell_counts(text.withColumn("host", url_host("url")), ["host"])
+
+
+def q_first_links(spark, d):
+    """Where every link target is seen first over all pages."""
+    links = ex.extract_links(_pages(spark, d), NAV_LINK)
+    return first_per_key(links, ["target"], ["page_id", "link_idx"])
+
+
+def q_page_cells(spark, d):
+    """Lines of chapters laid out as numbered table cells, and read back."""
+    chapters = table(spark, d, "conversations").select(
+        "conv_id", "turn",
+        F.array_join(
+            F.transform(
+                split_lines("text"),
+                lambda ln, i: F.concat(
+                    F.lit('<td class="ctext" style="width: 60px;">'), i.cast("string"),
+                    F.lit('</td><td class="ctext"><i>'), ln, F.lit("</i>&middot;</td>"),
+                ),
+            ),
+            "\n",
+        ).alias("html"),
+    )
+    return explode_rows(ex.extract_cells(chapters), ["conv_id", "turn"], "lines", "line_idx", "line")
+
+
+def q_card_notes(spark, d):
+    """Record lists with an author in bold and a note after it."""
+    lists = table(spark, d, "part").select(
+        "p_partkey",
+        F.concat(
+            F.lit("<ul><li><a href='x'>none</a></li><li><a href=\"wiki.pl?res="), F.col("p_partkey").cast("string"), F.lit('">'), "p_name",
+            F.lit('</a><span style="font-weight: bold;">（'), "p_type", F.lit("）"), "p_brand", F.lit("</span><br>\n note &amp; <i>"),
+            F.col("p_size").cast("string"), F.lit("</i> </li></ul>"),
+        ).alias("html"),
+    )
+    bold = r'<span style="font-weight: bold;">'
+    fields = {
+        "id": ex.Field(r"res=(\d+)", "raw"), "title": ex.Field(r"(?s)<a[^>]*>(.*?)</a>", "text"),
+        "author": ex.Field(rf"(?s){bold}(.*?)</span>", "author"), "note": ex.Field(rf"(?s){bold}.*?</span>(.*)\z", "text"),
+    }
+    return ex.extract_cards(lists, r"(?s)<li>(.*?)</li>", fields, "id")
+
+
+def q_clean_titles(spark, d):
+    mark = F.concat(F.lit("<b>"), F.col("p_name"), F.lit("</b> &amp; （ "), F.col("p_size").cast("string"), F.lit(" / 50 ） "))
+    return table(spark, d, "part").select("p_partkey", clean_title(mark).alias("title"))
+
+
 def q_url_parts(spark, d):
     return _pages(spark, d, "url").select(
         "page_id", url_host("url").alias("host"), url_param("url", "page").alias("page"),
@@ -175,6 +229,21 @@ def q_ensure_chapters(spark, d):
     return segment.ensure_chapters(_books(spark, d).drop("source"), rule=short_line)
 
 
+def q_section_names(spark, d):
+    """Chapters of a text as the sections of a page called after the source."""
+    cut = segment.with_heading_chapters(table(spark, d, "documents").select("doc_id", "source", "text"), "text", short_line)
+    untitled = F.transform(
+        "heading_chapters",
+        lambda c: F.struct(F.when(c["title"].startswith("L"), "").otherwise(c["title"]).alias("title"), c["text"].alias("text")),
+    )
+    named = cut.select("doc_id", ex.prefix_sections(untitled, "source").alias("sections"))
+    return explode_rows(named, ["doc_id"], "sections", "chapter_idx", "_s").select("doc_id", "chapter_idx", "_s.title")
+
+
+def q_render_converted(spark, d):
+    return render.render_txt(_chapters(spark, d), ["id"], convert=ScriptTable(**LATIN_SCRIPT))
+
+
 def q_rendered_roundtrip(spark, d):
     chapters = _chapters(spark, d)
     rendered = render.render_txt(chapters, ["id"]).select("id", "part", F.col("id").cast("string").alias("title"), "content")

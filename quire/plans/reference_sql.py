@@ -166,6 +166,24 @@ FROM ensured e JOIN main ON e.id = main.page_id GROUP BY 1""",
     "reject_pages": """WITH f AS (SELECT 'page' AS kind, page_id AS id, ltrim(html, ' \t\n\r\f\x0b') AS c FROM pages
 UNION ALL SELECT 'text', doc_id, ltrim(text, ' \t\n\r\f\x0b') FROM documents)
 SELECT kind, id, starts_with(lower(left(c, 512)), '<!doctype') OR starts_with(lower(left(c, 512)), '<html') OR contains(lower(left(c, 512)), 'cloudflare') AS is_page FROM f""",
+    "shell_counts": f"""WITH x AS (SELECT url, {tagless(unescape("regexp_extract(html, '(?s)lang=\"en\".*?<article[^>]*>(.*?)</article>', 1)"))} AS t FROM pages)
+SELECT {HOST} AS host, count(*) FILTER (WHERE {strip('t')} <> '') AS kept, count(*) FILTER (WHERE {strip('t')} = '') AS shells FROM x GROUP BY 1""",
+    "first_links": f"""WITH {LINKS.format(html='html')},
+k AS (SELECT page_id, target, {strip(unescape(tagless('raw')))} AS label, i FROM u),
+f AS (SELECT page_id, target, label, min(i) AS i FROM k WHERE label <> '' GROUP BY 1, 2, 3),
+n AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS link_idx, target, label FROM f)
+SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY target ORDER BY page_id, link_idx) = 1""",
+    "page_cells": f"""WITH c AS (SELECT conv_id, turn, list_transform({lines('text')}, lambda y: {one_line("y || '·'")}) AS ls FROM conversations)
+SELECT conv_id, turn, unnest(ls) AS line, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS line_idx FROM c""",
+    "card_notes": "SELECT p_partkey, 1 AS card_idx, CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_brand AS author, 'note & ' || p_size AS note FROM part",
+    "clean_titles": "SELECT p_partkey, p_name || ' &' AS title FROM part",
+    "section_names": f"""WITH {DOC_BOOKS}, {CHAPTERS},
+s AS (SELECT id AS doc_id, source, chapter_idx, CASE WHEN starts_with(cut.title, 'L') THEN '' ELSE cut.title END AS t, count(*) OVER (PARTITION BY id) AS n FROM cut JOIN documents ON doc_id = id)
+SELECT doc_id, chapter_idx, CASE WHEN t = '' THEN source WHEN n > 1 THEN source || '·' || t ELSE t END AS title FROM s""",
+    "render_converted": f"""WITH c AS (SELECT conv_id, turn, {t2s('role')} AS role, {t2s('text')} AS text FROM conversations)
+SELECT conv_id AS id, CAST(0 AS BIGINT) AS part, count(*) AS n_chapters,
+  CASE WHEN count(*) = 1 THEN min(text) ELSE string_agg('=== ' || role || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) || chr(10) END AS content
+FROM c GROUP BY conv_id""",
     "url_parts": f"SELECT page_id, {HOST} AS host, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page, url_encode(url) AS encoded, replace(url, '_', ' ') AS decoded FROM pages",
     "decode_text": "SELECT doc_id, text FROM documents",
     "split_chapters": f"WITH {DOC_BOOKS}, {CHAPTERS} SELECT id, chapter_idx, title, text FROM cut",
