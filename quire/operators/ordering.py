@@ -5,6 +5,7 @@ expression of the order columns (position ranges, time ranges, hash prefixes). T
 (group, chunk); what one chunk hands to the next is a summary row, and only those summaries meet per
 group. Both sides of the final join are partitioned by (group, chunk), so no row moves twice. The input
 is read twice, once for its narrow columns; callers materialise an input that is costly to compute.
+Keys and order are expected to be set; a row without them stays, ordered within its chunk only.
 """
 
 from __future__ import annotations
@@ -50,8 +51,8 @@ def running_sum_within(
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.withColumn("_local", F.sum("_value").over(local))
-        .join(offsets, [*keys, "_chunk"])
-        .withColumn(name, F.col("_local") + F.col("_offset"))
+        .join(offsets, [*keys, "_chunk"], "left")
+        .withColumn(name, F.col("_local") + F.coalesce("_offset", F.lit(0)))
         .drop("_chunk", "_value", "_local", "_offset")
     )
 
@@ -94,10 +95,10 @@ def previous_within(
     carry = tails.select(*keys, "_chunk", carried.alias("_carry"))
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     near = F.filter(F.array(*[F.lag("_fields", k).over(local) for k in range(n, 0, -1)]), lambda f: f.isNotNull())
-    seen = F.concat("_carry", "_near")
+    seen = F.concat(F.coalesce("_carry", F.slice("_near", F.lit(1), F.lit(0))), "_near")
     return (
         rows.withColumn("_near", near)
-        .join(carry, [*keys, "_chunk"])
+        .join(carry, [*keys, "_chunk"], "left")
         .withColumn(name, F.slice(seen, F.greatest(F.size(seen) - n + 1, F.lit(1)), F.lit(n)))
         .drop("_chunk", "_fields", "_near", "_carry")
     )

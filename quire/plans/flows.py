@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.script import ScriptTable
 from quire.functions.text import sanitize_filename
 from quire.operators import catalog as cat
-from quire.operators import render, segment, store
+from quire.operators import render, segment
 from quire.session import cut_lineage
 
 

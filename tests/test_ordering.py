@@ -46,3 +46,9 @@ def test_first_and_last(spark, data):
     for key in first:
         group = [d[1:3] for d in data if d[0] == key]
         assert first[key] == min(group) and last[key] == max(group)
+
+
+def test_rows_without_a_key_stay(spark):
+    df = spark.createDataFrame([(None, 1, 1), ("a", None, 2), ("a", 1, 3)], "k string, pos int, id int")
+    assert number_within(df, ["k"], ["pos"], number_chunk("pos"), "n").count() == 3
+    assert previous_within(df, ["k"], ["pos"], number_chunk("pos"), ["id"], 2).count() == 3
