@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, exact_dedup, line_dedup, mixing
+from quire.llm import bpe, exact_dedup, line_dedup, mixing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,4 +44,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_mix_sources, op5_exact_dedup, op7_line_dedup)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_mix_sources, op5_exact_dedup, op7_line_dedup, op10_warc)}

@@ -16,4 +16,12 @@ SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op10_warc": r"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+             q AS (SELECT *, n >= 100 AND page_id > min(page_id) OVER (PARTITION BY d) AS again,
+                          min(page_id) OVER (PARTITION BY d) AS keeper FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN keeper END AS refers_to
+        FROM q""",
 }
