@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, exact_dedup, line_dedup, mixing, toxicity, warc
+from quire.llm import bpe, exact_dedup, line_dedup, mixing, pii, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest are of the plain spans, `spans` has the disguised ones as well."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs).withColumn("plain", F.filter("pii", lambda s: s.plain))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("plain", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    base = F.sha2(pii.spans_text(F.col("plain")), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.spans_text(F.col("pii")).alias("spans"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -60,4 +73,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_mix_sources, op4_toxicity, op5_exact_dedup, op7_line_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_mix_sources, op4_toxicity, op5_exact_dedup, op7_line_dedup, op10_warc)}
