@@ -3,8 +3,8 @@
 The distinct hashes of a text's word shingles are dealt once over BINS bins by their high bits; a bin keeps its
 smallest hash. An empty bin takes the value of the first filled bin on a probe sequence of its own (a random start
 and a random odd stride, which visits every bin once), so any two texts fill the same empty bin alike. Only BITS
-low-order bits of each value are stored, 16 values to a 64-bit integer; the share of equal values is corrected for
-the 1 in 2 ** BITS that are equal by chance.
+low-order bits of each value, hashed with its bin so that copies of a value stay independent, are stored, 16 values
+to a 64-bit integer; the share of equal values is corrected for the 1 in 2 ** BITS that are equal by chance.
 
 All of it is array expressions within a row: no shingle is shuffled.
 """
@@ -43,7 +43,7 @@ _INVERSES = [pow(s, -1, BINS) for s in _STRIDES]
 
 
 def _densified(mins: Column, filled: Column) -> Column:
-    """Values of all bins; an odd value marks an empty one. `filled` are the numbers of the others."""
+    """Low-order bits of all bins; an odd value marks an empty one. `filled` are the numbers of the others."""
     starts, strides, inverses = (_numbers(x, "int") for x in (_STARTS, _STRIDES, _INVERSES))
 
     def value(x: Column) -> Column:
@@ -53,7 +53,8 @@ def _densified(mins: Column, filled: Column) -> Column:
         probe = [value(F.get(mins, (F.get(starts, j) + F.get(strides, j) * t).bitwiseAND(F.lit(BINS - 1)))) for t in range(PROBES)]
         step = lambda b: ((b - F.get(starts, j)) * F.get(inverses, j)).bitwiseAND(F.lit(BINS - 1))
         nearest = F.array_min(F.transform(filled, lambda b: F.struct(step(b).alias("step"), F.get(mins, b).alias("value"))))
-        return F.when(x.bitwiseAND(F.lit(1)) == 0, x).otherwise(F.coalesce(*probe, nearest["value"]))
+        found = F.when(x.bitwiseAND(F.lit(1)) == 0, x).otherwise(F.coalesce(*probe, nearest["value"]))
+        return F.xxhash64(found, j).bitwiseAND(F.lit((1 << BITS) - 1))
 
     return F.transform(mins, fill)
 
@@ -77,8 +78,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     df = df.withColumn(mins, F.filter(ordered, first))
     even = lambda b: F.get(mins, b).bitwiseAND(F.lit(1)) == 0
     df = df.withColumn(filled, F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), even))
-    bits = lambda x: F.shiftright(x, 1).bitwiseAND(F.lit((1 << BITS) - 1))
-    df = df.withColumn(low, F.transform(_densified(F.col(mins), F.col(filled)), bits))
+    df = df.withColumn(low, _densified(F.col(mins), F.col(filled)))
 
     def pack(g: int) -> Column:
         return F.aggregate(F.slice(low, g * 16 + 1, 16), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, BITS).bitwiseOR(x))
