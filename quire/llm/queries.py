@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, exact_dedup, fingerprints, line_dedup, mixing, partenum, pii, toxicity, warc
+from quire.llm import bpe, exact_dedup, fingerprints, line_dedup, lm, mixing, partenum, pii, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,20 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    spec = lm.train(docs.filter(~lm.held_out(F.col("doc_id"))))
+    return lm.score_texts(docs, spec).select(
+        "doc_id",
+        lm.held_out(F.col("doc_id")).alias("held_out"),
+        "lm.n_tokens",
+        "lm.n_known",
+        F.lit(spec["tokens"]).cast("long").alias("train_tokens"),
+        "lm.base_score",
+        "lm.score",
+    )
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = partenum.jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
     return joined.select("doc_id", "n_shingles", "component_id", "n_links")
@@ -91,4 +105,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_mix_sources, op4_toxicity, op5_exact_dedup, op6_fingerprints, op7_line_dedup, op9_jaccard_join, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_mix_sources, op4_toxicity, op5_exact_dedup, op6_fingerprints, op7_line_dedup, op8_lm_score, op9_jaccard_join, op10_warc)}
