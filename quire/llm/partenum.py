@@ -7,8 +7,9 @@ at least 1 + SLACK of the parts agree in a pair of subparts: similar sets share
 partners can lie in the next band has that band's signatures too.
 
 Sets that share a signature form candidate clusters; within a cluster all pairs are compared exactly, block by
-block, and only a spanning forest of the links leaves a task. Documents with equal sets travel as one. A signature
-that very many sets share is split by the range shuffle, a large cluster by its blocks.
+block, and only a spanning forest of the links leaves a task. Documents with equal sets travel as one. A task ties
+the sets that share a signature among its own documents and passes on one of them, so a signature that very many
+sets share reaches a shard once per task; a large cluster is split by its blocks.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import components, materialise
+from quire.llm.common import WORD, components, materialise
 from quire.llm.wordhash import mix, word_hashes
 
 #: Parts beyond k // 2 + 1. A set in which more parts than this have an empty pair of subparts signs these as well.
@@ -32,6 +32,12 @@ BLOCK, COLUMNS = 256, 8192
 #: Bits of the filter that keeps the texts of candidate clusters; its size is fixed, false hits are joined away.
 FILTER_BITS = 1 << 27
 PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Signatures a task holds before it passes them on; code points of text of a shard of signatures, and fewest shards.
+HELD = 1 << 21
+SHARD_CHARS, LEAST_SHARDS = 32_000_000, 16
+#: Shard number of the rows that hold ties found within a task.
+TIES = -1
+SIGNED = "id long, text_hash long, n long, name long, shard int, sigs binary, places binary, names binary"
 
 
 @dataclass(frozen=True)
@@ -120,92 +126,108 @@ def _binary(texts: pa.Array) -> list[bytes | None]:
     return texts.cast(pa.binary()).to_pylist()
 
 
+def _transposed(x: np.ndarray) -> bytes:
+    return pa.Codec("zstd", 1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), asbytes=True)
+
+
+def _restored(raw: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    plain = pa.Codec("zstd").decompress(raw, n * size)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
+def _runs(sigs: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct signatures in order, a name for each, ties from that name to the others of its signature)."""
+    order = np.argsort(sigs)
+    sigs, names = sigs[order], names[order]
+    first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+    leader = np.repeat(names[first], np.diff(np.append(first, len(sigs))))
+    apart = np.flatnonzero(leader != names)
+    return sigs[first], names[first], np.unique(np.stack([leader[apart], names[apart]], 1), axis=0)
+
+
+def _packed(sigs: list[np.ndarray], names: list[int], bits: int) -> pa.RecordBatch:
+    """One row per shard, and one with the ties."""
+    distinct, leader, ties = _runs(np.concatenate(sigs), np.repeat(np.array(names, np.int64), [len(x) for x in sigs]))
+    shard = (distinct >> np.uint64(64 - bits)).astype(np.int64)
+    start = np.flatnonzero(np.diff(shard, prepend=-1))
+    rows = [(len(ties), TIES, ties[:, 0].tobytes(), None, ties[:, 1].tobytes())]
+    for s, e in zip(start, np.append(start[1:], len(shard))):
+        known, place = np.unique(leader[s:e], return_inverse=True)
+        steps = np.diff(distinct[s:e], prepend=np.uint64(0))
+        rows.append((e - s, shard[s], _transposed(steps), _transposed(place.astype(np.uint32)), known.tobytes()))
+    n, shards, *binary = zip(*rows)
+    none = pa.nulls(len(rows), pa.int64())
+    columns = [none, none, pa.array(n, pa.int64()), none, pa.array(shards, pa.int32()), *[pa.array(x, pa.binary()) for x in binary]]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SIGNED.split(", ")])
+
+
 def signed_documents(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(id, text_hash, n, name, signatures) of every row; name is null for an empty set."""
+    """(id, text_hash, n, name) of every row, name null for an empty set; rows with a shard hold signatures instead."""
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    bits = max(LEAST_SHARDS - 1, chars // SHARD_CHARS).bit_length()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, owners, held = [], [], 0
         for batch in batches:
-            sets: list[np.ndarray] = []
-            start = 0
-
-            def flush(start: int) -> pa.RecordBatch:
-                n = len(sets)
-                found = signatures(sets, percent)
-                lists = pa.ListArray.from_arrays(
-                    np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32),
-                    pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)),
-                )
-                return pa.RecordBatch.from_arrays(
+            start, sets, features = 0, [], 0
+            for i, found in enumerate(shingle_sets(_binary(batch.column(2)), width)):
+                sets.append(found)
+                features += len(found)
+                if features < 200_000 and i + 1 < batch.num_rows:
+                    continue
+                names = [set_name(x) if len(x) else None for x in sets]
+                none = pa.nulls(len(sets), pa.binary())
+                yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(start, n),
-                        batch.column(1).slice(start, n),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([set_name(s) if len(s) else None for s in sets], pa.int64()),
-                        lists,
+                        *(batch.column(c).slice(start, len(sets)) for c in (0, 1)),
+                        pa.array([len(x) for x in sets], pa.int64()),
+                        pa.array(names, pa.int64()),
+                        pa.nulls(len(sets), pa.int32()),
+                        none,
+                        none,
+                        none,
                     ],
-                    ["id", "text_hash", "n", "name", "signatures"],
+                    [x.split()[0] for x in SIGNED.split(", ")],
                 )
-
-            held = 0
-            for features in shingle_sets(_binary(batch.column(2)), width):
-                sets.append(features)
-                held += len(features)
-                if held >= 200_000:
-                    yield flush(start)
-                    start, held = start + len(sets), 0
-                    sets = []
-            if sets:
-                yield flush(start)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(sign, "id long, text_hash long, n long, name long, signatures array<long>")
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Star edges within each run of equal signatures of a sorted partition, and the partition's two ends."""
-    part = TaskContext.get().partitionId()
-    lead_sig = lead = first = None
-    for batch in batches:
-        sig, name = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-        if not len(sig):
-            continue
-        first = (int(sig[0]), int(name[0])) if first is None else first
-        new = np.concatenate([[lead_sig is None or sig[0] != lead_sig], sig[1:] != sig[:-1]])
-        run = np.cumsum(new)
-        heads = np.concatenate([[name[0] if lead is None else lead], name[new]])
-        leader = heads[run]
-        pairs = np.unique(np.stack([leader, name], 1)[leader != name], axis=0)
-        lead_sig, lead = sig[-1], leader[-1]
-        yield _edge_rows(pairs[:, 0], pairs[:, 1], part, None)
-    if first is not None:
-        yield _edge_rows([first[1]], [int(lead)], part, (first[0], int(lead_sig)))
-
-
-def _edge_rows(a, b, part: int, ends: tuple[int, int] | None) -> pa.RecordBatch:
-    n = len(a)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(a, pa.int64()),
-            pa.array(b, pa.int64()),
-            pa.array([part] * n, pa.int32()),
-            pa.array([ends[0] if ends else None] * n, pa.int64()),
-            pa.array([ends[1] if ends else None] * n, pa.int64()),
-        ],
-        ["a", "b", "part", "first_sig", "last_sig"],
-    )
+                new = {n: x for n, x in zip(names, sets) if n is not None}  # equal sets sign once
+                for name, x in zip(new, signatures(list(new.values()), percent)):
+                    sigs.append(x)
+                    owners.append(name)
+                    held += len(x)
+                start, sets, features = start + len(sets), [], 0
+                if held >= HELD:
+                    yield _packed(sigs, owners, bits)
+                    sigs, owners, held = [], [], 0
+        if held:
+            yield _packed(sigs, owners, bits)
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(sign, SIGNED)
 
 
 def candidate_clusters(signed: DataFrame) -> DataFrame:
     """(node, root): names that are connected by shared signatures."""
-    spark = signed.sparkSession
-    rows = signed.select(F.explode("signatures").alias("sig"), "name")
-    ordered = rows.repartitionByRange("sig", "name").sortWithinPartitions("sig", "name")
-    found = materialise(ordered.mapInArrow(_edges, "a long, b long, part int, first_sig long, last_sig long"), "edges")
-    # one row per partition: where a run goes on in the next partition, the two are tied
-    ends = found.filter("first_sig IS NOT NULL").orderBy("part").collect()
-    ties = [(x.b, y.a) for x, y in zip(ends, ends[1:]) if x.last_sig == y.first_sig and x.b != y.a]
-    edges = found.filter("first_sig IS NULL").select("a", "b")
-    return materialise(components(edges.union(spark.createDataFrame(ties, "a long, b long"))), "clusters")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1)):
+                a, b = (np.frombuffer(x.as_buffer(), np.int64) for x in (a, b))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def between(table: pa.Table) -> pa.Table:
+        sigs, names = [], []
+        for n, s, p, known in zip(*(table.column(c).to_pylist() for c in ("n", "sigs", "places", "names"))):
+            sigs.append(np.cumsum(_restored(s, n, np.uint64), dtype=np.uint64))
+            names.append(np.frombuffer(known, np.int64)[_restored(p, n, np.uint32)])
+        ties = _runs(np.concatenate(sigs), np.concatenate(names))[2]
+        return pa.table([pa.array(ties[:, 0]), pa.array(ties[:, 1])], names=["a", "b"])
+
+    own = signed.filter(F.col("shard") == TIES).select("sigs", "names").mapInArrow(within, "a long, b long")
+    rows = signed.filter(F.col("shard") > TIES).select("shard", "n", "sigs", "places", "names")
+    edges = own.union(rows.groupBy("shard").applyInArrow(between, "a long, b long"))
+    return materialise(components(edges), "clusters")
 
 
 def _candidate_sets(docs: DataFrame, text_col: str, width: int, signed: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -318,15 +340,15 @@ def verified_links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: id, text_hash, n_shingles, component_id, n_links.
+    """Per row: id, text_hash, n_shingles, component_id, n_links, root (the component's name, null without words).
 
     Sets of `width`-word shingles with A-Z lower-cased are linked at 100 * intersection >= percent * union.
     component_id is the smallest id that links reach; n_links counts the different sets a row's set is linked
     with (rows of equal sets are in one component and count once). Rows without words, null texts included, are
     linked with nothing and keep their own id. Null ids are never the smallest unless all are null.
     """
-    signed = materialise(signed_documents(docs, id_col, text_col, width, percent), "signed")
-    clusters = candidate_clusters(signed.filter("n > 0"))
+    written = materialise(signed_documents(docs, id_col, text_col, width, percent), "signed")
+    signed, clusters = written.filter("shard IS NULL").select("id", "text_hash", "n", "name"), candidate_clusters(written)
     found = materialise(verified_links(_candidate_sets(docs, text_col, width, signed, clusters), percent), "links")
     roots = materialise(components(found.filter("b IS NOT NULL").select("a", "b")), "roots")
     degrees = found.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("n_links"))
@@ -334,8 +356,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = names.join(roots, F.col("name") == F.col("node"), "left").join(degrees, F.col("name") == F.col("a"), "left")
     names = materialise(names.select("name", "least", F.coalesce("root", "name").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "names")
     least = materialise(names.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    names = materialise(names.join(least, "root").select("name", "component_id", "n_links"), "names")
+    names = materialise(names.join(least, "root").select("name", "root", "component_id", "n_links"), "names")
     # rows without a set look nothing up, so they take no part in the join
-    some = signed.filter("n > 0").join(names, "name").select("id", "text_hash", "n", "component_id", "n_links")
-    none = signed.filter("n = 0").select("id", "text_hash", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    some = signed.filter("n > 0").join(names, "name").select("id", "text_hash", "n", "component_id", "n_links", "root")
+    none = signed.filter("n = 0").select("id", "text_hash", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("root"))
     return some.union(none).withColumnRenamed("id", id_col).withColumnRenamed("n", "n_shingles")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near duplicates: of each component the row with the smallest id stays.
+
+    Null ids come last; of rows that share the id, the smallest text hash decides, and of rows that repeat both one
+    stays. Rows without words all stay. The columns are those of `docs`.
+    """
+    joined = materialise(jaccard_components(docs, id_col, text_col, width, percent), "joined").filter("root IS NOT NULL")
+    key = [F.col(id_col).isNull().alias("absent"), F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("id"), F.col("text_hash")]
+    stay = joined.groupBy("root").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    stay = materialise(stay, "stay")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = ["absent", "id", "text_hash"]
+    rows = docs.select(
+        F.struct(F.col("*")).alias("row"), key[0], key[1], F.xxhash64(text).alias("text_hash"), text.rlike(WORD).alias("worded")
+    )
+    kept = rows.filter("worded").join(stay, keys, "left_semi")
+    repeated = joined.groupBy(*[k.alias(n) for k, n in zip(key, keys)]).count().filter("count > 1").join(stay, keys, "left_semi")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(keys)
+    return kept.select("row.*").union(rows.filter("NOT worded").select("row.*"))
