@@ -28,7 +28,7 @@ from quire.llm.wordhash import mix, word_hashes
 #: Parts beyond k // 2 + 1. A set in which more parts than this have an empty pair of subparts signs these as well.
 SLACK = 1
 #: Sets of a block within a cluster, and features compared at once.
-BLOCK, COLUMNS = 256, 8192
+BLOCK, COLUMNS = 128, 8192
 #: Bits of the filter that keeps the texts of candidate clusters; its size is fixed, false hits are joined away.
 FILTER_BITS = 1 << 27
 PAIRS = ((0, 1), (0, 2), (1, 2))
