@@ -103,7 +103,8 @@ def region(html: str | Column, start: str, stop: str) -> Column:
     return F.regexp_extract(as_col(html), f"(?s)(?:{start})(.*?)(?:{stop}|\\z)", 1)
 
 
-CONTENTS_HEADING = r"<h2[^>]*>(?:<(?!/h2>)[^>]*>|[^<目]|目(?![錄录]</h2>))*目[錄录]</h2>"
+# possessive throughout: a plain repeated group takes a stack frame per character of an unclosed heading
+CONTENTS_HEADING = r"<h2\b[^>]*+>(?:[^<目]++|<(?!/?h2\b)|目(?![錄录]</h2>))*+目[錄录]</h2>"
 
 
 def extract_region_links(

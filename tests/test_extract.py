@@ -1,3 +1,8 @@
+"""Pages of an invented garden-seed catalogue and its almanac, cut by patterns of their own."""
+
+import time
+
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -7,119 +12,133 @@ from quire.operators.segment import with_heading_chapters
 
 
 def pages(spark, *html):
-    return spark.createDataFrame([(i, h) for i, h in enumerate(html)], "page_id int, html string")
+    return spark.createDataFrame(list(enumerate(html)), "page_id int, html string")
 
 
-CARD = r'(?s)<div class="card"(.*?)(?=<div class="card"|</ul>|\z)'
+SEED = r"(?s)<section\s+data-seed>(.*?)</section>"
+SEED_FIELDS = {
+    "sku": ex.Field(r'data-sku="([A-Z]+-[0-9]+)"', "raw"),
+    "title": ex.Field(r"(?s)<h4>(.*?)</h4>"),
+    "author": ex.Field(r"(?s)<dd>(.*?)</dd>", "author"),
+    "intro": ex.Field(r"(?s)<blockquote>(.*?)</blockquote>", "intro", 30),
+    "season": ex.Field(r"(?s)<kbd>(.*?)</kbd>"),
+}
 
 
-def test_cards(spark):
+def test_cards_take_their_fields_and_skip_those_without_a_key(spark):
     html = (
-        '<ul><div class="card"><a href="/book/50045.html"></a><a class="book-title">詭秘之主（1 / 2）</a>'
-        '<span class="author">愛潛水的&eacute;烏賊</span><div class="intro">a\n  b ' + "x" * 200 + "</div>"
-        '<div class="card"><a class="book-title">no id</a></div></ul>'
+        '<section data-seed><i data-sku="PEA-12"></i><h4>Green &amp; <u>sweet</u> pea（ 3 / 9 ）</h4><dd>（old）Gr&ouml;ner</dd>'
+        "<blockquote>climbs\n\n  high and wide across the trellis</blockquote></section>"
+        "<section data-seed><h4>unlabelled bag</h4></section>"
+        '<section data-seed><i data-sku="FIG-3"></i><kbd> autumn </kbd></section>'
     )
-    fields = {
-        "id": ex.Field(r'href="/book/(\d+)\.html"', "raw"),
-        "title": ex.Field(r'(?s)class="book-title"[^>]*>(.*?)</a>'),
-        "author": ex.Field(r'(?s)class="author"[^>]*>(.*?)</span>'),
-        "intro": ex.Field(r'(?s)class="intro"[^>]*>(.*?)</div>', "intro", ex.INTRO_LENGTH),
-        "status": ex.Field(r'(?s)class="badge"[^>]*>(.*?)</span>'),
-    }
-    (got,) = rows(ex.extract_cards(pages(spark, html), CARD, fields, "id"))
-    assert got[2:5] == ("50045", "詭秘之主", "愛潛水的é烏賊")
-    assert got[5].startswith("a b x") and len(got[5]) == 120 and got[6] == ""
+    got = ex.extract_cards(pages(spark, html), SEED, SEED_FIELDS, "sku").orderBy("card_idx")
+    assert rows(got, "card_idx", "sku", "title", "author", "intro", "season") == [
+        (0, "PEA-12", "Green & sweet pea", "Gröner", "climbs high and wide across th", ""),
+        (2, "FIG-3", "", "", "", "autumn"),
+    ]
 
 
-def test_note_after_a_bold_span(spark):
-    html = '<li><a href="wiki.pl?res=7">書</a><span style="font-weight: bold;">（宋）徐子平</span><br>note <i>text</i></li>'
-    bold = r'<span style="font-weight: bold;">'
+def test_a_note_is_the_rest_of_the_card(spark):
+    html = '<p class=row><q data-n="41"></q><strong>（new）Ida Moor</strong> sown <em>in</em>\n March</p>'
+    mark = "<strong>"
     fields = {
-        "id": ex.Field(r"res=(\d+)", "raw"),
-        "author": ex.Field(rf"(?s){bold}(.*?)</span>", "author"),
-        "note": ex.Field(rf"(?s){bold}.*?</span>(.*)\z", "text"),
+        "n": ex.Field(r'data-n="(\d+)"', "raw"),
+        "author": ex.Field(rf"(?s){mark}(.*?)</strong>", "author"),
+        "note": ex.Field(rf"(?s){mark}.*?</strong>(.*)\z", "text"),
     }
-    assert rows(ex.extract_cards(pages(spark, html), r"(?s)<li>(.*?)</li>", fields, "id"), "id", "author", "note") == [
-        ("7", "徐子平", "note text")
-    ]
+    got = ex.extract_cards(pages(spark, html), r"(?s)<p class=row>(.*?)</p>", fields, "n")
+    assert rows(got, "n", "author", "note") == [("41", "Ida Moor", "sown in March")]
 
 
-def test_links_keep_order_and_own_book(spark):
+def test_links_keep_their_order_and_belong_to_one_bed(spark):
     html = (
-        '<a href="/book/1/11.html">第一章（1 / 1）</a><a href="/book/2/99.html">other</a>'
-        '<a href="/book/1/12.html"> <b>第二章&eacute;</b> </a><a href="/book/1/11.html">第一章</a><a href="/book/1/13.html"> </a>'
+        '<a rel=bed href="bed-a/r3">Row three（2 / 2）</a><a rel=bed href="bed-b/r9">elsewhere</a>'
+        '<a rel=bed href="bed-a/r1"><i> Row &eacute;toile </i></a><a rel=bed href="bed-a/r3">Row three</a><a rel=bed href="bed-a/r2">  </a>'
     )
-    p = pages(spark, html, "<p>none</p>").withColumn("book", F.lit("/book/1/"))
-    got = ex.extract_links(p, r'(?s)href="/book/\d+/(\d+)\.html"[^>]*>(.*?)</a>', own=F.col("book"))
-    assert rows(got.orderBy("link_idx"), "link_idx", "target", "label") == [(0, "11", "第一章"), (1, "12", "第二章é")]
+    beds = pages(spark, html, "<p>fallow</p>").withColumn("bed", F.lit('href="bed-a/'))
+    got = ex.extract_links(beds, r'(?s)<a rel=bed href="bed-\w/(r\d)">(.*?)</a>', own=F.col("bed"))
+    assert rows(got.orderBy("link_idx"), "link_idx", "target", "label") == [(0, "r3", "Row three"), (1, "r1", "Row étoile")]
 
 
-def test_region_links(spark):
-    html = (
-        '<a href="/wiki/before">b</a><h2><span id="x"></span>目錄</h2><ul><li><a href="#s">自序</a>'
-        '<a href="/wiki/%E7%8B%82%E4%BA%BA_x+y">狂人</a><a href="/wiki/%E7%8B%82%E4%BA%BA_x+y">again</a>'
-        '<a href="/wiki/hash">#1</a></ul><h3>next</h3><a href="/wiki/after">a</a>'
-    )
-    got = ex.extract_region_links(pages(spark, html, html.replace("目錄", "目录"), "<h2>x</h2><p>目錄</h2>"))
-    assert rows(got.orderBy("page_id"), "page_id", "title") == [(0, "狂人 x+y"), (1, "狂人 x+y")]
+def almanac(heading, *names):
+    items = "".join(f'<li><a title=t href="/wiki/{n}">{i}. month</a>' for i, n in enumerate(names))
+    return f'<a href="/wiki/Cover">cover</a>{heading}<ul>{items}<li><a href="#top">up</a></ul><h2>Notes</h2><a href="/wiki/Back">b</a>'
 
 
-def test_main_text(spark):
-    html = '<h1>第一章 绯红（1 / 1）</h1><div id="chaptercontent" class="c"><p>痛！</p>\r\n<p>　好&eacute;痛<br/> 啊 &lt;<br></p><!-- <p>x</p> --></div>'
-    out = ex.extract_main_text(pages(spark, html, "<html><h1>t</h1>no content</html>"), r'(?s)<div[^>]+id="chaptercontent"[^>]*>(.*?)</div>')
-    assert rows(out.orderBy("page_id"), "title", "text") == [("第一章 绯红", "痛！\n好é痛\n啊 <"), ("", "")]
-    assert rows(ex.drop_shells(out), "page_id") == [(0,)]
-    assert rows(ex.shell_counts(out.withColumn("b", F.lit(1)), ["b"])) == [(1, 1, 1)]
+@pytest.mark.parametrize("heading", ["<h2>目录</h2>", "<h2 id=c><b>總</b>目錄</h2>", "<h2>Preface<h2>目 目錄</h2>", '<h2 data-x="目">本書目录</h2>'])
+def test_contents_region(spark, heading):
+    html = almanac(heading, "May_frost", "Caf%C3%A9_rain+sun", "May_frost")
+    got = ex.extract_region_links(pages(spark, html, "<h2>Index</h2><p>目录</p>"))
+    assert rows(got.orderBy("link_idx"), "page_id", "title") == [(0, "May frost"), (0, "Café rain+sun")]
+
+
+def test_an_open_heading_of_a_megabyte_is_survived(spark):
+    long = "<h2>" + "petal <i>x</i> 目 " * 60_000
+    many = "<h2>leaf " * 20_000
+    start = time.time()
+    got = ex.extract_region_links(pages(spark, long, many, long + almanac("<h2>目录</h2>", "June")))
+    assert rows(got, "page_id", "title") == [(2, "June")]
+    assert time.time() - start < 60
 
 
-def test_cells_to_chapters(spark):
+def test_main_text_of_a_container(spark):
     html = (
-        '<td class="ctext" style="width: 60px;">1</td><td class="ctext">《論天干》</td>'
-        '<td class="ctext" style="width: 60px;">2</td><td class="ctext">甲<a>木</a>\n 參天 &eacute;</td><td class="ctext"> </td>'
+        "<h1>Moss（4 / 7）</h1><main data-leaf><p>soft &amp; green</p>\r\n<p>　deep&nbsp;shade<br/> slow &lt;<BR></p>"
+        "<!-- <p>cut</p> --><script>let p='</p>'</script></main>"
     )
-    cells = ex.extract_cells(pages(spark, html, "<p>none</p>"))
-    assert rows(cells.orderBy("page_id"), "lines") == [(["《論天干》", "甲木 參天 é"],), ([],)]
+    out = ex.extract_main_text(pages(spark, html, "<h1>Bare</h1><p>no leaf</p>"), r"(?s)<main data-leaf>(.*?)</main>")
+    assert rows(out.orderBy("page_id"), "title", "text") == [("Moss", "soft & green\ndeep\xa0shade\nslow <"), ("", "")]
+    assert rows(ex.drop_shells(out), "page_id") == [(0,)]
+    assert rows(ex.shell_counts(out.withColumn("g", F.lit("plot")), ["g"])) == [("plot", 1, 1)]
+
+
+def test_cells_become_lines(spark):
+    cell = '<th class="plot"{}>{}</th>'
+    html = cell.format(' style="width: 60px;"', "1") + cell.format("", "《春耕》") + cell.format("", "turn<b> the</b>\n soil &copy;") + cell.format("", " ")
+    cells = ex.extract_cells(pages(spark, html, "<i></i>"), tag="th", css="plot")
+    assert rows(cells.orderBy("page_id"), "lines") == [(["《春耕》", "turn the soil ©"],), ([],)]
     cut = with_heading_chapters(cells, lines=F.col("lines")).orderBy("page_id")
-    assert cut.first()["heading_chapters"][0]["title"] == "論天干"
+    assert cut.first()["heading_chapters"][0]["title"] == "春耕"
 
 
-SECTIONED = (
-    "<p>lead</p><h2>自序<span class='mw-headline'></span></h2><p>a&eacute;<br/>b</p>"
-    '<div class="navbox"><p>no</p></div><h2>目錄</h2><ul><li>x</li></ul><h3>二</h3><p>c</p><li>d</li>'
+PLOTS = (
+    "<p>gate</p><h3>North bed<em></em></h3><p>kale&nbsp;<br>leek</p>"
+    '<aside class="side noprint"><p>advert</p></aside><h2>目录</h2><ul><li>skip</li></ul><h4>South bed</h4><li>chard</li><p>beet</p>'
 )
 
 
-def test_sections_native_and_nested_agree(spark):
-    want = [("", "lead"), ("自序", "aé\nb"), ("二", "c\nd")]
-    nested = SECTIONED.replace('<div class="navbox"><p>no</p></div>', '<div class="navbox"><div>q</div><p>no</p></div>')
-    quoted = SECTIONED.replace('<div class="navbox">', "<div class='navbox'>")
-    got = ex.html_chapters(pages(spark, SECTIONED, nested, quoted, "<p></p>")).orderBy("page_id", "chapter_idx").collect()
-    for page in range(3):
+def test_sections_are_the_same_on_both_paths(spark):
+    want = [("", "gate"), ("North bed", "kale\xa0\nleek"), ("South bed", "chard\nbeet")]
+    deep = PLOTS.replace("<p>advert</p>", "<aside>in</aside><p>advert</p>")
+    single = PLOTS.replace('"side noprint"', "'side noprint'")
+    got = ex.html_chapters(pages(spark, PLOTS, deep, single, "<p> </p>")).orderBy("page_id", "chapter_idx").collect()
+    for page in (0, 1, 2):
         assert [(r["title"], r["text"]) for r in got if r["page_id"] == page] == want
-    assert not [r for r in got if r["page_id"] == 3]
+    assert all(r["page_id"] < 3 for r in got)
 
 
-def test_edit_marks_are_no_part_of_a_heading(spark):
-    html = '<h2>一<span class="mw-editsection">[编辑]</span></h2><p>x</p>'
-    both = html + '<div class="navbox"><div></div></div>'
-    assert rows(ex.html_chapters(pages(spark, html, both)).orderBy("page_id"), "title", "text") == [("一", "x"), ("一", "x")]
+def test_marks_inside_a_heading_do_not_count(spark):
+    html = '<h3>Orchard<small class="mw-editsection">(change)</small></h3><li>pear</li>'
+    nested = html + '<table class="navbox"><tr><table></table></tr></table>'
+    got = ex.html_chapters(pages(spark, html, nested)).orderBy("page_id")
+    assert rows(got, "title", "text") == [("Orchard", "pear")] * 2
 
 
-def test_section_names(spark):
-    df = spark.createDataFrame(
-        [("p", [("", "x")]), ("q", [("", "x"), ("s", "y")]), ("r", [("t", "x")])],
-        "page string, s array<struct<title:string,text:string>>",
-    ).select("page", F.transform(ex.prefix_sections("s", "page"), lambda c: c["title"]))
-    assert rows(df) == [("p", ["p"]), ("q", ["q", "q·s"]), ("r", ["t"])]
+def test_names_of_sections(spark):
+    data = [("bed", [("", "a")]), ("row", [("", "a"), ("end", "b")]), ("plot", [("gate", "a")])]
+    df = spark.createDataFrame(data, "page string, s array<struct<title:string,text:string>>")
+    named = df.select("page", F.transform(ex.prefix_sections("s", "page"), lambda c: c["title"]))
+    assert rows(named) == [("bed", ["bed"]), ("row", ["row", "row·end"]), ("plot", ["gate"])]
 
 
-def test_page_in_place_of_a_file(spark):
-    files = [b"  \n<!DOCTYPE html>", b"<HTML><body>", b"%PDF-1.4 cloudflare", b"%PDF-1.4", b"x" * 512 + b"cloudflare", b""]
-    df = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "id int, content binary")
-    got = rows(ex.reject_page_bytes(df).orderBy("id"), "is_page")
-    assert [g[0] for g in got] == [True, True, True, False, False, False]
+def test_a_web_page_served_for_a_file(spark):
+    heads = {b"\t\n<!docType html><p>": True, b" <hTmL lang=x>": True, b"PK\x03 via CloudFlare": True, b"PK\x03\x04": False,
+             b"." * 512 + b"cloudflare": False, b"": False}
+    df = spark.createDataFrame([(i, bytearray(h)) for i, h in enumerate(heads)], "id int, content binary")
+    assert [g[0] for g in rows(ex.reject_page_bytes(df).orderBy("id"), "is_page")] == list(heads.values())
 
 
-def test_strip_tags_drops_scripts(spark):
-    df = spark.createDataFrame([("<p>a<script>var t='</p>'</script>\n b</p><!-- c -->&middot;",)], "c string")
-    assert df.select(strip_tags("c", ("comment", "script", "style"))).first()[0] == "a b·"
+def test_blocks_without_text_are_dropped(spark):
+    df = spark.createDataFrame([("<div>fern<style>p{a:'<b>'}</style>\n\tmoss</div><!-- ivy -->&hellip;",)], "c string")
+    assert df.select(strip_tags("c", ("comment", "script", "style"))).first()[0] == "fern moss…"
