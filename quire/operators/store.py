@@ -3,25 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.functions.text import progress_key, store_key
 
 KEYS = ["source", "id"]
-SCHEMA_VERSION = 1
+#: 2: folders are hash buckets and batches; version 1 had a folder per source.
+SCHEMA_VERSION = 2
+#: Hash buckets of the keys. Part of a store's layout: the folders do not grow with sources or keys.
+BUCKETS = 64
 
 
-def _as_store(books: DataFrame, batch_id: int, saved_ts: Column | None, deleted: bool) -> DataFrame:
+def bucket(source: str | Column = "source", id_: str | Column = "id") -> Column:
+    """Bucket of a key; null and empty are different keys and may share a bucket."""
+    return F.pmod(F.xxhash64(source, id_), F.lit(BUCKETS)).cast("int")
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+
+
+def _as_store(books: DataFrame, batch_id: int, saved_ts: Column | None, deleted: Column) -> DataFrame:
     has = set(books.columns)
     named = {
         "schema_version": F.lit(SCHEMA_VERSION),
         "store_key": store_key("source", "id"),
         "saved_ts": F.current_timestamp() if saved_ts is None else saved_ts,
-        "deleted": F.lit(deleted),
+        "deleted": deleted,
         "batch_id": F.lit(batch_id),
+        "bucket": bucket(),
     }
     out = []
     for field in (f.strip().split(" ", 1) for f in _fields(schemas.STORE)):
@@ -42,17 +56,26 @@ def _fields(schema: str) -> list[str]:
     return [*out, schema[start:]]
 
 
-def store_upsert(books: DataFrame, path: str, batch_id: int, saved_ts: Column | None = None, deleted: bool = False) -> None:
-    """Write the versions of one batch. A retried batch replaces its own files and no other.
+def store_upsert(
+    books: DataFrame, path: str, batch_id: int, saved_ts: Column | None = None, deleted: bool | Column = False
+) -> None:
+    """Write the versions of one batch, one call per batch. A retried batch replaces its own files and no other.
 
-    The rebalance evens the files out: one huge source is written by many tasks, small ones by few.
+    `deleted` may be a column, so books and tombstones go into one batch. Of rows with one key the latest
+    stays, a tombstone before a book of the same time, then the larger hash of the row, so retries agree.
+    Rows meet in their bucket, which is also their folder: texts are shuffled once.
     """
+    flag = deleted if isinstance(deleted, Column) else F.lit(deleted)
+    rows = _as_store(books, batch_id, saved_ts, flag).repartition("bucket")
+    order = [F.col("saved_ts").desc(), F.col("deleted").desc(), F.xxhash64(*[c for c in rows.columns if c != "saved_ts"]).desc()]
+    one = F.row_number().over(Window.partitionBy("bucket", *KEYS).orderBy(*order))
     (
-        _as_store(books, batch_id, saved_ts, deleted)
-        .hint("rebalance", "source")
+        rows.withColumn("_nth", one)
+        .filter("_nth = 1")
+        .drop("_nth")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("source", "batch_id")
+        .partitionBy("bucket", "batch_id")
         .parquet(path)
     )
 
@@ -62,14 +85,18 @@ def store_versions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_versions(versions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Current version per key. Winners are found on narrow columns; texts are shuffled once at most."""
+    """Current version per key. Winners are found on narrow columns; texts are shuffled once at most.
+
+    A batch holds one row per key, so time and batch name one version. Null keys are keys like any other.
+    """
     winners = (
         versions.groupBy(*keys)
         .agg(F.max(F.struct("saved_ts", "batch_id", "deleted")).alias("_v"))
         .filter(~F.col("_v.deleted"))
         .select(*keys, "_v.saved_ts", "_v.batch_id")
     )
-    return versions.filter(~F.col("deleted")).join(winners, [*keys, "saved_ts", "batch_id"], "left_semi")
+    live = versions.filter(~F.col("deleted"))
+    return live.join(winners, _same(live, winners, [*keys, "saved_ts", "batch_id"]), "left_semi")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -80,9 +107,9 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
     """Current versions to a new folder; the one being read is left alone."""
     (
         read_store(spark, path)
-        .hint("rebalance", "source")
+        .hint("rebalance", "bucket")
         .write.mode("errorifexists")
-        .partitionBy("source", "batch_id")
+        .partitionBy("bucket", "batch_id")
         .parquet(target)
     )
 
@@ -91,12 +118,14 @@ def split_cached(requests: DataFrame, stored: DataFrame, force: bool = False, ke
     """Requests with `cached`. `force` has all of them done again."""
     if force:
         return requests.withColumn("cached", F.lit(False))
-    known = stored.select(*keys).distinct().withColumn("_hit", F.lit(True))
-    return requests.join(known, list(keys), "left").withColumn("cached", F.col("_hit").isNotNull()).drop("_hit")
+    known = stored.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_hit", F.lit(True))
+    same = reduce(lambda a, b: a & b, [requests[k].eqNullSafe(known[f"_{k}"]) for k in keys])
+    return requests.join(known, same, "left").select(*requests.columns, F.col("_hit").isNotNull().alias("cached"))
 
 
 def pending(requests: DataFrame, stored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return requests.join(stored.select(*keys).distinct(), list(keys), "left_anti")
+    known = stored.select(*keys).distinct()
+    return requests.join(known, _same(requests, known, keys), "left_anti")
 
 
 def resume_plan(toc: DataFrame, checkpoints: DataFrame, pos: str = "pos") -> DataFrame:

@@ -12,7 +12,7 @@ BOOK = (
 STORE = (
     "schema_version int, id string, store_key string, title string, chars int, lines int, format string, "
     "content string, chapters array<struct<title:string,text:string>>, raw binary, saved_ts timestamp, "
-    "deleted boolean, source string, batch_id bigint"
+    "deleted boolean, source string, bucket int, batch_id bigint"
 )
 TREE = (
     "tree array<struct<path:string,mode:string,type:string,sha:string,size:bigint,url:string>>, "

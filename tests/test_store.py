@@ -34,11 +34,32 @@ def test_versions_retries_tombstones_and_compaction(spark, tmp_path):
     assert store.store_versions(spark, str(tmp_path / "compact")).count() == 2
     # another schema version is a miss
     store.store_versions(spark, path).limit(1).withColumn("schema_version", F.lit(9)).withColumn("id", F.lit("9")).write.partitionBy(
-        "source", "batch_id"
+        "bucket", "batch_id"
     ).mode("append").parquet(path)
     assert rows(store.read_store(spark, path).orderBy("source", "id"), "source", "id", "content") == want
 
 
+def test_null_and_empty_keys_and_repeated_ones(spark, tmp_path):
+    path = str(tmp_path / "store")
+    first = books(spark, ("", "1", "a"), (None, "1", "b"), ("h", "2", "y"), ("h", "2", "z"), ("h", None, "c"), ("h", "2", "y"))
+    store.store_upsert(first, path, 0, at(0))
+    got = rows(store.read_store(spark, path), "source", "id", "content")
+    assert len(got) == 4 and {g[:2] for g in got} == {("", "1"), (None, "1"), ("h", "2"), ("h", None)}
+    again = str(tmp_path / "again")
+    store.store_upsert(first.repartition(3), again, 0, at(0))
+    assert set(rows(store.read_store(spark, again), "source", "id", "content")) == set(got)
+    mixed = spark.createDataFrame([("", "1", "new", False), (None, "1", "dead", True), ("h", "2", "both", False), ("h", "2", None, True)], "source string, id string, content string, gone boolean")
+    store.store_upsert(mixed, path, 1, at(1), F.col("gone"))
+    assert set(rows(store.read_store(spark, path), "source", "id", "content")) == {("", "1", "new"), ("h", None, "c")}
+    have = store.read_store(spark, path)
+    asked = books(spark, ("", "1", ""), (None, "1", ""), ("h", None, ""))
+    assert rows(store.pending(asked, have), "source", "id") == [(None, "1")]
+    assert sorted(rows(store.split_cached(asked, have), "cached")) == [(False,), (True,), (True,)]
+    many = spark.range(500).select(F.concat(F.lit("host"), F.col("id").cast("string")).alias("source"), F.lit("1").alias("id"), F.lit("x").alias("content"))
+    store.store_upsert(many, path, 2, at(2))
+    assert len(list((tmp_path / "store").glob("bucket=*"))) <= store.BUCKETS
+
+
 def test_cached_and_pending(spark):
     asked, have = books(spark, ("s", "1", ""), ("s", "2", "")), books(spark, ("s", "1", ""), ("s", "1", ""), ("t", "2", ""))
     assert rows(store.split_cached(asked, have).orderBy("id"), "id", "cached") == [("1", True), ("2", False)]

@@ -3,12 +3,11 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
-from test_logs import attempts, brute, log
 
 from quire import schemas
 from quire.operators import library, store
 from quire.plans.queries import ARTICLE
-from quire.streaming import breaker, ingest
+from quire.streaming import ingest
 
 
 def test_ingest_is_incremental(spark, tmp_path, sf_dir):
@@ -57,24 +56,19 @@ def test_checkpoint_stream(spark, tmp_path):
     assert rows(spark.table("marks")) == [("s", "1", "t", 2)]
 
 
-@pytest.mark.parametrize("files", [1, 3])
-def test_breaker_stream_equals_the_loop(spark, tmp_path, files):
-    data = attempts(11, n=240)
-    data = sorted(data, key=lambda a: (a[1], a[2]))
-    source = str(tmp_path / "log")
-    step = len(data) // files
-    for part in range(files):
-        rows_ = data[part * step:(part + 1) * step]
-        log(spark, rows_).coalesce(1).write.mode("append").parquet(source)
-    # a last attempt far ahead moves the watermark past all others
-    log(spark, [("z", 100_000, 10_000, True)]).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(schemas.FETCH_LOG).option("maxFilesPerTrigger", 1).parquet(source)
-    name = f"states{files}"
-    query = (
-        breaker.breaker_stream(stream, delay="2 hours", window=300)
-        .writeStream.outputMode("append").format("memory").queryName(name)
-        .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    got = {r["id"]: r["state"] for r in spark.table(name).collect()}
-    assert got == brute(data, 3, 300)
+def test_ingest_keeps_pages_without_a_host(spark, tmp_path):
+    source, path = str(tmp_path / "pages"), str(tmp_path / "store")
+    page = "<article>text {}</article>"
+    data = [(1, "no host", page.format(1)), (2, None, page.format(2)), (3, "http://h/x", page.format(3)), (3, "http://h/x", page.format(3))]
+    for run in range(2):
+        spark.createDataFrame(data, schemas.PAGES).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schemas.PAGES).parquet(source)
+        ingest.ingest_stream(stream, path, str(tmp_path / "checkpoint"), ARTICLE).awaitTermination()
+        assert store.store_versions(spark, path).count() == 3
+    assert sorted(r["content"] for r in store.read_store(spark, path).collect()) == ["text 1", "text 2", "text 3"]
+
+
+def test_only_a_missing_store_counts_as_empty(spark, tmp_path):
+    assert ingest._known_keys(spark, str(tmp_path / "none"), 1, [0]).count() == 0
+    with pytest.raises(Exception):
+        ingest._known_keys(spark, "nosuchscheme://x/y", 1, [0])
