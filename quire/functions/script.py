@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,13 +26,11 @@ AFTER_CONVERSION = (
     ("。干，天也", "。乾，天也"), ("”干，阳物也", "”乾，阳物也"), ("曰“干", "曰“乾"),
 )
 
-#: More phrases than this make one pass over the text cheaper than a pass per phrase.
-FOLD_LIMIT = 512
-#: A conversion table is a dictionary; anything longer is not one.
+#: Bound of a conversion table, which every worker holds; a longer one is refused, never cut.
 TABLE_LIMIT = 250_000
 
-_FREEZE = 0xE000  # protected words
-_PHRASE = 0xF0000  # phrase results
+#: A mark is this character and one more; the character itself, where a text holds it, is marked as well.
+_ESCAPE, _ITSELF, _WORDS = "\ue0ff", "\ue0fe", 0xE000
 
 
 def _fold(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -45,13 +43,6 @@ def _fold(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return F.aggregate(table, text, lambda acc, p: F.replace(acc, p["a"], p["b"]))
 
 
-def _overlapping(phrases: Iterable[str]) -> bool:
-    """Can the end of one phrase be the start of another? Then replacing in order is not exact."""
-    words = list(phrases)
-    starts = {w[:k] for w in words for k in range(1, len(w))}
-    return any(w[k:] in starts for w in words for k in range(1, len(w)))
-
-
 def _longest_match(phrases: Mapping[str, str], chars: Mapping[str, str]):
     """Arrow function: leftmost longest phrase, else the single character."""
     lengths: dict[str, list[int]] = {}
@@ -110,27 +101,28 @@ class ScriptTable:
 
     @staticmethod
     def _convert(text: Column, chars: Mapping[str, str], phrases: Mapping[str, str]) -> Column:
-        """Phrases, then characters; text that holds neither is passed on untouched."""
+        """Leftmost longest phrases, then characters; text that holds neither is passed on untouched.
+
+        Characters alone are native; a table with phrases is one Arrow function, whatever its size.
+        """
         first = {w[0] for w in (*phrases, *chars)}
         if not first:
             return text
         touched = text.rlike("[" + "".join(rf"\x{{{ord(c):x}}}" for c in sorted(first)) + "]")
-        if len(phrases) > FOLD_LIMIT or _overlapping(phrases):
+        if phrases:
             return F.coalesce(_longest_match(phrases, chars)(F.when(touched, text)), text)
-        ordered = sorted(phrases, key=len, reverse=True)
-        marks = {p: chr(_PHRASE + i) for i, p in enumerate(ordered)}
-        out = _fold(text, [(p, marks[p]) for p in ordered])
         singles = [(a, b) for a, b in chars.items() if len(a) == len(b) == 1]
-        out = F.translate(out, "".join(a for a, _ in singles), "".join(b for _, b in singles))
-        return F.when(touched, _fold(out, [(marks[p], phrases[p]) for p in ordered])).otherwise(text)
+        out = F.translate(text, "".join(a for a, _ in singles), "".join(b for _, b in singles))
+        return F.when(touched, out).otherwise(text)
 
     def simplified(self, c: str | Column) -> Column:
         """Every protected word holds 乾 and every later repair 干: text without them skips those steps."""
         text = as_col(c)
-        frozen = [(w, chr(_FREEZE + i)) for i, w in enumerate(PROTECTED_WORDS)]
-        held = _fold(text, [*BEFORE_PROTECTION, *frozen])
+        frozen = [(w, _ESCAPE + chr(_WORDS + i)) for i, w in enumerate(PROTECTED_WORDS)]
+        own = (_ESCAPE, _ESCAPE + _ITSELF)
+        held = _fold(text, [own, *BEFORE_PROTECTION, *frozen])
         thaw = [(mark, word) for word, mark in frozen]
-        guarded = _fold(self._convert(held, *self._t2s), [*thaw, *AFTER_CONVERSION])
+        guarded = _fold(self._convert(held, *self._t2s), [*thaw, own[::-1], *AFTER_CONVERSION])
         plain = let(
             self._convert(text, *self._t2s),
             lambda t: F.when(F.contains(t, F.lit("干")), _fold(t, AFTER_CONVERSION)).otherwise(t),

@@ -157,9 +157,7 @@ TABLE = dict(
         ("天干地支", "天干地支"), ("夫乾，健也", "夫乾，健也"), ("《乾》", "《乾》"), ("頭髮", "头发"), ("plain", "plain"),
     ],
 )
-@pytest.mark.parametrize("limit", [512, 0])
-def test_simplified(spark, text, want, limit, monkeypatch):
-    monkeypatch.setattr("quire.functions.script.FOLD_LIMIT", limit)
+def test_simplified(spark, text, want):
     df = spark.createDataFrame([(text,)], "c string").select(ScriptTable(**TABLE).simplified("c"))
     assert df.first()[0] == want
 
@@ -170,6 +168,13 @@ def test_overlapping_phrases_take_the_leftmost_longest(spark):
     assert rows(df) == [("3d 2 1d C",), (None,)]
 
 
+@pytest.mark.parametrize("phrases", [{}, {"乾杯": "干杯!"}])
+def test_private_use_characters_stay(spark, phrases):
+    own = "\ue000乾\ue001坤 \ue0ff\ue000 乾坤\ue0ff乾\ue0fe \U000f0000淵"
+    df = spark.createDataFrame([(own,)], "c string").select(ScriptTable({"乾": "干", "淵": "渊"}, {}, phrases).simplified("c"))
+    assert df.first()[0] == "\ue000干\ue001坤 \ue0ff\ue000 乾坤\ue0ff干\ue0fe \U000f0000渊"
+
+
 def test_load_checks_the_size(spark):
     conv = spark.createDataFrame([("t2s_char", "淵", "渊"), ("s2t_char", "渊", "淵")], "kind string, from string, to string")
     assert spark.createDataFrame([("淵",)], "c string").select(ScriptTable.load(conv).simplified("c")).first()[0] == "渊"
