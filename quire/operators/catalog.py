@@ -11,8 +11,8 @@ from quire.functions.text import error_message, full_key, has_cjk, strip
 from quire.operators.ordering import hash_chunk, number_chunk, number_within, running_sum_within
 from quire.session import cut_lineage
 
-# Sources with their labels in registry order, the categories over them, and the
-# sources that index foreign titles.
+# Sources with their labels in registry order, the categories over them, the sources that
+# index foreign titles, and the texts for a missing licence, an unknown and a silent source.
 SOURCES = (
     ("biquge", "网络小说"), ("ctext", "中文古籍"), ("github", "古籍仓库"), ("gutenberg", "古登堡公版"),
     ("wikisource", "中文公版"), ("wikisource-en", "英文公版"), ("libgen", "电子书库"),
@@ -28,6 +28,7 @@ FOREIGN_SOURCES = ("gutenberg", "wikisource-en", "libgen")
 UNDECLARED_LICENSE = "未声明(权利状态不明，使用前自审)"
 UNKNOWN_SOURCE = "unknown source"
 NO_RESPONSE = "TimeoutError: source did not respond in 20s"
+# Limits of a search that asks for one, and the texts of the advice.
 SEARCH_LIMIT = 200
 CLI_LIMIT = 20
 HINTS = {
@@ -99,10 +100,14 @@ def union_sources(*hits: DataFrame) -> DataFrame:
 
 # ---- title search -------------------------------------------------------
 
-def _cuts(text: str, k: int) -> Column:
-    """All character sequences of length `k`; the text itself when it is shorter."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1)))
-    return F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(k)))
+def _letters(text: str) -> Column:
+    return F.array_remove(F.split(text, ""), "")
+
+
+def _cuts(letters: str, k: int) -> Column:
+    """All sequences of `k` of the letters; the whole text when it is shorter. Linear in the text."""
+    places = F.sequence(F.lit(1), F.greatest(F.size(letters) - k + 1, F.lit(1)))
+    return F.transform(places, lambda i: F.array_join(F.slice(F.col(letters), i, k), ""))
 
 
 def contained_pairs(needles: DataFrame, haystacks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -114,9 +119,11 @@ def contained_pairs(needles: DataFrame, haystacks: DataFrame, by: Sequence[str]
     and needs no test.
     """
     by = list(by)
-    own = needles.select(*by, "needle", F.explode(F.array_distinct(_cuts("needle", GRAM))).alias("gram"))
-    hay = haystacks.select(
-        *by, "haystack", F.explode(F.array_distinct(F.concat(*[_cuts("haystack", k) for k in range(1, GRAM + 1)]))).alias("gram")
+    own = needles.withColumn("_l", _letters("needle")).select(
+        *by, "needle", F.explode(F.array_distinct(_cuts("_l", GRAM))).alias("gram")
+    )
+    hay = haystacks.withColumn("_l", _letters("haystack")).select(
+        *by, "haystack", F.explode(F.array_distinct(F.concat(*[_cuts("_l", k) for k in range(1, GRAM + 1)]))).alias("gram")
     )
     held = hay.join(own.select(*by, "gram"), [*by, "gram"], "left_semi").groupBy(*by, "gram").agg(
         F.count(F.lit(1)).alias("_texts")
@@ -194,24 +201,39 @@ def rank_hits(hits: DataFrame, mode: str = "merged") -> DataFrame:
     return hits.orderBy("query_id", *_rank_columns(), "source", "id")
 
 
-def limit_hits(hits: DataFrame, n: int = SEARCH_LIMIT, mode: str = "merged") -> DataFrame:
-    """First `n` hits per query with their `rank`; tasks keep `n` per query before the shuffle."""
+def _first(df: DataFrame, keys: Sequence[str], order: Sequence, n: int | None, name: str) -> DataFrame:
+    """Rows numbered per key; with `n` only the first of them, which tasks cut before the shuffle."""
+    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return out if n is None else out.filter(F.col(name) <= n)
+
+
+def limit_hits(hits: DataFrame, n: int | None = None, mode: str = "merged") -> DataFrame:
+    """Hits per query with their `rank`, all of them or the first `n`."""
     order = ["source_pos", "hit_pos"] if mode == "registry" else [*_rank_columns(), F.col("source"), F.col("id")]
-    w = Window.partitionBy("query_id").orderBy(*order)
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return _first(hits, ["query_id"], order, n, "rank")
 
 
 def search_top(
-    catalog: DataFrame, queries: DataFrame, n: int = SEARCH_LIMIT, matches: DataFrame | None = None
+    catalog: DataFrame, queries: DataFrame, n: int | None = None, matches: DataFrame | None = None
 ) -> DataFrame:
-    """First `n` hits per query without ever joining all editions of a title.
+    """Ranked hits per query, all of them or the first `n`, without joining more than can be among them.
 
-    Hits with one title follow each other by (source, id), so only the first `n` editions of a title
-    can be among the first `n` hits of a query.
+    Hits are ordered by title and then by (source, id), and every title has an edition. So the first `n` hits
+    of a query text lie in its first `n` titles, and in the first `n` editions of each. Texts are ranked once,
+    however many queries ask them. `matches` may be those of a larger catalogue.
     """
-    per_title = Window.partitionBy("title").orderBy("source", "id")
-    editions_ = catalog.withColumn("_n", F.row_number().over(per_title)).filter(F.col("_n") <= n).drop("_n")
-    return limit_hits(_matched(catalog, queries, matches).join(editions_, "title"), n)
+    text = F.col("asked" if "asked" in queries.columns else "query")
+    if matches is None:
+        matches = match_titles(catalog, queries.select(text.alias("query")))
+    here = catalog.select("title").distinct()
+    found = matches.select(F.col("query").alias("_text"), "title").join(here, "title", "left_semi")
+    keys = ["query", "_text"]
+    asked = queries.select("query", text.alias("_text")).distinct()
+    titles = _first(asked.join(found, "_text"), keys, _rank_columns(), n, "_n").drop("_n")
+    editions_ = catalog if n is None else _first(catalog, ["title"], ["source", "id"], n, "_n").drop("_n")
+    order = [*_rank_columns(), F.col("source"), F.col("id")]
+    hits = _first(titles.join(editions_, "title"), keys, order, n, "rank")
+    return queries.select("query_id", "query", text.alias("_text")).join(hits, keys).drop("_text")
 
 
 def search_summary(
@@ -221,6 +243,7 @@ def search_summary(
     matches: DataFrame | None = None,
 ) -> DataFrame:
     """Hits per query before the limit, from counts per title; a query without hits has zero."""
+    # the counts are of this catalogue; `matches` may be those of a larger one
     counts = catalog.groupBy("title").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col("source").isin(*foreign)).alias("_f")
     )

@@ -18,13 +18,13 @@ def search(
     titles: DataFrame,
     outcomes: DataFrame,
     category: str | None = None,
-    limit: int = cat.SEARCH_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """One envelope per query over the sources of a category.
 
     catalog (source, id, title), queries (query_id, query), titles (zh, en) the title dictionary,
     outcomes (query_id, source, ok, kind, name, detail) how the sources answered. Foreign sources are
-    asked for the standard foreign title of a CJK query.
+    asked for the standard foreign title of a CJK query. All hits are in the answer, or the first `limit`.
     """
     spark = catalog.sparkSession
     registry, groups = cat.sources_table(spark), cat.source_groups_table(spark)
@@ -39,15 +39,21 @@ def search(
     # foreign sources are asked under the other name; the order of the hits stays that of the query
     own = queries.select("query_id", "query")
     abroad = own.join(translated, "query_id", "left").select("query_id", "query", F.coalesce("to", "query").alias("asked"))
+    # every text is matched once, and all four readings below take from it
+    texts = own.select("query").union(abroad.select("asked")).distinct()
+    matches = cut_lineage(cat.match_titles(here, texts))
     hits = cut_lineage(
-        cat.search_top(here.filter(~foreign), own, limit)
-        .unionByName(cat.search_top(here.filter(foreign), abroad, limit))
+        cat.search_top(here.filter(~foreign), own, limit, matches)
+        .unionByName(cat.search_top(here.filter(foreign), abroad, limit, matches))
         .drop("rank", "query")
     )
     counts = (
-        cat.search_summary(here.filter(~foreign), own)
+        cat.search_summary(here.filter(~foreign), own, matches=matches)
         .select("query_id", F.col("hits").alias("_near"))
-        .join(cat.search_summary(here.filter(foreign), abroad).select("query_id", F.col("hits").alias("_far")), "query_id")
+        .join(
+            cat.search_summary(here.filter(foreign), abroad, matches=matches).select("query_id", F.col("hits").alias("_far")),
+            "query_id",
+        )
     )
     summary = own.join(counts, "query_id").select(
         "query_id", "query", (F.col("_near") + F.col("_far")).alias("hits"), F.col("_far").alias("foreign_hits")
@@ -64,7 +70,7 @@ def get_books(
 ) -> DataFrame:
     """Requested books that are in the store, rendered as `txt` or `epub` parts.
 
-    requests (source, id); stored as `read_store` gives it. Books still to be fetched are what
+    requests (source, id); stored as `read_store` gives it. Books of one title get names of their own. Books still to be fetched are what
     `store.pending` returns for the same arguments.
     """
     keys = ["source", "id"]
@@ -76,6 +82,8 @@ def get_books(
     if convert is not None:
         names = convert.to_simplified(names, ["title"])
     names = names.select(*keys, F.concat(sanitize_filename("title"), F.lit(f".{fmt}")).alias("name"))
+    taken = names.sparkSession.createDataFrame([], "name string")
+    names = cat.dedup_names(names, taken).select(*keys, F.col("file_name").alias("name"))
     if fmt == "txt":
         return render.render_txt(chapters, keys, None if convert else books, convert=convert).join(names, keys)
     if convert is not None:

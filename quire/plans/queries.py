@@ -46,17 +46,8 @@ LATIN_SCRIPT = dict(
 )
 
 
-#: Tables whose rows are whole texts: work per row is heavy.
-TEXT_TABLES = ("documents", "pages", "conversations")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one too small to have a split per core is spread over the cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pages(spark, d, *cols):
@@ -351,7 +342,20 @@ def q_lean_books(spark, d):
 # ---- catalogue ----------------------------------------------------------
 
 def q_title_search(spark, d):
-    return cat.search_top(_catalog(spark, d), _asked(spark, d)).select("query_id", "rank", "source", "id", "title")
+    found = cat.search_top(_catalog(spark, d), _asked(spark, d), cat.SEARCH_LIMIT)
+    return found.select("query_id", "rank", "source", "id", "title")
+
+
+def q_ranked_hits(spark, d):
+    """All hits of the words of titles, uncut; every third title and every word of it are in CJK brackets."""
+    odd = F.col("p_partkey") % 3 == 0
+    title = F.when(odd, F.concat(F.lit("書"), F.col("p_name"), F.lit("書"))).otherwise(F.col("p_name"))
+    part = table(spark, d, "part")
+    catalog = part.select(F.col("p_brand").alias("source"), F.col("p_partkey").alias("id"), title.alias("title"))
+    words = part.select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    asked = words.select(F.explode(F.array(F.col("word"), F.concat(F.lit("書"), F.col("word")))).alias("query"))
+    asked = asked.select(F.sha1("query").alias("query_id"), "query")
+    return cat.search_top(catalog, asked).select("query_id", "rank", "source", "id", "title")
 
 
 def q_title_matches(spark, d):
@@ -393,7 +397,7 @@ def q_search_envelope(spark, d):
     catalog, asked = _catalog(spark, d), _asked(spark, d)
     matches = cut_lineage(cat.match_titles(catalog, asked))
     summary = cat.search_summary(catalog, asked, matches=matches)
-    return cat.to_envelope(summary, cat.search_top(catalog, asked, matches=matches))
+    return cat.to_envelope(summary, cat.search_top(catalog, asked, cat.SEARCH_LIMIT, matches=matches))
 
 
 def q_resolve_unique(spark, d):
@@ -574,6 +578,29 @@ def q_store_upsert(spark, d):
     return store.read_store(spark, path).select("source", "id", "store_key", "chars", F.md5("content").alias("digest"), "batch_id")
 
 
+def q_store_odd_keys(spark, d):
+    """Books of null and empty sources, every labelled one twice in its batch, and one batch with tombstones."""
+    path = f"{checkpoint_dir(spark)}/quire-store-{uuid.uuid4().hex}"
+    source = F.when(F.col("source") == "src1", "").when(F.col("source") != "src2", F.col("source"))
+    docs = table(spark, d, "documents").select(
+        source.alias("source"), F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("int").alias("chars"), F.lit(0).alias("us")
+    )
+    labels = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("dead"))
+    again = docs.join(labels.select("id"), "id", "left_semi").withColumns({"chars": -F.col("chars"), "us": F.lit(1)})
+    store.store_upsert(docs.unionByName(again), path, 0, F.timestamp_micros("us"))
+    judged = docs.join(labels, "id").withColumn("chars", F.lit(0))
+    store.store_upsert(judged.filter("dead OR source = ''"), path, 1, F.timestamp_micros(F.lit(2)), F.col("dead"))
+    return store.read_store(spark, path).select("source", "id", "chars", "batch_id")
+
+
+def q_toc_links(spark, d):
+    """Links between a page's title, rewritten to a contents heading, and its next heading."""
+    html = F.regexp_replace("html", r"(?s)<h1[^>]*>(.*?)</h1>", "<h2>$1目錄</h2>")
+    wiki = F.regexp_replace(html, r'<a href="/', '<a href="/wiki/')
+    found = table(spark, d, "pages").select("page_id", wiki.alias("html"))
+    return ex.extract_region_links(found, stop="</nav>")
+
+
 def q_resume_plan(spark, d):
     lines = table(spark, d, "lineitem").select(
         F.lit("shop").alias("source"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), "l_returnflag"

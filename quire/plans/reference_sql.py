@@ -288,6 +288,22 @@ SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY place) - 1 AS IN
     "split_cached": "SELECT source, doc_id AS id, doc_id IN (SELECT doc_id FROM labels) AS cached FROM documents",
     "pending_requests": "SELECT source, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "delete_books": "SELECT source, doc_id AS id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "ranked_hits": """WITH c AS (SELECT p_brand AS source, p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '書' || p_name || '書' ELSE p_name END AS title FROM part),
+        w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part),
+        q AS (SELECT word AS query FROM w UNION SELECT '書' || word FROM w),
+        m AS (SELECT sha1(query) AS query_id, source, id, title,
+                CASE WHEN contains(query, '書') AND contains(title, '書') THEN 0 ELSE 1 END AS f
+            FROM q, c WHERE contains(lower(trim(title)), lower(trim(query))) OR contains(lower(trim(query)), lower(trim(title))))
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f, title, source, id) AS INT) AS rank, source, id, title FROM m""",
+    "toc_links": f"""WITH {LINKS.format(html="regexp_extract(html, '(?s)<h1[^>]*>.*?</h1>(.*?)(?:</nav>|$)', 1)")},
+k AS (SELECT page_id, replace(url_decode(target), '_', ' ') AS title, {one_line(unescape(tagless('raw')))} AS label, i FROM u WHERE target <> ''),
+f AS (SELECT page_id, title, min(i) AS i FROM k WHERE label <> '' AND NOT starts_with(label, '#') GROUP BY 1, 2)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS link_idx, title FROM f""",
+    "store_odd_keys": """WITH d AS (SELECT CASE WHEN source = 'src1' THEN '' WHEN source <> 'src2' THEN source END AS source,
+            CAST(doc_id AS VARCHAR) AS id, CAST(n_chars AS INT) AS chars, l.doc_id IS NOT NULL AS labelled, coalesce(l.toxic = 1, false) AS dead
+            FROM documents LEFT JOIN (SELECT DISTINCT doc_id, toxic FROM labels) l USING (doc_id))
+        SELECT source, id, CASE WHEN labelled AND source = '' THEN 0 WHEN labelled THEN -chars ELSE chars END AS chars,
+            CASE WHEN labelled AND source = '' THEN 1 ELSE 0 END AS batch_id FROM d WHERE NOT dead""",
     "store_upsert": """SELECT source, CAST(d.doc_id AS VARCHAR) AS id, left(sha1(source || '|' || d.doc_id), 24) AS store_key, CAST(n_chars AS INT) AS chars,
   md5(CASE WHEN l.doc_id IS NULL THEN text ELSE text || '!' END) AS digest, CAST(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS batch_id
 FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id WHERE coalesce(l.toxic, 0) <> 1""",
