@@ -281,12 +281,17 @@ def search_hint(summary: DataFrame, outcomes: DataFrame, translated: DataFrame |
 # ---- dictionaries -------------------------------------------------------
 
 def translate_queries(
-    queries: DataFrame, titles: DataFrame, foreign: Sequence[str] = FOREIGN_SOURCES, needs: Column | None = None
+    queries: DataFrame,
+    titles: DataFrame,
+    foreign: Sequence[str] = FOREIGN_SOURCES,
+    needs: Column | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """Query each source is asked: the standard foreign title where the source needs one.
 
-    queries (query_id, query, source); titles (zh, en). Only CJK queries are looked up, unless `needs`
-    says otherwise. Unknown titles are asked as they are.
+    queries (query_id, query, source); titles (zh, en); stored (zh, en), translations kept from elsewhere that
+    serve where the dictionary has no title (`via` is mt), unless they still hold CJK. Only CJK queries are looked
+    up, unless `needs` says otherwise. Unknown titles are asked as they are.
     """
     known = titles.groupBy("zh").agg(F.min("en").alias("_en"))
     asks = (has_cjk("query") if needs is None else needs) & F.col("source").isin(*foreign)
@@ -295,10 +300,17 @@ def translate_queries(
     looked = queries.withColumn("_key", F.when(asks, F.col("query")).otherwise(own_key)).join(
         known, F.col("_key") == F.col("zh"), "left"
     )
+    kept = F.lit(None).cast("string")
+    if stored is not None:
+        second = stored.filter(~has_cjk("en")).groupBy(F.col("zh").alias("_zh")).agg(F.min("en").alias("_mt"))
+        # keys of their own again for rows that the dictionary has settled
+        looked = looked.withColumn("_key", F.when(F.col("_en").isNull(), F.col("_key")).otherwise(own_key))
+        looked = looked.join(second, F.col("_key") == F.col("_zh"), "left")
+        kept = F.col("_mt")
     return looked.select(
         *queries.columns,
-        F.coalesce("_en", F.col("query")).alias("asked"),
-        F.when(F.col("_en").isNotNull(), "dict").alias("via"),
+        F.coalesce(F.col("_en"), kept, F.col("query")).alias("asked"),
+        F.when(F.col("_en").isNotNull(), "dict").when(kept.isNotNull(), "mt").alias("via"),
     )
 
 

@@ -6,7 +6,7 @@ exploded, so none of them shuffles. Patterns are arguments; a site is a set of p
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,11 +29,13 @@ BLOCK_END = r"(?i)</p\s*>|<br\s*/?>"
 
 @dataclass(frozen=True)
 class Field:
-    """One field of a card: first group of `pattern`, cleaned, optionally cut."""
+    """One field of a card: first group of `pattern`, cleaned, optionally cut; `default` makes the value of an empty
+    one from the card's raw fields."""
 
     pattern: str
     clean: str = "title"
     max_chars: int | None = None
+    default: Callable[[Mapping[str, Column]], Column] | None = None
 
 
 def first_group(text: Column, pattern: str) -> Column:
@@ -59,7 +61,10 @@ def extract_cards(
     for name, f in fields.items():
         text = F.col(f"_{name}")
         value = text if f.clean == "raw" else CLEANERS[f.clean](unescape_html(text))
-        out.append((F.substring(value, 1, f.max_chars) if f.max_chars else value).alias(name))
+        value = F.substring(value, 1, f.max_chars) if f.max_chars else value
+        if f.default is not None:
+            value = F.coalesce(F.nullif(value, F.lit("")), f.default({n: F.col(f"_{n}") for n in fields}))
+        out.append(value.alias(name))
     return raw.select(*keys, "card_idx", *out)
 
 

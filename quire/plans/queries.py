@@ -601,6 +601,88 @@ def q_toc_links(spark, d):
     return ex.extract_region_links(found, stop="</nav>")
 
 
+def q_default_headings(spark, d):
+    """The built-in heading rules: one heading of each kind around a text, and a near miss that is none."""
+    docs = table(spark, d, "documents")
+    nth = F.col("doc_id").cast("string")
+    kind = F.col("doc_id") % 5
+    heading = (
+        F.when(kind == 0, F.concat(F.lit("《"), "source", F.lit("》"))).when(kind == 1, F.concat(F.lit("第"), nth, F.lit("章")))
+        .when(kind == 2, F.concat(F.lit("三、"), "source")).when(kind == 3, F.concat(F.lit("CHAPTER "), nth)).otherwise("自序")
+    )
+    miss = F.concat(heading, F.when(kind == 2, F.lit("。")).otherwise(F.lit(" x")))
+    content = F.concat_ws("\n", F.concat(F.lit("lead "), nth), heading, "text", miss, F.lit("后记"), F.lit("end"))
+    return segment.split_headings(docs.select(F.col("doc_id").alias("id"), content.alias("content")))
+
+
+def q_decode_legacy(spark, d):
+    """Names followed by two characters in GB18030 bytes."""
+    raw = table(spark, d, "part").select(
+        "p_partkey", F.concat(F.col("p_name").cast("binary"), F.unhex(F.lit("".join(f"{b:02X}" for b in "渊海".encode("gb18030"))))).alias("content")
+    )
+    return raw.select("p_partkey", readers.decode_text("content").alias("text"))
+
+
+def q_protected_words(spark, d):
+    """Words in which one character is a name stay as they are; it is converted elsewhere."""
+    conv = ScriptTable({"乾": "干", "陽": "阳"}, {})
+    text = F.concat(F.lit("乾坤 "), "p_name", F.lit(" 乾杯 乾陽 陽 乾"))
+    return table(spark, d, "part").select("p_partkey", conv.simplified(text).alias("text"))
+
+
+def q_references(spark, d):
+    """Numeric and rare named character references."""
+    text = F.concat(F.lit("<b>&#"), (F.col("p_size") + 200).cast("string"), F.lit(";</b>&eacute;&#x41;"), "p_name", F.lit("&frac12;"))
+    return table(spark, d, "part").select("p_partkey", strip_tags(text).alias("text"))
+
+
+def q_page_subsections(spark, d):
+    """Sections at h2 to h4, with page furniture that nests its own tag and a contents list."""
+    name = F.col("p_name")
+    html = F.concat(
+        F.lit("<p>lead</p><h2>"), name, F.lit("</h2><p>"), F.col("p_type"), F.lit('</p><div class="navbox"><div>x</div><p>no</p></div>'),
+        F.lit("<h3>二</h3><ul><li>"), F.col("p_brand"), F.lit("</li></ul><h4>目錄</h4><p>list</p><h4>last</h4><p>"), name, F.lit("<br/>z</p>"),
+    )
+    return ex.html_chapters(table(spark, d, "part").select("p_partkey", html.alias("html")))
+
+
+def q_card_defaults(spark, d):
+    """Records without a title or an author get the values made for them."""
+    card = F.concat(
+        F.lit("<li><i>"), F.col("p_partkey").cast("string"), F.lit("</i>"),
+        F.when(F.col("p_size") > 20, F.concat(F.lit("<b>"), "p_name", F.lit("</b>"))).otherwise(""),
+        F.when(F.col("p_size") < 40, F.concat(F.lit("<u>"), "p_brand", F.lit("</u>"))).otherwise(""), F.lit("</li>"),
+    )
+    fields = {
+        "id": ex.Field(r"<i>(\d+)</i>", "raw"),
+        "title": ex.Field(r"<b>(.*?)</b>", default=lambda raw: F.concat(F.lit("record #"), raw["id"])),
+        "author": ex.Field(r"<u>(.*?)</u>", default=lambda raw: F.lit("nobody")),
+    }
+    pages = table(spark, d, "part").select("p_partkey", card.alias("html"))
+    return ex.extract_cards(pages, r"(?s)<li>(.*?)</li>", fields, "id").select("p_partkey", "title", "author")
+
+
+def q_library_cascade(spark, d):
+    """Finished files of toxic documents go with their partials, other labelled ones lose the partial alone."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel"))
+    part = F.concat("rel", F.lit(".part"))
+    files = docs.select("rel").union(docs.filter("doc_id % 2 = 0").select(part))
+    labels = table(spark, d, "labels").join(docs, "doc_id")
+    gone = labels.select(F.when(F.col("toxic") == 1, F.col("rel")).otherwise(part).alias("rel"))
+    kept, read = store.delete_library_rows(files, docs.select("rel", F.col("doc_id").alias("chapter")), gone)
+    return kept.select(F.lit("file").alias("kind"), "rel").union(read.select(F.lit("position"), "rel"))
+
+
+def q_translate_stored(spark, d):
+    """Nations as queries: those of even regions are in the dictionary, a stored translation serves the others."""
+    nation = table(spark, d, "nation")
+    queries = nation.select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("國"), "n_name").alias("query"), F.lit("gutenberg").alias("source"))
+    zh = F.concat(F.lit("國"), "n_name").alias("zh")
+    titles = nation.filter("n_regionkey % 2 = 0").select(zh, F.lower("n_name").alias("en"))
+    stored = nation.select(zh, F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("又"), "n_name")).otherwise(F.concat(F.lit("the "), "n_name")).alias("en"))
+    return cat.translate_queries(queries, titles, stored=stored).select("query_id", "asked", "via")
+
+
 def q_resume_plan(spark, d):
     lines = table(spark, d, "lineitem").select(
         F.lit("shop").alias("source"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), "l_returnflag"

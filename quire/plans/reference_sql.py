@@ -288,6 +288,24 @@ SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY place) - 1 AS IN
     "split_cached": "SELECT source, doc_id AS id, doc_id IN (SELECT doc_id FROM labels) AS cached FROM documents",
     "pending_requests": "SELECT source, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "delete_books": "SELECT source, doc_id AS id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "default_headings": """WITH h AS (SELECT doc_id AS id, text, doc_id % 5 AS k, CASE doc_id % 5 WHEN 0 THEN '《' || source || '》' WHEN 1 THEN '第' || doc_id || '章'
+            WHEN 2 THEN '三、' || source WHEN 3 THEN 'CHAPTER ' || doc_id ELSE '自序' END AS heading, source FROM documents)
+        SELECT id, CAST(0 AS INT) AS chapter_idx, CASE WHEN k = 0 THEN source ELSE heading END AS title,
+            'lead ' || id || chr(10) || heading || chr(10) || text || chr(10) || heading || CASE WHEN k = 2 THEN '。' ELSE ' x' END AS text FROM h
+        UNION ALL SELECT id, 1, '后记', '后记' || chr(10) || 'end' FROM h""",
+    "decode_legacy": "SELECT p_partkey, p_name || '渊海' AS text FROM part",
+    "protected_words": "SELECT p_partkey, '乾坤 ' || p_name || ' 干杯 乾陽 阳 干' AS text FROM part",
+    "references": "SELECT p_partkey, chr(p_size + 200) || 'éA' || p_name || '½' AS text FROM part",
+    "page_subsections": """SELECT p_partkey, CAST(i AS INT) AS chapter_idx, ['', p_name, '二', 'last'][i + 1] AS title,
+            ['lead', p_type, p_brand, p_name || chr(10) || 'z'][i + 1] AS text FROM part, range(4) r(i)""",
+    "card_defaults": """SELECT p_partkey, CASE WHEN p_size > 20 THEN p_name ELSE 'record #' || p_partkey END AS title,
+            CASE WHEN p_size < 40 THEN p_brand ELSE 'nobody' END AS author FROM part""",
+    "library_cascade": """WITH l AS (SELECT doc_id, max(toxic) = 1 AS dead FROM labels GROUP BY 1), d AS (SELECT doc_id, dead FROM documents LEFT JOIN l USING (doc_id))
+        SELECT 'file' AS kind, 'd' || doc_id || '.txt' AS rel FROM d WHERE NOT coalesce(dead, false)
+        UNION ALL SELECT 'file', 'd' || doc_id || '.txt.part' FROM d WHERE doc_id % 2 = 0 AND dead IS NULL
+        UNION ALL SELECT 'position', 'd' || doc_id || '.txt' FROM d WHERE dead IS NULL""",
+    "translate_stored": """SELECT n_nationkey AS query_id, CASE WHEN n_regionkey % 2 = 0 THEN lower(n_name) WHEN n_nationkey % 3 <> 0 THEN 'the ' || n_name ELSE '國' || n_name END AS asked,
+            CASE WHEN n_regionkey % 2 = 0 THEN 'dict' WHEN n_nationkey % 3 <> 0 THEN 'mt' END AS via FROM nation""",
     "ranked_hits": """WITH c AS (SELECT p_brand AS source, p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '書' || p_name || '書' ELSE p_name END AS title FROM part),
         w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part),
         q AS (SELECT word AS query FROM w UNION SELECT '書' || word FROM w),
