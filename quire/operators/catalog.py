@@ -431,12 +431,28 @@ def dedup_names(imports: DataFrame, existing: DataFrame) -> DataFrame:
 
 # ---- envelope -----------------------------------------------------------
 
-def to_envelope(summary: DataFrame, top: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """One JSON text per query: count, hint, errors and the ranked results, which the limit bounds."""
+#: Fields of a hit in the answer, those the hits have.
+HIT_FIELDS = ("source", "id", "title", "url", "subtitle", "format_hint", "extra")
+
+
+def to_envelope(
+    summary: DataFrame,
+    top: DataFrame,
+    errors: DataFrame | None = None,
+    translated: DataFrame | None = None,
+    requested: DataFrame | None = None,
+) -> DataFrame:
+    """One JSON text per query: count, hint, errors and the ranked results; a limit of the search bounds them.
+
+    translated (query_id, to, via) adds the title that foreign sources were asked for, requested (query_id, source)
+    the sources asked; there is at most one of the former and one of the latter per source for a query.
+    """
+    fields = [f for f in HIT_FIELDS if f in top.columns]
+    hit = F.struct(*[F.col(f) for f in fields])
     results = top.groupBy("query_id").agg(
         F.transform(
-            F.sort_array(F.collect_list(F.struct("rank", "source", "id", "title"))),
-            lambda r: F.struct(r["source"].alias("source"), r["id"].alias("id"), r["title"].alias("title")),
+            F.array_sort(F.collect_list(F.struct("rank", hit.alias("hit"))), lambda a, b: a["rank"] - b["rank"]),
+            lambda r: r["hit"],
         ).alias("results")
     )
     out = summary.join(results, "query_id", "left")
@@ -450,14 +466,23 @@ def to_envelope(summary: DataFrame, top: DataFrame, errors: DataFrame | None = N
         out = out.join(per_query, "query_id", "left").withColumn(
             "errors", F.coalesce("errors", F.create_map().cast("map<string,string>"))
         )
+    more = []
+    if translated is not None:
+        names = translated.select("query_id", F.struct("to", "via").alias("translated"))
+        out = out.join(names, "query_id", "left")
+        more.append("translated")
+    if requested is not None:
+        asked = requested.groupBy("query_id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+        out = out.join(asked, "query_id", "left")
+        more.append("sources")
     hint = F.col("hint") if "hint" in summary.columns else F.lit("")
-    empty = F.array().cast("array<struct<source:string,id:string,title:string>>")
+    empty = F.array().cast(top.select(F.array(hit)).schema[0].dataType)
     return out.select(
         "query_id",
         F.to_json(
             F.struct(
                 "query", F.col("hits").alias("count"), "errors", hint.alias("hint"),
-                F.coalesce("results", empty).alias("results"),
+                F.coalesce("results", empty).alias("results"), *more,
             )
         ).alias("envelope"),
     )

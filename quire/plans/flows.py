@@ -62,7 +62,7 @@ def search(
     requested = requested.join(sources.select("source"), "source", "left_semi")
     hinted = cat.search_hint(summary, outcomes, translated)
     top = cat.limit_hits(hits.join(own, "query_id"), limit)
-    return cat.to_envelope(hinted, top, cat.source_errors(requested, registry, outcomes))
+    return cat.to_envelope(hinted, top, cat.source_errors(requested, registry, outcomes), translated, requested)
 
 
 def get_books(

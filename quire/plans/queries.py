@@ -400,6 +400,25 @@ def q_search_envelope(spark, d):
     return cat.to_envelope(summary, cat.search_top(catalog, asked, cat.SEARCH_LIMIT, matches=matches))
 
 
+def q_envelope_full(spark, d):
+    """Answers with full hits, errors, hints, the translated title and the sources asked, one per title."""
+    part = table(spark, d, "part")
+    title = F.concat(F.lit("書"), "p_name")
+    summary = part.groupBy(title.alias("query_id")).agg(F.count(F.lit(1)).alias("hits"))
+    summary = summary.select("query_id", F.col("query_id").alias("query"), "hits", F.lit("look & see").alias("hint"))
+    hits = part.select(
+        title.alias("query_id"), title.alias("query"), F.col("p_brand").alias("source"), F.col("p_partkey").cast("string").alias("id"),
+        F.col("p_name").alias("title"), F.concat(F.lit("http://h/"), F.col("p_partkey").cast("string")).alias("url"),
+        F.col("p_type").alias("subtitle"), F.lit("txt").alias("format_hint"),
+        F.create_map(F.lit("size"), F.col("p_size").cast("string")).alias("extra"),
+    )
+    hits = cat.limit_hits(hits)
+    errors = part.filter("p_size = 7").select(title.alias("query_id"), F.col("p_brand").alias("source"), F.lit("late").alias("message")).distinct()
+    translated = part.filter(F.col("p_name") < "m").select(title.alias("query_id"), F.col("p_name").alias("to"), F.lit("dict").alias("via")).distinct()
+    asked = part.select(title.alias("query_id"), F.col("p_brand").alias("source"))
+    return cat.to_envelope(summary, hits, errors, translated, asked)
+
+
 def q_resolve_unique(spark, d):
     catalog = _catalog(spark, d)
     wanted = table(spark, d, "part").select(

@@ -245,6 +245,15 @@ r AS (SELECT query_id, source, id, title, row_number() OVER (PARTITION BY query_
 g AS (SELECT query_id, count(*) AS n, list({{'source': source, 'id': id, 'title': title}} ORDER BY rank) FILTER (WHERE rank <= 200) AS results FROM r GROUP BY 1)
 SELECT query_id, CAST(json_object('query', query, 'count', coalesce(n, 0), 'errors', json_object(), 'hint', '', 'results', coalesce(to_json(results), json_array())) AS VARCHAR) AS envelope
 FROM asked LEFT JOIN g USING (query_id)""",
+    "envelope_full": """WITH p AS (SELECT '書' || p_name AS q, * FROM part),
+r AS (SELECT q, list({'source': p_brand, 'id': CAST(p_partkey AS VARCHAR), 'title': p_name, 'url': 'http://h/' || p_partkey, 'subtitle': p_type,
+    'format_hint': 'txt', 'extra': {'size': CAST(p_size AS VARCHAR)}} ORDER BY p_brand, CAST(p_partkey AS VARCHAR)) AS results, count(*) AS n,
+    to_json(list_sort(list(DISTINCT p_brand))) AS sources, any_value(p_name) AS name FROM p GROUP BY q),
+e AS (SELECT q, to_json(map_from_entries(list((p_brand, 'late') ORDER BY p_brand))) AS errors FROM (SELECT DISTINCT q, p_brand FROM p WHERE p_size = 7) GROUP BY q)
+SELECT q AS query_id, CAST(CASE WHEN name < 'm' THEN json_object('query', q, 'count', n, 'errors', coalesce(errors, json_object()), 'hint', 'look & see',
+    'results', to_json(results), 'translated', json_object('to', name, 'via', 'dict'), 'sources', sources)
+  ELSE json_object('query', q, 'count', n, 'errors', coalesce(errors, json_object()), 'hint', 'look & see', 'results', to_json(results), 'sources', sources) END AS VARCHAR) AS envelope
+FROM r LEFT JOIN e USING (q)""",
     "resolve_unique": """WITH w AS (SELECT DISTINCT p_brand AS source, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS title FROM part),
 c AS (SELECT p_brand AS source, p_name AS title, count(*) AS hits, min(p_partkey) AS id FROM part GROUP BY 1, 2)
 SELECT w.source, w.title, coalesce(hits, 0) AS hits, CASE WHEN hits = 1 THEN id END AS id,

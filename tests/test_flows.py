@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.script import ScriptTable
 from quire.operators import bilingual as bi
+from quire.operators import catalog as cat
 from quire.operators import render, store
 from quire.plans import flows
 from quire.streaming.hooks import watch
@@ -32,6 +33,8 @@ def test_search_flow(spark):
     assert got[2]["count"] == 0 and got[2]["hint"].startswith("外文原版源")
     assert [h["id"] for h in got[3]["results"]] == ["2"]
     assert list(got[1]["errors"]) == ["libgen"]
+    assert got[1]["translated"] == {"to": "Pride and Prejudice", "via": "dict"} and "translated" not in got[2]
+    assert got[1]["sources"] == sorted(n for n, _ in cat.SOURCES)
     classics = {r[0]: json.loads(r[1]) for r in flows.search(catalog, queries, titles, outcomes, "中文古籍", 1).collect()}
     assert [h["id"] for h in classics[1]["results"]] == ["3"] and classics[1]["count"] == 1
 
