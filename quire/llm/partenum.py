@@ -6,14 +6,17 @@ subparts, and every pair of subparts of a part is a signature. At most k // 2 pa
 at least 1 + SLACK of the parts agree in a pair of subparts: similar sets share a signature. A set whose larger
 partners can lie in the next band has that band's signatures too.
 
-Sets that share a signature form candidate clusters; within a cluster all pairs are compared exactly, block by
-block, and only a spanning forest of the links leaves a task. Documents with equal sets travel as one. A task ties
-the sets that share a signature among its own documents and passes on one of them, so a signature that very many
-sets share reaches a shard once per task; a large cluster is split by its blocks.
+A set's cells are two bits of each subpart's sum: two sets differ in at least as many features as they differ in
+cells, so a pair that differs in more than k cells is no link. Sets that share a signature and pass this test form
+candidate clusters; within a cluster all pairs are compared exactly, and only a spanning forest of the links leaves
+a task. Signatures and clusters with very many sets are compared block by block. Documents with equal sets travel
+as one. To find the shared signatures, a task ties the sets that share one among its own documents and passes on one
+of them, so a signature that very many sets share reaches a shard once per task.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,15 +30,15 @@ from quire.llm.wordhash import mix, word_hashes
 
 #: Parts beyond k // 2 + 1. A set in which more parts than this have an empty pair of subparts signs these as well.
 SLACK = 1
-#: Sets of a block within a cluster, and features compared at once.
-BLOCK, COLUMNS = 128, 8192
-#: Bits of the filter that keeps the texts of candidate clusters; its size is fixed, false hits are joined away.
+#: Sets of a block within a cluster and within a signature, and features compared at once.
+BLOCK, CELL_BLOCK, COLUMNS = 128, 1024, 8192
+#: Bits of the filters that keep texts and signatures in question; their size is fixed, false hits only cost time.
 FILTER_BITS = 1 << 27
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Signatures a task holds before it passes them on; code points of text of a shard of signatures, and fewest shards.
 HELD = 1 << 21
 SHARD_CHARS, LEAST_SHARDS = 32_000_000, 16
-#: Shard number of the rows that hold ties found within a task.
+#: Shard number of the rows that hold what is shared within a task.
 TIES = -1
 SIGNED = "id long, text_hash long, n long, name long, shard int, sigs binary, places binary, names binary"
 
@@ -87,16 +90,16 @@ def set_name(features: np.ndarray) -> int:
     return int(mix(np.array([mix(features, 50).sum(dtype=np.uint64) + np.uint64(len(features))]), 51).view(np.int64)[0])
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
-    """Signatures of each set, as 64-bit values."""
+def signatures(sets: list[np.ndarray], percent: int) -> list[list[tuple[np.ndarray, int, bytes]]]:
+    """Per set and band: signatures as 64-bit values, the most differences k, and the cells as two bit planes."""
     bands, sizes = Bands(percent), np.array([len(s) for s in sets], np.int64)
     lowest, highest = bands.of(sizes), bands.of(sizes * 100 // percent)
     jobs = [(i, b) for i in np.flatnonzero(sizes).tolist() for b in range(lowest[i], highest[i] + 1)]
-    out: list[list[np.ndarray]] = [[] for _ in sets]
+    out: list[list[tuple[np.ndarray, int, bytes]]] = [[] for _ in sets]
     k = bands.differences(np.array([b for _, b in jobs], np.int64)) if jobs else np.zeros(0, np.int64)
     jobs, k = [j for j, x in zip(jobs, k) if x], k[k > 0]  # without a difference only equal sets are similar
     if not jobs:
-        return [np.zeros(0, np.uint64) for _ in sets]
+        return out
     parts = k // 2 + 1 + SLACK
     offset = np.concatenate([[0], np.cumsum(parts * 3)])
     features = np.concatenate([sets[i] for i, _ in jobs])
@@ -116,10 +119,13 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     signed, empty = np.stack(signed, 1), np.stack(empty, 1)
     open_ = np.add.reduceat(empty.any(1).astype(np.int64), begin[:-1]) > SLACK
     keep = ~empty | np.repeat(open_, parts)[:, None]
+    cell = mix(sums.reshape(-1), 78) >> np.uint64(20)
+    planes = [(cell & np.uint64(1)).astype(bool), (cell & np.uint64(2)).astype(bool)]
     for j, (i, _) in enumerate(jobs):
-        rows = slice(begin[j], begin[j + 1])
-        out[i].append(mix(signed[rows][keep[rows]], 77))
-    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
+        rows, cells = slice(begin[j], begin[j + 1]), slice(offset[j], offset[j + 1])
+        packed = b"".join(np.packbits(plane[cells]).tobytes() for plane in planes)
+        out[i].append((mix(signed[rows][keep[rows]], 77), int(k[j]), packed))
+    return out
 
 
 def _binary(texts: pa.Array) -> list[bytes | None]:
@@ -136,22 +142,23 @@ def _restored(raw: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
-def _runs(sigs: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct signatures in order, a name for each, ties from that name to the others of its signature)."""
+def _runs(sigs: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct signatures in order, a name for each, the names and signatures of sets that share one)."""
     order = np.argsort(sigs)
     sigs, names = sigs[order], names[order]
     first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
     leader = np.repeat(names[first], np.diff(np.append(first, len(sigs))))
     apart = np.flatnonzero(leader != names)
-    return sigs[first], names[first], np.unique(np.stack([leader[apart], names[apart]], 1), axis=0)
+    shared = np.unique(np.concatenate([leader[apart], names[apart]]))
+    return sigs[first], names[first], shared, np.unique(sigs[apart])
 
 
 def _packed(sigs: list[np.ndarray], names: list[int], bits: int) -> pa.RecordBatch:
-    """One row per shard, and one with the ties."""
-    distinct, leader, ties = _runs(np.concatenate(sigs), np.repeat(np.array(names, np.int64), [len(x) for x in sigs]))
+    """One row per shard, and one with the names and signatures shared within."""
+    distinct, leader, shared, ties = _runs(np.concatenate(sigs), np.repeat(np.array(names, np.int64), [len(x) for x in sigs]))
     shard = (distinct >> np.uint64(64 - bits)).astype(np.int64)
     start = np.flatnonzero(np.diff(shard, prepend=-1))
-    rows = [(len(ties), TIES, ties[:, 0].tobytes(), None, ties[:, 1].tobytes())]
+    rows = [(len(ties), TIES, ties.tobytes(), None, shared.tobytes())]
     for s, e in zip(start, np.append(start[1:], len(shard))):
         known, place = np.unique(leader[s:e], return_inverse=True)
         steps = np.diff(distinct[s:e], prepend=np.uint64(0))
@@ -191,10 +198,11 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str, width: int, pe
                     [x.split()[0] for x in SIGNED.split(", ")],
                 )
                 new = {n: x for n, x in zip(names, sets) if n is not None}  # equal sets sign once
-                for name, x in zip(new, signatures(list(new.values()), percent)):
-                    sigs.append(x)
-                    owners.append(name)
-                    held += len(x)
+                for name, bands in zip(new, signatures(list(new.values()), percent)):
+                    for x, *_ in bands:
+                        sigs.append(x)
+                        owners.append(name)
+                        held += len(x)
                 start, sets, features = start + len(sets), [], 0
                 if held >= HELD:
                     yield _packed(sigs, owners, bits)
@@ -207,60 +215,183 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str, width: int, pe
     return rows.mapInArrow(sign, SIGNED)
 
 
-def candidate_clusters(signed: DataFrame) -> DataFrame:
-    """(node, root): names that are connected by shared signatures."""
+def _shared(written: DataFrame) -> DataFrame:
+    """(what, value): names of sets that share a signature (0), and the shared signatures (1)."""
+
+    def rows(names: np.ndarray, sigs: np.ndarray) -> list[pa.Array]:
+        what = np.concatenate([np.zeros(len(names), np.int32), np.ones(len(sigs), np.int32)])
+        return [pa.array(what), pa.array(np.concatenate([names, sigs.view(np.int64)]))]
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1)):
-                a, b = (np.frombuffer(x.as_buffer(), np.int64) for x in (a, b))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for sigs, names in zip(batch.column(0), batch.column(1)):
+                sigs, names = np.frombuffer(sigs.as_buffer(), np.uint64), np.frombuffer(names.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays(rows(names, sigs), ["what", "value"])
 
     def between(table: pa.Table) -> pa.Table:
         sigs, names = [], []
         for n, s, p, known in zip(*(table.column(c).to_pylist() for c in ("n", "sigs", "places", "names"))):
             sigs.append(np.cumsum(_restored(s, n, np.uint64), dtype=np.uint64))
             names.append(np.frombuffer(known, np.int64)[_restored(p, n, np.uint32)])
-        ties = _runs(np.concatenate(sigs), np.concatenate(names))[2]
-        return pa.table([pa.array(ties[:, 0]), pa.array(ties[:, 1])], names=["a", "b"])
+        *_, shared, tied = _runs(np.concatenate(sigs), np.concatenate(names))
+        return pa.table(rows(shared, tied), names=["what", "value"])
 
-    own = signed.filter(F.col("shard") == TIES).select("sigs", "names").mapInArrow(within, "a long, b long")
-    rows = signed.filter(F.col("shard") > TIES).select("shard", "n", "sigs", "places", "names")
-    edges = own.union(rows.groupBy("shard").applyInArrow(between, "a long, b long"))
-    return materialise(components(edges), "clusters")
+    own = written.filter(F.col("shard") == TIES).select("sigs", "names").mapInArrow(within, "what int, value long")
+    packed = written.filter(F.col("shard") > TIES).select("shard", "n", "sigs", "places", "names")
+    return materialise(own.union(packed.groupBy("shard").applyInArrow(between, "what int, value long")), "shared")
 
 
-def _candidate_sets(docs: DataFrame, text_col: str, width: int, signed: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(root, name, features): one row per name of a cluster, its sorted feature hashes packed."""
-    chosen = signed.join(clusters, signed["name"] == clusters["node"]).groupBy("name").agg(F.min("text_hash").alias("h"))
-    slot = F.pmod("h", F.lit(FILTER_BITS)) + 1
-    bits = chosen.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
-    maps = bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()  # at most FILTER_BITS
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in maps:
-        at = (r["bucket"] - 1) * 4096
-        table[at : at + 4096] = np.frombuffer(bytes(r["map"]), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Filter:
+    """A bit per hash value: no member is missed, others hit by chance."""
+
+    def __init__(self, values: DataFrame):
+        slot = F.pmod("value", F.lit(FILTER_BITS)) + 1
+        bits = values.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+        self.table = np.zeros(FILTER_BITS // 8, np.uint8)
+        for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect():  # FILTER_BITS in all
+            at = (r["bucket"] - 1) * 4096
+            self.table[at : at + 4096] = np.frombuffer(bytes(r["map"]), np.uint8)
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        slot = values.astype(np.int64) % FILTER_BITS
+        return (self.table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _chosen_sets(docs: DataFrame, text_col: str, width: int, signed: DataFrame, names: DataFrame):
+    """(texts, function over their batches): the sets of about these names, each once per task.
+
+    Of the texts of a name those with the smallest hash are taken; they are found by a filter of fixed size.
+    """
+    chosen = signed.join(names, "name").groupBy("name").agg(F.min("text_hash").alias("value"))
+    sent = docs.sparkSession.sparkContext.broadcast(_Filter(chosen))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
         seen: set[int] = set()
         for batch in batches:
-            slot = batch.column(0).to_numpy().astype(np.int64) % FILTER_BITS
-            hit = (sent.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-            texts = batch.column(1).filter(pa.array(hit))
-            names, features = [], []
-            for s in shingle_sets(_binary(texts), width):
-                if len(s) and (name := set_name(s)) not in seen:
+            texts = batch.column(1).filter(pa.array(sent.value(batch.column(0).to_numpy())))
+            found: dict[int, np.ndarray] = {}
+            held = 0
+            for x in shingle_sets(_binary(texts), width):
+                if len(x) and (name := set_name(x)) not in seen:
                     seen.add(name)
-                    names.append(name)
-                    features.append(s.tobytes())
-                if len(seen) > 100_000:
-                    seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(features, pa.binary())], ["name", "features"])
+                    found[name] = x
+                    held += len(x)
+                if held >= 200_000:
+                    yield list(found), list(found.values())
+                    found, held = {}, 0
+            if found:
+                yield list(found), list(found.values())
+            if len(seen) > 100_000:
+                seen.clear()
 
     texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    sets = texts.mapInArrow(collect, "name long, features binary")
-    return sets.join(clusters, sets["name"] == clusters["node"]).groupBy("root", "name").agg(F.first("features").alias("features"))
+    return texts, sets
+
+
+def _in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows with (key, low, high, block): every two rows of a key meet under one (key, low, high), sorted by it."""
+    counts = materialise(rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"), F.count("*").alias("rows")), "sizes")
+    held = rows.join(counts.filter("rows > 1").drop("rows"), key)
+    held = held.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
+    return held.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, low, high) and the rows under it that follow each other; the first four columns are these and block."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+            if key != row[:3]:
+                if len(held) > 1:
+                    yield key, held
+                key, held = row[:3], []
+            held.append(row[3:])
+    if len(held) > 1:
+        yield key, held
+
+
+def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for x, y in pairs:
+        rx, ry = find(x), find(y)
+        if rx != ry:
+            parent[max(rx, ry)] = min(rx, ry)
+            kept.append((x, y))
+    return kept
+
+
+def close_pairs(rows: list[tuple], split: tuple[int, int], percent: int) -> Iterator[tuple[int, int]]:
+    """Names of pairs within the bounds of sizes and cells; rows are (block, name, n, k, cells)."""
+    low, high = split
+    rows = sorted(rows, key=lambda r: r[0] != low)  # the rows of the lower block first
+    left = sum(r[0] == low for r in rows)
+    width = len(rows[0][4])
+    rows = [r for r in rows if len(r[4]) == width]  # another length is another band, met by chance
+    planes = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), 2, -1)
+    names, n, k = [r[1] for r in rows], np.array([r[2] for r in rows]), rows[0][3]
+    for i in range(left if low != high else len(rows)):
+        start = i + 1 if low == high else left
+        differ = np.bitwise_count((planes[start:, 0] ^ planes[i, 0]) | (planes[start:, 1] ^ planes[i, 1])).sum(1, dtype=np.int64)
+        sizes = np.minimum(n[start:], n[i]) * 100 >= np.maximum(n[start:], n[i]) * percent
+        for j in np.flatnonzero((differ <= k) & sizes).tolist():
+            yield names[i], names[start + j]
+
+
+def candidate_clusters(docs: DataFrame, text_col: str, width: int, percent: int, written: DataFrame, signed: DataFrame) -> DataFrame:
+    """(node, root): names that are connected by shared signatures and close cells."""
+    shared = _shared(written)
+    names = materialise(shared.filter("what = 0").select(F.col("value").alias("name")).distinct(), "names")
+    texts, sets = _chosen_sets(docs, text_col, width, signed, names)
+    tied = docs.sparkSession.sparkContext.broadcast(_Filter(shared.filter("what = 1").select("value")))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for of, features in sets(batches):
+            rows = []
+            for name, x, bands in zip(of, features, signatures(features, percent)):
+                for sigs, k, packed in bands:
+                    sigs = sigs.view(np.int64)
+                    rows += [(sig, name, len(x), k, packed) for sig in sigs[tied.value(sigs)].tolist()]
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["sig", "name", "n", "k", "cells"])
+
+    rows = texts.mapInArrow(cells, "sig long, name long, n int, k int, cells binary")
+    # a name may come from several tasks
+    rows = materialise(rows.dropDuplicates(["sig", "name"]), "cells")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, low, high), held in _groups(batches):
+            pairs = _forest(close_pairs(held, (low, high), percent))
+            columns = list(zip(*pairs)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    blocks = _in_blocks(rows, "sig", CELL_BLOCK).select("sig", "low", "high", "block", "name", "n", "k", "cells")
+    edges = blocks.mapInArrow(close, "a long, b long")
+    return materialise(components(edges), "clusters")
+
+
+def _candidate_sets(docs: DataFrame, text_col: str, width: int, signed: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(root, name, features): one row per name of a cluster, its sorted feature hashes packed."""
+    clusters = clusters.withColumnRenamed("node", "name")
+    texts, sets = _chosen_sets(docs, text_col, width, signed, clusters.select("name"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, features in sets(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), pa.array([x.tobytes() for x in features], pa.binary())], ["name", "features"]
+            )
+
+    found = texts.mapInArrow(packed, "name long, features binary")
+    return found.join(clusters, "name").groupBy("root", "name").agg(F.first("features").alias("features"))
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,61 +413,25 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     return np.nonzero(similar if right else np.triu(similar, 1))
 
 
-def _compare(percent: int):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            for root, low, high, block, name, features in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if key != (root, low, high):
-                    if len(held) > 1:
-                        yield links(key, held)
-                    key, held = (root, low, high), []
-                held.append((block, name, np.frombuffer(features, np.uint64)))
-        if len(held) > 1:
-            yield links(key, held)
-
-    def links(key: tuple, held: list) -> pa.RecordBatch:
-        if key[1] == key[2]:
-            names, right = [n for _, n, _ in held], None
-            a, b = linked([s for *_, s in held], None, percent)
-            others = names
-        else:
-            one, two = ([(n, s) for blk, n, s in held if blk == x] for x in key[1:])
-            names, others = [n for n, _ in one], [n for n, _ in two]
-            right = [s for _, s in two]
-            a, b = linked([s for _, s in one], right, percent) if one and two else ([], [])
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        rows, degree = [], {}
-        for i, j in zip(list(a), list(b)):
-            x, y = names[i], others[j]
-            degree[x], degree[y] = degree.get(x, 0) + 1, degree.get(y, 0) + 1
-            rx, ry = find(x), find(y)
-            if rx != ry:
-                parent[max(rx, ry)] = min(rx, ry)
-                rows.append((x, y, 0))
-        rows += [(x, None, n) for x, n in degree.items()]
-        columns = list(zip(*rows)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "links"])
-
-    return compare
-
-
 def verified_links(members: DataFrame, percent: int) -> DataFrame:
     """(a, b, links) from (root, name, features): a forest of the links between names, and (name, null, its links)."""
-    members = materialise(members, "members")
-    sizes = materialise(members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    rows = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("root", "block", "name", "features", other.alias("other"))
-    keys = ["root", "low", "high"]
-    rows = rows.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "name", "features")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(percent), "a long, b long, links long")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, low, high), held in _groups(batches):
+            sets = [(block, name, np.frombuffer(raw, np.uint64)) for block, name, raw in held]
+            one = [(n, x) for b, n, x in sets if b == low]
+            two = one if low == high else [(n, x) for b, n, x in sets if b == high]
+            if not one or not two:
+                continue
+            a, b = linked([x for _, x in one], None if low == high else [x for _, x in two], percent)
+            pairs = [(one[i][0], two[j][0]) for i, j in zip(a.tolist(), b.tolist())]
+            degree = Counter(x for pair in pairs for x in pair)
+            rows = [(x, y, 0) for x, y in _forest(iter(pairs))] + [(x, None, n) for x, n in degree.items()]
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "links"])
+
+    blocks = _in_blocks(materialise(members, "members"), "root", BLOCK)
+    return blocks.select("root", "low", "high", "block", "name", "features").mapInArrow(compare, "a long, b long, links long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -348,7 +443,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked with nothing and keep their own id. Null ids are never the smallest unless all are null.
     """
     written = materialise(signed_documents(docs, id_col, text_col, width, percent), "signed")
-    signed, clusters = written.filter("shard IS NULL").select("id", "text_hash", "n", "name"), candidate_clusters(written)
+    signed = written.filter("shard IS NULL").select("id", "text_hash", "n", "name")
+    clusters = candidate_clusters(docs, text_col, width, percent, written, signed)
     found = materialise(verified_links(_candidate_sets(docs, text_col, width, signed, clusters), percent), "links")
     roots = materialise(components(found.filter("b IS NOT NULL").select("a", "b")), "roots")
     degrees = found.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("n_links"))
