@@ -8,9 +8,8 @@ partners can lie in the next band has that band's signatures too.
 
 A set's cells are two bits of each subpart's sum: two sets differ in at least as many features as they differ in
 cells, so a pair that differs in more than k cells is no link. Sets that share a signature and pass this test form
-candidate clusters; within a cluster all pairs are compared exactly, and only a spanning forest of the links leaves
-a task. Signatures and clusters with very many sets are compared block by block. Documents with equal sets travel
-as one. To find the shared signatures, a task ties the sets that share one among its own documents and passes on one
+candidate clusters; within a cluster all pairs are compared exactly, block by block, and only a spanning forest of
+the links leaves a task. Documents with equal sets travel as one. To find the shared signatures, a task ties the sets that share one among its own documents and passes on one
 of them, so a signature that very many sets share reaches a shard once per task.
 """
 
@@ -30,14 +29,16 @@ from quire.llm.wordhash import mix, word_hashes
 
 #: Parts beyond k // 2 + 1. A set in which more parts than this have an empty pair of subparts signs these as well.
 SLACK = 1
-#: Sets of a block within a cluster and within a signature, and features compared at once.
-BLOCK, CELL_BLOCK, COLUMNS = 128, 1024, 8192
+#: Sets of a block within a cluster, and features compared at once.
+BLOCK, COLUMNS = 128, 8192
 #: Bits of the filters that keep texts and signatures in question; their size is fixed, false hits only cost time.
 FILTER_BITS = 1 << 27
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Signatures a task holds before it passes them on; code points of text of a shard of signatures, and fewest shards.
 HELD = 1 << 21
 SHARD_CHARS, LEAST_SHARDS = 32_000_000, 16
+#: The same for shards of cells, which hold a set's cells once for all its signatures there.
+CELL_CHARS, LEAST_CELL_SHARDS = 128_000_000, 8
 #: Shard number of the rows that hold what is shared within a task.
 TIES = -1
 SIGNED = "id long, text_hash long, n long, name long, shard int, sigs binary, places binary, names binary"
@@ -329,21 +330,57 @@ def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def close_pairs(rows: list[tuple], split: tuple[int, int], percent: int) -> Iterator[tuple[int, int]]:
-    """Names of pairs within the bounds of sizes and cells; rows are (block, name, n, k, cells)."""
-    low, high = split
-    rows = sorted(rows, key=lambda r: r[0] != low)  # the rows of the lower block first
-    left = sum(r[0] == low for r in rows)
-    width = len(rows[0][4])
-    rows = [r for r in rows if len(r[4]) == width]  # another length is another band, met by chance
-    planes = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), 2, -1)
-    names, n, k = [r[1] for r in rows], np.array([r[2] for r in rows]), rows[0][3]
-    for i in range(left if low != high else len(rows)):
-        start = i + 1 if low == high else left
-        differ = np.bitwise_count((planes[start:, 0] ^ planes[i, 0]) | (planes[start:, 1] ^ planes[i, 1])).sum(1, dtype=np.int64)
-        sizes = np.minimum(n[start:], n[i]) * 100 >= np.maximum(n[start:], n[i]) * percent
-        for j in np.flatnonzero((differ <= k) & sizes).tolist():
-            yield names[i], names[start + j]
+class _Sets:
+    """Components of numbered sets while links are added."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def of(self, some: np.ndarray) -> np.ndarray:
+        root = self.root[some]
+        while (root != self.root[root]).any():
+            root = self.root[root]
+        self.root[some] = root
+        return root
+
+    def join(self, roots: np.ndarray) -> None:
+        self.root[roots] = roots.min()
+
+
+def close_sets(sigs: list[np.ndarray], n: np.ndarray, k: np.ndarray, cells: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Ties that connect all pairs of sets which share a signature and are within the bounds of sizes and cells.
+
+    Pairs that are connected already are not compared again.
+    """
+    owner, sig = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs]), np.concatenate(sigs)
+    order = np.argsort(sig, kind="stable")
+    owner, sig = owner[order], sig[order]
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    end = np.append(start[1:], len(sig))
+    joined, ties, seen = _Sets(len(sigs)), [], set()
+    for s, e in zip(start.tolist(), end.tolist()):
+        if e - s < 2:
+            continue
+        run = np.unique(owner[s:e])
+        if len(run) < 2 or (known := run.tobytes()) in seen:
+            continue  # the same sets were compared under another signature
+        seen.add(known)
+        width = len(cells[run[0]])
+        run = run[[len(cells[i]) == width for i in run]]  # another length is another band, met by chance
+        planes = np.frombuffer(b"".join([cells[i] for i in run]), np.uint8).reshape(len(run), 2, -1)
+        for i in range(len(run) - 1):
+            roots = joined.of(run[i:])
+            rest = i + np.flatnonzero(roots != roots[0])
+            if not len(rest):
+                continue
+            differ = np.bitwise_count((planes[rest, 0] ^ planes[i, 0]) | (planes[rest, 1] ^ planes[i, 1])).sum(1, dtype=np.int64)
+            size, sizes = n[run[i]], n[run[rest]]
+            close = rest[(differ <= k[run[i]]) & (np.minimum(size, sizes) * 100 >= np.maximum(size, sizes) * percent)]
+            if len(close):
+                _, one = np.unique(joined.of(run[close]), return_index=True)  # a tie to each component is enough
+                ties += [(int(run[i]), int(run[j])) for j in close[one]]
+                joined.join(np.append(joined.of(run[close]), roots[0]))
+    return ties
 
 
 def candidate_clusters(docs: DataFrame, text_col: str, width: int, percent: int, written: DataFrame, signed: DataFrame) -> DataFrame:
@@ -353,30 +390,35 @@ def candidate_clusters(docs: DataFrame, text_col: str, width: int, percent: int,
     texts, sets = _chosen_sets(docs, text_col, width, signed, names)
     tied = docs.sparkSession.sparkContext.broadcast(_Filter(shared.filter("what = 1").select("value")))
 
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    bits = max(LEAST_CELL_SHARDS - 1, chars // CELL_CHARS).bit_length()
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for of, features in sets(batches):
             rows = []
             for name, x, bands in zip(of, features, signatures(features, percent)):
                 for sigs, k, packed in bands:
-                    sigs = sigs.view(np.int64)
-                    rows += [(sig, name, len(x), k, packed) for sig in sigs[tied.value(sigs)].tolist()]
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["sig", "name", "n", "k", "cells"])
-
-    rows = texts.mapInArrow(cells, "sig long, name long, n int, k int, cells binary")
-    # a name may come from several tasks
-    rows = materialise(rows.dropDuplicates(["sig", "name"]), "cells")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, low, high), held in _groups(batches):
-            pairs = _forest(close_pairs(held, (low, high), percent))
-            columns = list(zip(*pairs)) or [()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
-
-    blocks = _in_blocks(rows, "sig", CELL_BLOCK).select("sig", "low", "high", "block", "name", "n", "k", "cells")
-    edges = blocks.mapInArrow(close, "a long, b long")
-    return materialise(components(edges), "clusters")
+                    sigs = np.sort(sigs[tied.value(sigs.view(np.int64))])
+                    shard = (sigs >> np.uint64(64 - bits)).astype(np.int64)
+                    cut = np.flatnonzero(np.diff(shard, prepend=-1))
+                    for s, e in zip(cut, np.append(cut[1:], len(sigs))):
+                        rows.append((int(shard[s]), name, len(x), k, packed, sigs[s:e].tobytes()))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["shard", "name", "n", "k", "cells", "sigs"])
+
+    def close(table: pa.Table) -> pa.Table:
+        # a name may come from several tasks
+        rows = {(name, k): (n, packed, sigs) for name, n, k, packed, sigs in zip(*(table.column(c).to_pylist() for c in ("name", "n", "k", "cells", "sigs")))}
+        names, k = [x for x, _ in rows], np.array([x for _, x in rows])
+        n, packed, sigs = zip(*rows.values())
+        ties = close_sets([np.frombuffer(x, np.uint64) for x in sigs], np.array(n), k, list(packed), percent)
+        pairs = [(names[i], names[j]) for i, j in ties]
+        columns = list(zip(*pairs)) or [()] * 2
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    rows = texts.mapInArrow(cells, "shard int, name long, n int, k int, cells binary, sigs binary")
+    return materialise(components(rows.groupBy("shard").applyInArrow(close, "a long, b long")), "clusters")
 
 
 def _candidate_sets(docs: DataFrame, text_col: str, width: int, signed: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -376,7 +376,6 @@ def family(rng):
 @pytest.mark.parametrize("block, held", [(256, 1 << 21), (8, 500)])
 def test_jaccard_components(spark, monkeypatch, rows, width, percent, block, held):
     monkeypatch.setattr(partenum, "BLOCK", block)
-    monkeypatch.setattr(partenum, "CELL_BLOCK", block)
     monkeypatch.setattr(partenum, "HELD", held)
     texts = [r[1] for r in rows] + family(random.Random(9))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
