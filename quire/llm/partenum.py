@@ -6,8 +6,8 @@ subparts, and every pair of subparts of a part is a signature. At most k // 2 pa
 at least 1 + SLACK of the parts agree in a pair of subparts: similar sets share a signature. A set whose larger
 partners can lie in the next band has that band's signatures too.
 
-A set's cells are two bits of each subpart's sum: two sets differ in at least as many features as they differ in
-cells, so a pair that differs in more than k cells is no link. Sets that share a signature and pass this test form
+A set's cells are four bits of each subpart's sum: two sets differ in at least as many features as they differ in
+cells, so a pair that differs in more cells than two similar sets of their sizes can is no link. Sets that share a signature and pass this test form
 candidate clusters; within a cluster all pairs are compared exactly, block by block, and only a spanning forest of
 the links leaves a task. Documents with equal sets travel as one. To find the shared signatures, a task ties the sets that share one among its own documents and passes on one
 of them, so a signature that very many sets share reaches a shard once per task.
@@ -31,6 +31,8 @@ from quire.llm.wordhash import mix, word_hashes
 SLACK = 1
 #: Sets of a block within a cluster, and features compared at once.
 BLOCK, COLUMNS = 128, 8192
+#: Bits of a cell.
+PLANES = 4
 #: Bits of the filters that keep texts and signatures in question; their size is fixed, false hits only cost time.
 FILTER_BITS = 1 << 27
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -92,7 +94,7 @@ def set_name(features: np.ndarray) -> int:
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> list[list[tuple[np.ndarray, int, bytes]]]:
-    """Per set and band: signatures as 64-bit values, the most differences k, and the cells as two bit planes."""
+    """Per set and band: signatures as 64-bit values, the most differences k, and the cells as bit planes."""
     bands, sizes = Bands(percent), np.array([len(s) for s in sets], np.int64)
     lowest, highest = bands.of(sizes), bands.of(sizes * 100 // percent)
     jobs = [(i, b) for i in np.flatnonzero(sizes).tolist() for b in range(lowest[i], highest[i] + 1)]
@@ -121,7 +123,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[list[tuple[np.ndarr
     open_ = np.add.reduceat(empty.any(1).astype(np.int64), begin[:-1]) > SLACK
     keep = ~empty | np.repeat(open_, parts)[:, None]
     cell = mix(sums.reshape(-1), 78) >> np.uint64(20)
-    planes = [(cell & np.uint64(1)).astype(bool), (cell & np.uint64(2)).astype(bool)]
+    planes = [(cell & np.uint64(1 << b)).astype(bool) for b in range(PLANES)]
     for j, (i, _) in enumerate(jobs):
         rows, cells = slice(begin[j], begin[j + 1]), slice(offset[j], offset[j + 1])
         packed = b"".join(np.packbits(plane[cells]).tobytes() for plane in planes)
@@ -347,7 +349,7 @@ class _Sets:
         self.root[roots] = roots.min()
 
 
-def close_sets(sigs: list[np.ndarray], n: np.ndarray, k: np.ndarray, cells: list[bytes], percent: int) -> list[tuple[int, int]]:
+def close_sets(sigs: list[np.ndarray], n: np.ndarray, cells: list[bytes], percent: int) -> list[tuple[int, int]]:
     """Ties that connect all pairs of sets which share a signature and are within the bounds of sizes and cells.
 
     Pairs that are connected already are not compared again.
@@ -367,15 +369,16 @@ def close_sets(sigs: list[np.ndarray], n: np.ndarray, k: np.ndarray, cells: list
         seen.add(known)
         width = len(cells[run[0]])
         run = run[[len(cells[i]) == width for i in run]]  # another length is another band, met by chance
-        planes = np.frombuffer(b"".join([cells[i] for i in run]), np.uint8).reshape(len(run), 2, -1)
+        planes = np.frombuffer(b"".join([cells[i] for i in run]), np.uint8).reshape(len(run), PLANES, -1)
         for i in range(len(run) - 1):
             roots = joined.of(run[i:])
             rest = i + np.flatnonzero(roots != roots[0])
             if not len(rest):
                 continue
-            differ = np.bitwise_count((planes[rest, 0] ^ planes[i, 0]) | (planes[rest, 1] ^ planes[i, 1])).sum(1, dtype=np.int64)
             size, sizes = n[run[i]], n[run[rest]]
-            close = rest[(differ <= k[run[i]]) & (np.minimum(size, sizes) * 100 >= np.maximum(size, sizes) * percent)]
+            rest = rest[np.minimum(size, sizes) * 100 >= np.maximum(size, sizes) * percent]
+            differ = np.bitwise_count(np.bitwise_or.reduce(planes[rest] ^ planes[i], 1)).sum(1, dtype=np.int64)
+            close = rest[differ <= (size + n[run[rest]]) * (100 - percent) // (100 + percent)]
             if len(close):
                 _, one = np.unique(joined.of(run[close]), return_index=True)  # a tie to each component is enough
                 ties += [(int(run[i]), int(run[j])) for j in close[one]]
@@ -410,9 +413,9 @@ def candidate_clusters(docs: DataFrame, text_col: str, width: int, percent: int,
     def close(table: pa.Table) -> pa.Table:
         # a name may come from several tasks
         rows = {(name, k): (n, packed, sigs) for name, n, k, packed, sigs in zip(*(table.column(c).to_pylist() for c in ("name", "n", "k", "cells", "sigs")))}
-        names, k = [x for x, _ in rows], np.array([x for _, x in rows])
+        names = [x for x, _ in rows]
         n, packed, sigs = zip(*rows.values())
-        ties = close_sets([np.frombuffer(x, np.uint64) for x in sigs], np.array(n), k, list(packed), percent)
+        ties = close_sets([np.frombuffer(x, np.uint64) for x in sigs], np.array(n), list(packed), percent)
         pairs = [(names[i], names[j]) for i, j in ties]
         columns = list(zip(*pairs)) or [()] * 2
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
