@@ -37,8 +37,8 @@ PLANES = 4
 FILTER_BITS = 1 << 27
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Signatures a task holds before it passes them on; code points of text of a shard of signatures, and fewest shards.
-HELD = 1 << 21
-SHARD_CHARS, LEAST_SHARDS = 32_000_000, 16
+HELD = 1 << 20
+SHARD_CHARS, LEAST_SHARDS = 16_000_000, 16
 #: The same for shards of cells, which hold a set's cells once for all its signatures there.
 CELL_CHARS, LEAST_CELL_SHARDS = 128_000_000, 8
 #: Shard number of the rows that hold what is shared within a task.
