@@ -19,28 +19,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.endings import ENDINGS
+
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-# fixed values: letters that look like Latin ones, domains accepted in a disguise of words alone, number words
+# fixed values: letters that look like Latin ones, number words
 LOOK_ALIKE = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιν", "ABEKMHOPCTXaeopcyxijsdhqwABEZHIKMNOPTYXoiv"))
 INVISIBLE = "­​‌‍⁠﻿"
-DOMAINS = frozenset("com org net edu gov mil int info biz name io ai app dev co me tv us uk de fr es it eu ch at nl".split())
 NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 
 _NUMBER = rf"\b(?:{'|'.join(NUMBERS)})\b"
 _RUN = re.compile(rf"(?i){_NUMBER}(?:[ ,-]{{1,2}}{_NUMBER})*")
 _ONE = re.compile(rf"(?i){_NUMBER}")
 _PLUS = re.compile(r"(?i)\bplus[ -]{1,2}(?=[0-9])")
-_AT = re.compile(r"(?i) {0,2}[\[({<] ?at ?[\])}>] {0,2}| {1,2}at {1,2}")
-_DOT = re.compile(r"(?i) {0,2}[\[({<] ?dot ?[\])}>] {0,2}| {1,2}dot {1,2}")
-#: What may begin a disguise. A bare "at" alone is none, as prose is full of it.
+_AT = re.compile(r"(?i) {0,2}[\[({<] ?(?:at|@) ?[\])}>] {0,2}| {1,2}at {1,2}")
+_DOT = re.compile(r"(?i) {0,2}[\[({<] ?(?:dot|\.) ?[\])}>] {0,2}| {1,2}dot {1,2}")
+_BARE_AT = re.compile(r"(?i) at ")
+#: A noun "dot" follows these, and a place on the web is said to be "at" its domain after those.
+_ARTICLES = frozenset("a an the this that these those each every any some no my your his her its our their".split())
+_PROSE = frozenset(
+    "a an and are available be been but by directly find for found free from go he her here him hosted i in is it its join listed"
+    " live located look looked looking me meet more now of on online only or out posted published read register see she site"
+    " that the them there they this to us visit was we web webpage website were you".split()
+)
+#: What may begin a disguise. Prose is full of a bare "at", so that needs a domain with a real dot after it.
 _MARK = re.compile(
     rf"[{''.join(LOOK_ALIKE)}{INVISIBLE}！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]"
-    rf"|(?i:{_NUMBER}|\bdot\b|[\[({{<] ?at ?[\])}}>])"
+    rf"|(?i:{_NUMBER}|\bdot\b|[\[({{<] ?(?:at|[.@]) ?[\])}}>]|\bat {{1,2}}(?=[A-Z0-9-]++\.[A-Z0-9])|\bplus[ -]{{1,2}}[0-9])"
 )
 #: Characters around a mark that are normalised with it.
 AROUND = 96
@@ -142,6 +151,21 @@ def normalise(text: str, offset: int = 0) -> Tape:
     return tape
 
 
+def _is_address(found: str, source: str, after: str) -> bool:
+    """Whether a normalised address, in lower case, is none that prose or a web address makes up."""
+    local, _, domain = found.rpartition("@")
+    *labels, last = domain.split(".")
+    if any(c in source for c in "@[](){}<>"):
+        return last in ENDINGS or len(last) >= 2 and last.isalpha()
+    # words alone are a weak disguise: prose may run "at ... dot ..." or "at" a web address as well
+    if last not in ENDINGS:
+        return False
+    at = _BARE_AT.search(source)
+    if at and "." in source[at.end() :]:
+        return local not in _PROSE and labels[0] != "www" and after != "/"
+    return labels[-1] not in _ARTICLES
+
+
 def disguised(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) in the source of identifiers that only the normalised text shows."""
     windows: list[list[int]] = []
@@ -157,11 +181,8 @@ def disguised(text: str) -> Iterator[tuple[str, int, int]]:
             if not any(tape.changed[a:b]):
                 continue
             if kind == "email":
-                last = tape.text[a:b].rpartition(".")[2]
                 source = text[tape.spans[a][0] : tape.spans[b - 1][1]]
-                # words alone are a weak disguise: prose may run "at ... dot ..." as well
-                bare = not any(c in source for c in "@[](){}<>")
-                if not (len(last) >= 2 and last.isalpha()) or bare and last.lower() not in DOMAINS:
+                if not _is_address(tape.text[a:b].lower(), source, tape.text[b : b + 1]):
                     continue
             yield kind, tape.spans[a][0], tape.spans[b - 1][1]
 

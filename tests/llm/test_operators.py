@@ -125,6 +125,35 @@ def test_disguised_identifiers(text, kind, span):
     assert (kind, span) in found
 
 
+@pytest.mark.parametrize("text, kind, span", [
+    ("write to jane at example.com, soon", "email", "jane at example.com"),
+    ("J.Doe AT mail.firma.pl", "email", "J.Doe AT mail.firma.pl"),
+    ("call plus 49 30 1234567 now", "phone", "plus 49 30 1234567"),
+    ("call plus-49-30-1234567 now", "phone", "plus-49-30-1234567"),
+    ("by jane@example[.]com", "email", "jane@example[.]com"),
+    ("by jane[@]example[.]com", "email", "jane[@]example[.]com"),
+    ("by jane (@) mail ( . ) example.com", "email", "jane (@) mail ( . ) example.com"),
+    ("host 192[.]168[.]0[.]1", "ip", "192[.]168[.]0[.]1"),
+    ("anna at firma dot pl", "email", "anna at firma dot pl"),
+    ("anna at firma dot ca", "email", "anna at firma dot ca"),
+    ("anna at firma dot co dot jp", "email", "anna at firma dot co dot jp"),
+    ("anna at firma dot photography", "email", "anna at firma dot photography"),
+    ("anna at firma dot xn--p1ai", "email", "anna at firma dot xn--p1ai"),
+])
+def test_disguises_by_one_sign(text, kind, span):
+    found = [(k, text[s:e]) for k, s, e, plain in pii.personal_data(text) if not plain]
+    assert found == [(kind, span)]
+
+
+def test_prose_with_domains_is_left_alone():
+    for t in (
+        "Read it at example.com today", "more at www.example.com", "the docs at example.com/help", "He looked at 3.5 of them",
+        "look at the dot in the middle", "reston at leosrm.25", "he sat at home.Then left", "plus 12 more", "see [.] or (@)",
+        "stay at night dot matrix", "j.x at the dot in it", "x at leosrm.2x",
+    ):
+        assert pii.personal_data(t) == []
+
+
 def test_prose_is_left_alone(spark, docs, none):
     for t in ("He was at the dot of noon", "look at one of two", "plus one", "at home. dot com was a time", "", None):
         assert pii.personal_data(t) == []
