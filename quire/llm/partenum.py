@@ -94,7 +94,7 @@ def set_name(features: np.ndarray) -> int:
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> list[list[tuple[np.ndarray, int, bytes]]]:
-    """Per set and band: signatures as 64-bit values, the most differences k, and the cells as bit planes."""
+    """Per set and band: signatures as 64-bit values, the band's number, and the cells as bit planes."""
     bands, sizes = Bands(percent), np.array([len(s) for s in sets], np.int64)
     lowest, highest = bands.of(sizes), bands.of(sizes * 100 // percent)
     jobs = [(i, b) for i in np.flatnonzero(sizes).tolist() for b in range(lowest[i], highest[i] + 1)]
@@ -124,10 +124,10 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[list[tuple[np.ndarr
     keep = ~empty | np.repeat(open_, parts)[:, None]
     cell = mix(sums.reshape(-1), 78) >> np.uint64(20)
     planes = [(cell & np.uint64(1 << b)).astype(bool) for b in range(PLANES)]
-    for j, (i, _) in enumerate(jobs):
+    for j, (i, b) in enumerate(jobs):
         rows, cells = slice(begin[j], begin[j + 1]), slice(offset[j], offset[j + 1])
         packed = b"".join(np.packbits(plane[cells]).tobytes() for plane in planes)
-        out[i].append((mix(signed[rows][keep[rows]], 77), int(k[j]), packed))
+        out[i].append((mix(signed[rows][keep[rows]], 77), b, packed))
     return out
 
 
@@ -400,19 +400,19 @@ def candidate_clusters(docs: DataFrame, text_col: str, width: int, percent: int,
         for of, features in sets(batches):
             rows = []
             for name, x, bands in zip(of, features, signatures(features, percent)):
-                for sigs, k, packed in bands:
+                for sigs, band, packed in bands:
                     sigs = np.sort(sigs[tied.value(sigs.view(np.int64))])
                     shard = (sigs >> np.uint64(64 - bits)).astype(np.int64)
                     cut = np.flatnonzero(np.diff(shard, prepend=-1))
                     for s, e in zip(cut, np.append(cut[1:], len(sigs))):
-                        rows.append((int(shard[s]), name, len(x), k, packed, sigs[s:e].tobytes()))
+                        rows.append((int(shard[s]), name, len(x), band, packed, sigs[s:e].tobytes()))
             columns = list(zip(*rows)) or [()] * 6
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["shard", "name", "n", "k", "cells", "sigs"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["shard", "name", "n", "band", "cells", "sigs"])
 
     def close(table: pa.Table) -> pa.Table:
-        # a name may come from several tasks
-        rows = {(name, k): (n, packed, sigs) for name, n, k, packed, sigs in zip(*(table.column(c).to_pylist() for c in ("name", "n", "k", "cells", "sigs")))}
+        # a name may come from several tasks; bands can allow equally many differences, so their number tells them apart
+        rows = {(name, band): (n, packed, sigs) for name, n, band, packed, sigs in zip(*(table.column(c).to_pylist() for c in ("name", "n", "band", "cells", "sigs")))}
         names = [x for x, _ in rows]
         n, packed, sigs = zip(*rows.values())
         ties = close_sets([np.frombuffer(x, np.uint64) for x in sigs], np.array(n), list(packed), percent)
@@ -420,7 +420,7 @@ def candidate_clusters(docs: DataFrame, text_col: str, width: int, percent: int,
         columns = list(zip(*pairs)) or [()] * 2
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-    rows = texts.mapInArrow(cells, "shard int, name long, n int, k int, cells binary, sigs binary")
+    rows = texts.mapInArrow(cells, "shard int, name long, n int, band int, cells binary, sigs binary")
     return materialise(components(rows.groupBy("shard").applyInArrow(close, "a long, b long")), "clusters")
 
 

@@ -423,6 +423,25 @@ def test_jaccard_components(spark, monkeypatch, rows, width, percent, block, hel
         assert got[i].n_links == links
 
 
+@pytest.mark.parametrize("shards", [2, 8])
+def test_jaccard_bands_of_one_difference(spark, monkeypatch, shards):
+    """At 90 percent the bands that end at 19 and at 27 both allow two differences."""
+    monkeypatch.setattr(partenum, "LEAST_CELL_SHARDS", shards)
+    rng = random.Random(19)
+    texts = []
+    for _ in range(40):
+        base = words(rng, 22, 100_000).split()
+        texts += [" ".join(base[:n]) for n in (19, 20, 21, 22)]  # 17 to 20 shingles
+        texts += [" ".join([*base[:20], f"y{i}"]) for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in partenum.jaccard_components(df, width=3, percent=90).collect()}
+    sets, root = plain_components(texts, 3, 90)
+    assert {len(s) for s in sets} == {17, 18, 19, 20}
+    for i, s in enumerate(sets):
+        assert got[i].component_id == root.index(root[i])
+        assert got[i].n_links == sum(100 * len(s & o) >= 90 * len(s | o) for o in sets) - 1
+
+
 def test_keep_one(docs, rows, none):
     kept = partenum.keep_one(docs)
     assert kept.columns == docs.columns
