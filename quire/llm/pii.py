@@ -51,8 +51,9 @@ _MARK = re.compile(
     rf"[{''.join(LOOK_ALIKE)}{INVISIBLE}！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]"
     rf"|(?i:{_NUMBER}|\bdot\b|[\[({{<] ?(?:at|[.@]) ?[\])}}>]|\bat {{1,2}}(?=[A-Z0-9-]++\.[A-Z0-9])|\bplus[ -]{{1,2}}[0-9])"
 )
-#: Characters around a mark that are normalised with it.
+#: Characters around a mark that are normalised with it, at least: no word or spaced number is cut.
 AROUND = 96
+_SPACED = frozenset("0123456789().+- ")
 
 
 def _luhn(digits: str) -> bool:
@@ -78,7 +79,7 @@ def detect(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "email", start, last
     if "." in text:
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
                 yield "ip", m.start(), m.end()
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -171,7 +172,15 @@ def disguised(text: str) -> Iterator[tuple[str, int, int]]:
     windows: list[list[int]] = []
     for m in _MARK.finditer(text):
         start, end = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if windows and start <= windows[-1][1]:
+        low = windows[-1][1] if windows else 0
+        if windows and end <= low:
+            continue
+        # from an edge to the next space that is not within a spaced number; nothing is passed over twice
+        while start > low and not (text[start - 1].isspace() and text[start - 2 : start - 1] not in _SPACED):
+            start -= 1
+        while end < len(text) and not (text[end].isspace() and text[end + 1 : end + 2] not in _SPACED):
+            end += 1
+        if windows and start <= low:
             windows[-1][1] = end
         else:
             windows.append([start, end])

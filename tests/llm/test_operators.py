@@ -145,6 +145,25 @@ def test_disguises_by_one_sign(text, kind, span):
     assert found == [(kind, span)]
 
 
+@pytest.mark.parametrize("address", [
+    "jоhn." + "a" * 30 + "@" + "mail." * 30 + "example.com",
+    "john@" + "mail." * 30 + "exаmple.com",
+    "о" + "a" * 300 + "@example.com",
+])
+def test_long_disguised_address_is_whole(address):
+    for text in (address, f"write to {address} soon", f"one {'word ' * 50}{address} two"):
+        # the plain pattern may take a part of it
+        assert [(k, text[s:e]) for k, s, e, plain in pii.personal_data(text) if not plain] == [("email", address)]
+
+
+def test_long_texts_of_marks():
+    phone = "plus 49 30" + " " * 200 + "1234567"
+    assert [(k, phone[s:e]) for k, s, e, _ in pii.personal_data(phone)] == [("phone", phone)]
+    assert pii.personal_data("0" * 5000 + ".1.1.1") == [("ip", 0, 5006, True)]
+    assert pii.personal_data("0" * 5000 + ".1.1.999") == []
+    assert pii.personal_data(("a" * 400 + "о") * 2000) == []
+
+
 def test_prose_with_domains_is_left_alone():
     for t in (
         "Read it at example.com today", "more at www.example.com", "the docs at example.com/help", "He looked at 3.5 of them",
