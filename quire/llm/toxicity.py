@@ -71,28 +71,53 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], bytes, list[in
         yield at, b"".join(parts), lengths
 
 
-class Model:
-    """Log-likelihood ratio per n-gram in a hashed table; n-grams outside it say nothing."""
+class _Table:
+    """Values of n-grams in a hashed table."""
 
-    def __init__(self, grams: np.ndarray, ratios: np.ndarray):
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
         self.shift = np.uint64(64 - max(10, int(4 * len(grams)).bit_length()))
         slot = (grams * _MULTIPLIER) >> self.shift
         _, first = np.unique(slot, return_index=True)
         size = 1 << (64 - int(self.shift))
         self.keys, self.values = np.full(size, np.uint64(2**64 - 1)), np.zeros(size, np.float32)
-        self.keys[slot[first]], self.values[slot[first]] = grams[first], ratios[first]
+        self.keys[slot[first]], self.values[slot[first]] = grams[first], values[first]
         rest = np.setdiff1d(np.arange(len(grams)), first)
         rest = rest[np.argsort(grams[rest])]
-        self.rest, self.rest_values = grams[rest], ratios[rest].astype(np.float32)
+        self.rest, self.rest_values = grams[rest], values[rest].astype(np.float32)
 
-    def ratios(self, grams: np.ndarray) -> np.ndarray:
+    def __call__(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each n-gram, 0 if there is none, and whether there is one."""
         slot = (grams * _MULTIPLIER) >> self.shift
         held = self.keys[slot]
-        out = np.where(held == grams, self.values[slot], np.float32(0))
+        known = held == grams
+        out = np.where(known, self.values[slot], np.float32(0))
         if len(self.rest):
-            other = np.flatnonzero((held != grams) & (held != np.uint64(2**64 - 1)))
+            other = np.flatnonzero(~known & (held != np.uint64(2**64 - 1)))
             at = np.minimum(np.searchsorted(self.rest, grams[other]), len(self.rest) - 1)
-            out[other] = np.where(self.rest[at] == grams[other], self.rest_values[at], np.float32(0))
+            known[other] = self.rest[at] == grams[other]
+            out[other] = np.where(known[other], self.rest_values[at], np.float32(0))
+        return out, known
+
+
+def _mask(k: int) -> np.uint64:
+    return np.uint64((1 << 8 * k) - 1)
+
+
+class Model:
+    """Log-likelihood ratio of every n-gram: one that neither class has seen is judged by its history and its end."""
+
+    def __init__(self, seen: dict[int, tuple[np.ndarray, np.ndarray]], passed: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.seen = {k: _Table(*x) for k, x in seen.items()}
+        self.passed = {k: _Table(*x) for k, x in passed.items()}
+
+    def ratios(self, grams: np.ndarray, k: int = ORDER) -> np.ndarray:
+        if k == SHARED:
+            return np.zeros(len(grams), np.float32)
+        out, known = self.seen[k](grams)
+        other = np.flatnonzero(~known)
+        if len(other):
+            unseen = grams[other]
+            out[other] = self.passed[k](unseen >> np.uint64(8))[0] + self.ratios(unseen & _mask(k - 1), k - 1)
         return out
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
@@ -112,41 +137,47 @@ def _lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarr
 
 
 def _histories(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Histories of sorted n-grams, the sum of their counts and the number of their continuations."""
+    """Histories of sorted n-grams, the sum of their counts and the part of it that is passed on to the lower order."""
     if not len(grams):
         return grams, counts, counts
     h, start = np.unique(grams >> np.uint64(8), return_index=True)
-    return h, np.add.reduceat(counts, start), np.diff(np.append(start, len(grams)))
+    return h, np.add.reduceat(counts, start), np.add.reduceat(np.minimum(counts, DISCOUNT), start)
 
 
 def fit_ratios(counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> Model:
     """Model from (sorted n-grams, counts) of class 0 and class 1."""
-    grams = np.union1d(counts[0][0], counts[1][0])
-    log = {}
-    mask = lambda k: np.uint64((1 << 8 * k) - 1)
-    low = grams & mask(SHARED)
-    ends = [np.unique(g & mask(SHARED), return_inverse=True) + (n,) for g, n in counts.values()]
+    ends = [np.unique(g & _mask(SHARED), return_inverse=True) + (n,) for g, n in counts.values()]
     both = np.union1d(ends[0][0], ends[1][0])
     shared = np.zeros(len(both))
     for keys, inverse, n in ends:
         shared[np.searchsorted(both, keys)] += np.bincount(inverse, n, len(keys))
     h, total, _ = _histories(both, shared)
-    floor = (_lookup(both, shared, low) + 0.5) / (_lookup(h, total, low >> np.uint64(8)) + 128)
+    floor = (shared + 0.5) / (_lookup(h, total, both >> np.uint64(8)) + 128)
+    levels = {}
     for label, (top, n) in counts.items():
-        levels = {ORDER: (top, n.astype(np.float64))}
+        levels[label] = {ORDER: (top, n.astype(np.float64))}
         for k in range(ORDER - 1, SHARED, -1):
-            keys, types = np.unique(levels[k + 1][0] & mask(k), return_counts=True)
-            levels[k] = keys, types.astype(np.float64)
-        p = floor
-        for k in range(SHARED + 1, ORDER + 1):
-            keys, values = levels[k]
-            asked = grams & mask(k)
-            h, total, types = _histories(keys, values)
-            total, types = (_lookup(h, x.astype(np.float64), asked >> np.uint64(8)) for x in (total, types))
-            kept = np.maximum(_lookup(keys, values, asked) - DISCOUNT, 0)
-            p = np.where(total > 0, (kept + np.minimum(DISCOUNT * types, total) * p) / np.maximum(total, 1), p)
-        log[label] = np.log(p)
-    return Model(grams, (log[1] - log[0]).astype(np.float32))
+            keys, types = np.unique(levels[label][k + 1][0] & _mask(k), return_counts=True)
+            levels[label][k] = keys, types.astype(np.float64)
+    seen, passed = {}, {}
+    lower, p = both, {0: floor, 1: floor}
+    for k in range(SHARED + 1, ORDER + 1):
+        grams = np.union1d(levels[0][k][0], levels[1][k][0])
+        histories, end = np.unique(grams >> np.uint64(8)), np.searchsorted(lower, grams & _mask(k - 1))
+        weight = {}
+        for label in (0, 1):
+            keys, values = levels[label][k]
+            h, total, handed = _histories(keys, values)
+            total, handed = (_lookup(h, x, histories) for x in (total, handed))
+            # a history that the class has not seen passes everything on
+            weight[label] = np.where(total > 0, handed / np.maximum(total, 1), 1.0)
+            at = np.searchsorted(histories, grams >> np.uint64(8))
+            kept = np.maximum(_lookup(keys, values, grams) - DISCOUNT, 0)
+            p[label] = kept / np.maximum(total[at], 1) + weight[label][at] * p[label][end]
+        seen[k] = grams, np.log(p[1]) - np.log(p[0])
+        passed[k] = histories, np.log(weight[1]) - np.log(weight[0])
+        lower = grams
+    return Model(seen, passed)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:

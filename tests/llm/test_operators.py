@@ -251,6 +251,41 @@ def test_toxicity(spark, none):
     assert toxicity.score_toxicity(none, y).count() == 0
 
 
+def test_toxicity_of_unseen_expressions():
+    """Expressions that no labelled row holds are judged by the plain recursion down to the shared counts."""
+    rng = random.Random(4)
+    texts = {y: ["".join(rng.choice("abcde"[y : y + 4] + " ") for _ in range(30)) for _ in range(40)] for y in (0, 1)}
+    tops = {}
+    for y in (0, 1):
+        tops[y] = Counter()
+        for t in texts[y]:
+            tops[y].update(set(toxicity._grams(f"   {t} ".encode(), [34])[1].tolist()))
+    model = toxicity.fit_ratios({y: tuple(np.array(x, t) for x, t in zip(zip(*sorted(c.items())), (np.uint64, np.int64))) for y, c in tops.items()})
+    low = Counter()
+    for c in tops.values():
+        for g, n in c.items():
+            low[g & 255] += n
+
+    def chance(y, g, k):
+        if k == 1:
+            return (low[g] + 0.5) / (sum(low.values()) + 128)
+        level = tops[y]
+        for j in range(3, k - 1, -1):
+            level = Counter(x & (1 << 8 * j) - 1 for x in level)
+        of = {x: n for x, n in level.items() if x >> 8 == g >> 8}
+        rest = chance(y, g & (1 << 8 * k - 8) - 1, k - 1)
+        if not of:
+            return rest
+        share = {x: max(n - 3, 0) for x, n in of.items()}
+        return (share.get(g, 0) + (sum(of.values()) - sum(share.values())) * rest) / sum(of.values())
+
+    asked = [int.from_bytes(bytes(rng.choice(b"abcdez ") for _ in range(4)), "big") for _ in range(300)]
+    unseen = [g not in tops[0] and g not in tops[1] for g in asked]
+    got = model.ratios(np.array(asked, np.uint64))
+    want = [np.log(chance(1, g, 4) / chance(0, g, 4)) for g in asked]
+    assert np.allclose(got, want, atol=1e-4) and np.abs(got[unseen]).max() > 0.1
+
+
 # ---- 5 exact dedup --------------------------------------------------------------------------------------------
 
 def check_exact(rows, got):
