@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, exact_dedup, fingerprints, line_dedup, lm, mixing, partenum, pii, toxicity, warc
+from quire.llm import bpe, exact_dedup, fingerprints, line_dedup, lm, mixing, packing, partenum, pii, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,4 +105,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_mix_sources, op4_toxicity, op5_exact_dedup, op6_fingerprints, op7_line_dedup, op8_lm_score, op9_jaccard_join, op10_warc)}
+def op13_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack_documents(docs, _tokenizer())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_mix_sources, op4_toxicity, op5_exact_dedup, op6_fingerprints, op7_line_dedup, op8_lm_score, op9_jaccard_join, op10_warc, op13_pack_windows)}
