@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, exact_dedup, fingerprints, line_dedup, lm, mixing, packing, partenum, pii, toxicity, warc
+from quire.functions.rows import let
+from quire.llm import bpe, exact_dedup, fingerprints, line_dedup, lm, mixing, packing, partenum, pii, runs, toxicity, warc
+from quire.llm.common import SPACE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +107,45 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _with_repeats(doc_id: Column, text: Column) -> Column:
+    """The text; where crc32 of the id ends in 0, its words from a certain one on are repeated with a period.
+
+    A text without words, or without an id, stays as it is.
+    """
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+    trimmed = F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        tail = F.transform(F.sequence(F.lit(0).cast("long"), n - a - 1), lambda i: F.get(words, (a + i % p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")
+
+    return F.when((h % 10 == 0) & (trimmed != ""), let(F.split(trimmed, f"{SPACE}+"), repeated)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text", _with_repeats(F.col("doc_id"), F.col("text")))
+    found = runs.collapse_runs(docs)
+    best = found.withColumn("best", F.array_max(F.transform(
+        "runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))
+    )))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.pack_documents(docs, _tokenizer())
@@ -113,4 +154,4 @@ def op13_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_mix_sources, op4_toxicity, op5_exact_dedup, op6_fingerprints, op7_line_dedup, op8_lm_score, op9_jaccard_join, op10_warc, op13_pack_windows)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_mix_sources, op4_toxicity, op5_exact_dedup, op6_fingerprints, op7_line_dedup, op8_lm_score, op9_jaccard_join, op10_warc, op11_periodic_runs, op13_pack_windows)}
