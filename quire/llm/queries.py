@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.rows import let
-from quire.llm import bpe, exact_dedup, fingerprints, line_dedup, lm, mixing, packing, partenum, pii, runs, toxicity, warc
+from quire.llm import bag_search, bpe, exact_dedup, fingerprints, line_dedup, lm, mixing, packing, partenum, pii, runs, toxicity, warc
 from quire.llm.common import SPACE
 
 
@@ -146,6 +146,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.pack_documents(docs, _tokenizer())
@@ -154,4 +158,4 @@ def op13_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_mix_sources, op4_toxicity, op5_exact_dedup, op6_fingerprints, op7_line_dedup, op8_lm_score, op9_jaccard_join, op10_warc, op11_periodic_runs, op13_pack_windows)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_pii, op3_mix_sources, op4_toxicity, op5_exact_dedup, op6_fingerprints, op7_line_dedup, op8_lm_score, op9_jaccard_join, op10_warc, op11_periodic_runs, op12_ranked_search, op13_pack_windows)}

@@ -45,4 +45,19 @@ SQL = {
         SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, -b.start AS start, b.length AS length, -b.period AS period,
                1000 * b.length // -b.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
         FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_ranked_search": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+             tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+             d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+             s AS (SELECT count(*) AS N_docs, sum(n)::BIGINT AS L FROM d),
+             m AS (SELECT doc_id, 100 - 75 + ((75 * n * N_docs) // L) AS m FROM d, s),
+             w AS (SELECT term, floor(1000 * ln((2 * N_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, N_docs),
+             q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+             a AS (SELECT item_id, term, count(*) AS asked FROM q GROUP BY ALL),
+             r AS (SELECT item_id, doc_id, sum(asked * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+                   FROM a JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+             k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM r WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
 }
