@@ -1,13 +1,13 @@
-"""Traditional / Simplified conversion from user-supplied tables."""
+"""Traditional / Simplified conversion from user-supplied tables, as expressions of the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.literal import replace_chars, replace_words
 from quire.functions.rows import let
 from quire.functions.text import as_col
 
@@ -26,7 +26,7 @@ AFTER_CONVERSION = (
     ("。干，天也", "。乾，天也"), ("”干，阳物也", "”乾，阳物也"), ("曰“干", "曰“乾"),
 )
 
-#: Bound of a conversion table, which every worker holds; a longer one is refused, never cut.
+#: Bound of a conversion table, which is part of the plan; `load` refuses a longer one, unless asked for more.
 TABLE_LIMIT = 250_000
 
 #: A mark is this character and one more; the character itself, where a text holds it, is marked as well.
@@ -43,37 +43,6 @@ def _fold(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return F.aggregate(table, text, lambda acc, p: F.replace(acc, p["a"], p["b"]))
 
 
-def _longest_match(phrases: Mapping[str, str], chars: Mapping[str, str]):
-    """Arrow function: leftmost longest phrase, else the single character."""
-    lengths: dict[str, list[int]] = {}
-    for word in phrases:
-        lengths.setdefault(word[0], []).append(len(word))
-    lengths = {c: sorted(set(n), reverse=True) for c, n in lengths.items()}
-    single = str.maketrans(dict(chars))
-
-    def convert(text: str) -> str:
-        out, at, plain = [], 0, 0
-        while at < len(text):
-            for n in lengths.get(text[at], ()):
-                hit = phrases.get(text[at : at + n])
-                if hit is not None:
-                    out.append(text[plain:at].translate(single))
-                    out.append(hit)
-                    at += n
-                    plain = at
-                    break
-            else:
-                at += 1
-        out.append(text[plain:].translate(single))
-        return "".join(out)
-
-    @F.pandas_udf("string")
-    def longest(text: pd.Series) -> pd.Series:
-        return text.map(convert, na_action="ignore")
-
-    return longest
-
-
 class ScriptTable:
     """Characters and phrases of both directions."""
 
@@ -101,19 +70,12 @@ class ScriptTable:
 
     @staticmethod
     def _convert(text: Column, chars: Mapping[str, str], phrases: Mapping[str, str]) -> Column:
-        """Leftmost longest phrases, then characters; text that holds neither is passed on untouched.
-
-        Characters alone are native; a table with phrases is one Arrow function, whatever its size.
-        """
-        first = {w[0] for w in (*phrases, *chars)}
-        if not first:
-            return text
-        touched = text.rlike("[" + "".join(rf"\x{{{ord(c):x}}}" for c in sorted(first)) + "]")
-        if phrases:
-            return F.coalesce(_longest_match(phrases, chars)(F.when(touched, text)), text)
-        singles = [(a, b) for a, b in chars.items() if len(a) == len(b) == 1]
-        out = F.translate(text, "".join(a for a, _ in singles), "".join(b for _, b in singles))
-        return F.when(touched, out).otherwise(text)
+        """Leftmost longest phrases, and the characters outside them."""
+        # a character that becomes several, or none, is a phrase of one
+        words = {**{a: b for a, b in chars.items() if len(b) != 1}, **phrases}
+        singles = {a: b for a, b in chars.items() if a not in words and a != b}
+
+        return replace_words(text, words, singles) if words else replace_chars(text, singles)
 
     def simplified(self, c: str | Column) -> Column:
         """Every protected word holds 乾 and every later repair 干: text without them skips those steps."""
