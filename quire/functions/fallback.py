@@ -1,8 +1,7 @@
-"""The three Arrow functions. Callers pass null for rows the native path settles."""
+"""The two Arrow functions. Callers pass null for rows the native path settles."""
 
 from __future__ import annotations
 
-import html
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -40,11 +39,6 @@ def decode_legacy(content: pd.Series) -> pd.Series:
     return content.map(_decode)
 
 
-@F.pandas_udf(T.StringType())
-def unescape_rest(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
-
-
 class _Sections(HTMLParser):
     """Sections of one page whose page furniture is nested too deep for the native rule."""
 

@@ -1,21 +1,22 @@
-"""HTML columns: blocks, tags, entities. All native but the entities outside `ENTITIES`."""
+"""HTML columns: blocks, tags, character references. Everything is native."""
 
 from __future__ import annotations
 
+import html
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.fallback import unescape_rest
+from quire.functions.literal import LiteralMap, replace_matches, word_pattern
+from quire.functions.rows import let
 from quire.functions.text import as_col, collapse_space, strip
 
-# Named references replaced natively; `&amp;` has to come last.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'",
-    "&nbsp;": "\xa0", "&#160;": "\xa0", "&copy;": "©", "&reg;": "®", "&middot;": "·",
-    "&hellip;": "…", "&mdash;": "—", "&ndash;": "–", "&lsquo;": "‘", "&rsquo;": "’",
-    "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&amp;": "&",
-}
-_OTHER_ENTITY = r"&(?!(?:" + "|".join(e[1:] for e in ENTITIES) + r"))(?:#[0-9xX]|[A-Za-z])"
+# The shape of a character reference in HTML 5, and the value of one that is none.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_REPLACED = "\ufffd"
+#: Below this number references have values of their own, as the standard's table says.
+_PLAIN = 0xA0
 
 TAG = r"<[^>]+>"
 _DROPPED = {
@@ -37,21 +38,46 @@ def remove_tags(c: str | Column) -> Column:
     return F.regexp_replace(as_col(c), TAG, "")
 
 
-def unescape_native(c: str | Column) -> Column:
-    raw = out = as_col(c)
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.when(F.contains(raw, F.lit("&")), out).otherwise(raw)
+def _numbered(body: Column) -> Column:
+    """Value of `#123` or `#x7b`, with or without a semicolon."""
+    digits = F.regexp_extract(body, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    in_hex = body.rlike("^#[xX]")
+    beyond = F.length(digits) > F.when(in_hex, 6).otherwise(7)
+    in_base = [F.conv(F.concat(F.lit("0"), digits), base, 10).cast("int") for base in (16, 10)]
+    number = F.when(beyond, F.lit(0x110000)).when(in_hex, in_base[0]).otherwise(in_base[1])
+    low = F.split(F.lit("\ue000".join(html.unescape(f"&#{n};") for n in range(_PLAIN))), "\ue000", -1)
+
+    def value(n: Column) -> Column:
+        no_char = n.between(0xFDD0, 0xFDEF) | (F.pmod(n, F.lit(0x10000)) >= 0xFFFE)
+        return (
+            F.when(n < _PLAIN, F.get(low, n)).when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), _REPLACED).when(no_char, "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        )
+
+    return let(number, value)
+
+
+def _named(body: Column, token: Column) -> Column:
+    """Value of `amp;`; of `ampere` the longest name that needs no semicolon counts, and the rest stays."""
+    names = html.entities.html5
+    bare = {name: value for name, value in names.items() if not name.endswith(";")}
+    start = F.regexp_extract(body, f"^({word_pattern(bare)})", 1)
+    part = F.when(start != "", F.concat(LiteralMap(bare).get(start), F.substring(body, F.length(start) + 1, F.length(body))))
+    return F.coalesce(LiteralMap(names).get(body), part, token)
+
+
+def _reference(token: Column) -> Column:
+    body = F.substring(token, 2, 40)
+    return F.when(body.startswith("#"), _numbered(token.substr(F.lit(2), F.length(token)))).otherwise(_named(body, token))
 
 
 def unescape_html(c: str | Column) -> Column:
-    """Resolve character references.
+    """Resolve character references, once; what names no character stays."""
+
+    def resolved(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit("&")), replace_matches(text, REFERENCE, _reference)).otherwise(text)
 
-    Only text holding a reference outside `ENTITIES` is handed to the Arrow function; it sees null
-    for every other row.
-    """
-    raw = as_col(c)
-    return F.coalesce(unescape_rest(F.when(raw.rlike(_OTHER_ENTITY), raw)), unescape_native(raw))
+    return let(as_col(c), resolved)
 
 
 def strip_tags(c: str | Column, drop: tuple[str, ...] = ()) -> Column:
@@ -82,9 +108,6 @@ CLEANERS = {
     "intro": lambda text: collapse_space(_title_tail(text)),
 }
 
-_JOIN = "\x01"
-
-
 def unescape_array(arr: str | Column) -> Column:
-    """References resolved in every element, as one string: Arrow functions cannot run in a lambda."""
-    return F.split(unescape_html(F.array_join(arr, _JOIN)), _JOIN)
+    """References resolved in every element."""
+    return F.transform(arr, unescape_html)

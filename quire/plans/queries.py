@@ -613,9 +613,9 @@ def q_store_odd_keys(spark, d):
 
 
 def q_toc_links(spark, d):
-    """Links between a page's title, rewritten to a contents heading, and its next heading."""
-    html = F.regexp_replace("html", r"(?s)<h1[^>]*>(.*?)</h1>", "<h2>$1目錄</h2>")
-    wiki = F.regexp_replace(html, r'<a href="/', '<a href="/wiki/')
+    """Links below a contents heading, which is the page's title set before its list of links."""
+    heading = F.concat(F.lit("<h2>"), F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1), F.lit("目錄</h2><nav>"))
+    wiki = F.replace(F.replace("html", F.lit("<nav>"), heading), F.lit('<a href="/'), F.lit('<a href="/wiki/'))
     found = table(spark, d, "pages").select("page_id", wiki.alias("html"))
     return ex.extract_region_links(found, stop="</nav>")
 

@@ -322,7 +322,7 @@ SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY place) - 1 AS IN
                 CASE WHEN contains(query, '書') AND contains(title, '書') THEN 0 ELSE 1 END AS f
             FROM q, c WHERE contains(lower(trim(title)), lower(trim(query))) OR contains(lower(trim(query)), lower(trim(title))))
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f, title, source, id) AS INT) AS rank, source, id, title FROM m""",
-    "toc_links": f"""WITH {LINKS.format(html="regexp_extract(html, '(?s)<h1[^>]*>.*?</h1>(.*?)(?:</nav>|$)', 1)")},
+    "toc_links": f"""WITH {LINKS.format(html="regexp_extract(html, '(?s)<nav>(.*?)(?:</nav>|$)', 1)")},
 k AS (SELECT page_id, replace(url_decode(target), '_', ' ') AS title, {one_line(unescape(tagless('raw')))} AS label, i FROM u WHERE target <> ''),
 f AS (SELECT page_id, title, min(i) AS i FROM k WHERE label <> '' AND NOT starts_with(label, '#') GROUP BY 1, 2)
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS link_idx, title FROM f""",

@@ -21,4 +21,5 @@ def test_query(spark, duck, sf_dir, name):
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
     want = Counter(tuple(r[names.index(c)] for c in cols) for r in cur.fetchall())
+    assert got, "a query without rows compares nothing"
     assert got == want

@@ -92,20 +92,20 @@ def test_strip_dup_heading(spark):
 
 
 def test_paragraphs(spark):
-    c = chapters(spark, (1, 0, "Chapter One", "Chapter One\n\nThe first line.\nSecond para, still same para.\nline 3.\n\nThird para.\n"))
+    c = chapters(spark, (1, 0, "Low Tide", "Low Tide\n\nBoats lay dry.\nGulls walked between them; nobody hurried.\nA bell rang.\n\nThen the water came.\n"))
     got = rows(segment.paragraphs(c).orderBy("para_idx"), "para")
-    assert got == [("The first line.",), ("Second para, still same para.",), ("line 3.",), ("Third para.",)]
+    assert got == [("Boats lay dry.",), ("Gulls walked between them; nobody hurried.",), ("A bell rang.",), ("Then the water came.",)]
     c = chapters(spark, (1, 0, "題", "《題》\n一段\n　續行\n\n\n二段"))
     assert rows(segment.paragraphs(c).orderBy("para_idx"), "para") == [("一段\n　續行",), ("二段",)]
 
 
 def test_boilerplate(spark):
     text = "Header\r\n*** START OF THE PROJECT GUTENBERG EBOOK ALICE ***\r\n\r\nBody one.\r\n*** start of day\r\n*** END OF THIS PROJECT GUTENBERG EBOOK ALICE ***\r\nlicense"
-    cases = [text, "plain text without markers\n", "x\n*** START OF THE PROJECT GUTENBERG EBOOK A ***\nno end", "*** START OF THE PROJECT GUTENBERG EBOOK A ***\n*** END OF THE PROJECT GUTENBERG EBOOK"]
+    cases = [text, "a page that says nothing of rights\n", "x\n*** START OF THE PROJECT GUTENBERG EBOOK A ***\nno end", "*** START OF THE PROJECT GUTENBERG EBOOK A ***\n*** END OF THE PROJECT GUTENBERG EBOOK"]
     got = rows(segment.strip_boilerplate(books(spark, *cases)).orderBy("id"), "content", "reason")
     assert got == [
         ("Body one.\n*** start of day", None),
-        ("plain text without markers", None),
+        ("a page that says nothing of rights", None),
         ("no end", None),
         ("", "no text after strip"),
     ]
@@ -185,18 +185,18 @@ def test_load_checks_the_size(spark):
 def test_script_vote_and_conversion(spark):
     cs = chapters(
         spark,
-        (1, 0, "後", "後漢書曰：此見仁見智。"), (1, 1, "漢", "漢"),
-        (2, 0, "乾", "乾，元亨利贞。后汉书为阳谓渊净。"),
-        (3, 0, "x", " "), (3, 1, "y", ""), (3, 2, "z", "後漢書"),
+        (1, 0, "後", "漢水之陽，淨淵見月。"), (1, 1, "漢", "漢"),
+        (2, 0, "乾", "阳春为书，谓后净渊。"),
+        (3, 0, "x", " "), (3, 1, "y", ""), (3, 2, "z", "漢書"),
     )
     table = ScriptTable(**TABLE)
     base = script.detect_script(cs, table, ["id"])
     assert rows(base.orderBy("id"), "id", "base") == [(1, "trad"), (2, "simp"), (3, None)]
     away = rows(script.convert_away(cs, base, table, ["id"]).orderBy("id", "chapter_idx"), "title", "text")
-    assert away[0] == ("后", "后汉书曰：此见仁见智。")
-    assert "後漢書爲陽謂淵淨" in away[2][1]
+    assert away[0] == ("后", "汉水之阳，净渊见月。")
+    assert away[2][1] == "陽春爲書，謂後淨淵。"
     rendered = render.render_txt(cs.filter("id = 1"), ["id"], convert=table).first()["content"]
-    assert rendered == "=== 后 ===\n后汉书曰：此见仁见智。\n\n=== 汉 ===\n汉\n"
+    assert rendered == "=== 后 ===\n汉水之阳，净渊见月。\n\n=== 汉 ===\n汉\n"
 
 
 def test_members(spark):
