@@ -5,22 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.functions.text import progress_key, store_key
+from quire.operators import snapshots
+from quire.operators.snapshots import KEYS, SCHEMA_VERSION
 
-KEYS = ["source", "id"]
-#: 2: folders are hash buckets and batches; version 1 had a folder per source.
-SCHEMA_VERSION = 2
-#: Hash buckets of the keys. Part of a store's layout: the folders do not grow with sources or keys.
-BUCKETS = 64
-
-
-def bucket(source: str | Column = "source", id_: str | Column = "id") -> Column:
-    """Bucket of a key; null and empty are different keys and may share a bucket."""
-    return F.pmod(F.xxhash64(source, id_), F.lit(BUCKETS)).cast("int")
+#: Columns of a part that are no columns of the store.
+_OWN = ("part", "row", "tie")
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -35,7 +29,6 @@ def _as_store(books: DataFrame, batch_id: int, saved_ts: Column | None, deleted:
         "saved_ts": F.current_timestamp() if saved_ts is None else saved_ts,
         "deleted": deleted,
         "batch_id": F.lit(batch_id),
-        "bucket": bucket(),
     }
     out = []
     for field in (f.strip().split(" ", 1) for f in _fields(schemas.STORE)):
@@ -59,59 +52,60 @@ def _fields(schema: str) -> list[str]:
 def store_upsert(
     books: DataFrame, path: str, batch_id: int, saved_ts: Column | None = None, deleted: bool | Column = False
 ) -> None:
-    """Write the versions of one batch, one call per batch. A retried batch replaces its own files and no other.
+    """Write the versions of one batch, one call per batch; readers see all of it or nothing.
 
-    `deleted` may be a column, so books and tombstones go into one batch. Of rows with one key the latest
-    stays, a tombstone before a book of the same time, then the larger hash of the row, so retries agree.
-    Rows meet in their bucket, which is also their folder: texts are shuffled once.
+    A retried batch takes the place of its first attempt, unless a compaction has taken that up: then it is done.
+    `deleted` may be a column, so books and tombstones go into one batch. Of rows with one key the latest counts, a
+    tombstone before a book of the same time, then the larger hash of the row, so retries agree. Texts are not
+    shuffled: a batch is written by the tasks that have it.
     """
+    spark = books.sparkSession
+    if any(batch_id in p["batches"] and len(p["batches"]) > 1 for p in snapshots.live_parts(spark, path)):
+        return
     flag = deleted if isinstance(deleted, Column) else F.lit(deleted)
-    rows = _as_store(books, batch_id, saved_ts, flag).repartition("bucket")
-    order = [F.col("saved_ts").desc(), F.col("deleted").desc(), F.xxhash64(*[c for c in rows.columns if c != "saved_ts"]).desc()]
-    one = F.row_number().over(Window.partitionBy("bucket", *KEYS).orderBy(*order))
-    (
-        rows.withColumn("_nth", one)
-        .filter("_nth = 1")
-        .drop("_nth")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket", "batch_id")
-        .parquet(path)
-    )
+    part = snapshots.write_part(_as_store(books, batch_id, saved_ts, flag), path, [batch_id])
+    snapshots.commit(spark, path, lambda parts: [p for p in parts if p["batches"] != [batch_id]] + [part])
 
 
 def store_versions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.STORE).parquet(path).filter(F.col("schema_version") == SCHEMA_VERSION)
+    """Every version that counts in its batch, tombstones among them."""
+    return snapshots.read_rows(spark, path, snapshots.live_parts(spark, path)).drop(*_OWN)
 
 
-def latest_versions(versions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Current version per key. Winners are found on narrow columns; texts are shuffled once at most.
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of every book. A batch holds one row per key; null keys are keys like any other."""
+    return snapshots.read_current(spark, path).drop(*_OWN)
 
-    A batch holds one row per key, so time and batch name one version. Null keys are keys like any other.
-    """
-    winners = (
-        versions.groupBy(*keys)
-        .agg(F.max(F.struct("saved_ts", "batch_id", "deleted")).alias("_v"))
-        .filter(~F.col("_v.deleted"))
-        .select(*keys, "_v.saved_ts", "_v.batch_id")
-    )
-    live = versions.filter(~F.col("deleted"))
-    return live.join(winners, _same(live, winners, [*keys, "saved_ts", "batch_id"]), "left_semi")
 
+def known_keys(spark: SparkSession, path: str, asked: DataFrame, before: int) -> DataFrame:
+    """Keys (source, id) among the asked ones that batches before this one have stored; reads index files only."""
+    parts = [p for p in snapshots.live_parts(spark, path) if min(p["batches"]) < before]
+    index = snapshots.read_index(spark, path, parts, asked).filter(F.col("batch_id") < before)
+    return snapshots.winners(index).filter("NOT deleted").select(*KEYS)
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return latest_versions(store_versions(spark, path))
+
+def compact_store(spark: SparkSession, path: str) -> None:
+    """Put the current versions into one part; what is committed meanwhile stays beside it.
+
+    Readers of an older version go on until `snapshots.remove_superseded` takes its files away.
+    """
+    taken = snapshots.live_parts(spark, path)
+    if not taken:
+        return
+    batches = sorted({b for p in taken for b in p["batches"]})
+    # a batch number of its own marks the part as compacted even if it holds one batch
+    part = snapshots.write_part(read_store(spark, path).hint("rebalance"), path, [-1, *[b for b in batches if b != -1]])
+    names = {p["part"] for p in taken}
+    snapshots.commit(spark, path, lambda parts: [p for p in parts if p["part"] not in names] + [part])
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Current versions to a new folder; the one being read is left alone."""
-    (
-        read_store(spark, path)
-        .hint("rebalance", "bucket")
-        .write.mode("errorifexists")
-        .partitionBy("bucket", "batch_id")
-        .parquet(target)
-    )
+    if snapshots.live_parts(spark, target):
+        raise ValueError(f"{target} is a store already")
+    batches = sorted({-1, *(b for p in snapshots.live_parts(spark, path) for b in p["batches"])})
+    part = snapshots.write_part(read_store(spark, path).hint("rebalance"), target, batches)
+    snapshots.commit(spark, target, lambda parts: [*parts, part])
 
 
 def split_cached(requests: DataFrame, stored: DataFrame, force: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -25,7 +25,7 @@ from quire.operators import bilingual as bi
 from quire.operators import catalog as cat
 from quire.operators import extract as ex
 from quire.operators import library as lib
-from quire.operators import logs, render, script, segment, store
+from quire.operators import logs, render, script, segment, snapshots, store
 from quire.operators.ordering import first_per_key
 from quire.session import checkpoint_dir, cut_lineage
 from quire.sources import readers
@@ -597,6 +597,21 @@ def q_store_upsert(spark, d):
     return store.read_store(spark, path).select("source", "id", "store_key", "chars", F.md5("content").alias("digest"), "batch_id")
 
 
+def q_store_compacted(spark, d):
+    """The same three batches, compacted after the second; superseded files are removed before reading."""
+    path = f"{checkpoint_dir(spark)}/quire-store-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
+    labels = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), "toxic")
+    store.store_upsert(docs, path, 0, F.timestamp_micros(F.lit(0)))
+    again = docs.join(labels, "id", "left_semi").withColumn("content", F.concat("content", F.lit("?")))
+    store.store_upsert(again, path, 1, F.timestamp_micros(F.lit(1)))
+    store.compact_store(spark, path)
+    toxic = docs.join(labels.filter("toxic = 1"), "id", "left_semi").select("source", "id")
+    store.store_upsert(toxic, path, 2, F.timestamp_micros(F.lit(2)), True)
+    snapshots.remove_superseded(spark, path, versions=1, older_than_hours=0)
+    return store.read_store(spark, path).select("source", "id", F.md5("content").alias("digest"), "batch_id")
+
+
 def q_store_odd_keys(spark, d):
     """Books of null and empty sources, every labelled one twice in its batch, and one batch with tombstones."""
     path = f"{checkpoint_dir(spark)}/quire-store-{uuid.uuid4().hex}"
@@ -864,6 +879,21 @@ def q_ingest_stream(spark, d):
     return store.read_store(spark, f"{base}/store").select("source", F.col("id").cast("bigint").alias("id"), "title", "content")
 
 
+def q_ingest_batches(spark, d):
+    """Pages come in three batches, known ones among them: each is stored by the first batch that has it."""
+    from quire.streaming.ingest import ingest_stream
+
+    base = f"{checkpoint_dir(spark)}/quire-ingest-{uuid.uuid4().hex}"
+    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    third = F.col("page_id") % 3
+    for coming in (third == 0, third <= 1, F.lit(True)):
+        pages.filter(coming).write.mode("append").parquet(f"{base}/pages")
+        stream = spark.readStream.schema(pages.schema).parquet(f"{base}/pages")
+        ingest_stream(stream, f"{base}/store", f"{base}/checkpoint", ARTICLE).awaitTermination()
+    stored = store.read_store(spark, f"{base}/store")
+    return stored.select("source", F.col("id").cast("bigint").alias("id"), "batch_id", F.md5("content").alias("digest"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -390,4 +390,9 @@ q AS (SELECT conv_id, turn, role, direction, unnest(ps) AS para, generate_subscr
 SELECT CAST(conv_id AS VARCHAR) AS rel, turn AS chapter_idx, direction, role <> 'assistant' AS translated, CAST(i - 1 AS INT) AS para_idx,
   CASE WHEN role <> 'assistant' THEN para || chr(10) || '* ' || para ELSE para END AS block FROM q""",
     "ingest_stream": f"WITH {MAIN_TEXT} SELECT {HOST} AS source, page_id AS id, title, text AS content FROM main WHERE {strip('text')} <> ''",
+    "ingest_batches": f"""WITH {MAIN_TEXT} SELECT {HOST} AS source, page_id AS id, CAST(page_id % 3 AS BIGINT) AS batch_id,
+  md5(text) AS digest FROM main WHERE {strip('text')} <> ''""",
+    "store_compacted": """SELECT source, CAST(d.doc_id AS VARCHAR) AS id, md5(CASE WHEN l.doc_id IS NULL THEN text ELSE text || '?' END) AS digest,
+  CAST(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS batch_id
+FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id WHERE coalesce(l.toxic, 0) <> 1""",
 }

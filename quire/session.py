@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # so many asked keys of the store reach the files' statistics and bloom filters one by one
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     # whole books travel to the Arrow fallbacks, so a batch holds few of them
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }

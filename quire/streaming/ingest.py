@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,26 +14,13 @@ from quire.operators.library import latest_progress
 from quire.operators.render import book_stats
 
 
-def _known_keys(spark: SparkSession, path: str, before: int, buckets: list[int]) -> DataFrame:
-    """Keys of these buckets stored by earlier batches; a retried batch does not see its own files."""
-    try:
-        versions = store.store_versions(spark, path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "source string, id string")  # no store yet
-    # other folders are not listed as input, and only the columns that decide are read
-    versions = versions.filter(F.col("bucket").isin(buckets) & (F.col("batch_id") < before))
-    return store.latest_versions(versions.select("source", "id", "saved_ts", "batch_id", "deleted")).select("source", "id")
-
-
 def ingest_stream(
     pages: DataFrame, store_path: str, checkpoint: str, container: str, first_batch: int = 0
 ) -> StreamingQuery:
     """Pages not stored yet go to the content store as books; restarting goes on where it stopped.
 
-    pages (page_id, url, html). Known pages are left out before their text is extracted; a page that comes
-    twice in a batch is stored once. `first_batch` keeps batch numbers unique when a store outlives a
+    pages (page_id, url, html). Known pages are left out before their text is extracted; they are found in those
+    buckets of the key index that the batch's keys fall into. A page that comes twice in a batch is stored once. `first_batch` keeps batch numbers unique when a store outlives a
     checkpoint folder.
     """
 
@@ -43,8 +29,7 @@ def ingest_stream(
         asked = batch.select(
             url_host("url").alias("source"), F.col("page_id").cast("string").alias("id"), "url", "html"
         )
-        buckets = [r[0] for r in asked.select(store.bucket()).distinct().collect()]  # at most store.BUCKETS
-        fresh = store.pending(asked, _known_keys(batch.sparkSession, store_path, number, buckets))
+        fresh = store.pending(asked, store.known_keys(batch.sparkSession, store_path, asked.select("source", "id"), number))
         text = drop_shells(extract_main_text(fresh, container))
         books = book_stats(text.withColumnRenamed("text", "content")).withColumn("format", F.lit("txt"))
         store.store_upsert(books, store_path, number)

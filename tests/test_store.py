@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -5,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from quire.operators import bilingual as bi
-from quire.operators import library, store
+from quire.operators import library, snapshots, store
 from quire.operators.segment import paragraphs
 from quire.plans.registry import extract, register_extractor
 
@@ -32,10 +33,9 @@ def test_versions_retries_tombstones_and_compaction(spark, tmp_path):
     store.compact(spark, path, str(tmp_path / "compact"))
     assert rows(store.read_store(spark, str(tmp_path / "compact")).orderBy("source", "id"), "source", "id", "content") == want
     assert store.store_versions(spark, str(tmp_path / "compact")).count() == 2
-    # another schema version is a miss
-    store.store_versions(spark, path).limit(1).withColumn("schema_version", F.lit(9)).withColumn("id", F.lit("9")).write.partitionBy(
-        "bucket", "batch_id"
-    ).mode("append").parquet(path)
+    # a part of another schema is a miss
+    other = {"part": "gone", "schema": 9, "batches": [7], "bits": 0, "rows": 1, "keys": 1, "dead": 0}
+    snapshots.commit(spark, path, lambda parts: [*parts, other])
     assert rows(store.read_store(spark, path).orderBy("source", "id"), "source", "id", "content") == want
 
 
@@ -55,9 +55,80 @@ def test_null_and_empty_keys_and_repeated_ones(spark, tmp_path):
     asked = books(spark, ("", "1", ""), (None, "1", ""), ("h", None, ""))
     assert rows(store.pending(asked, have), "source", "id") == [(None, "1")]
     assert sorted(rows(store.split_cached(asked, have), "cached")) == [(False,), (True,), (True,)]
-    many = spark.range(500).select(F.concat(F.lit("host"), F.col("id").cast("string")).alias("source"), F.lit("1").alias("id"), F.lit("x").alias("content"))
-    store.store_upsert(many, path, 2, at(2))
-    assert len(list((tmp_path / "store").glob("bucket=*"))) <= store.BUCKETS
+
+
+def keyed(spark, start, end, text="x"):
+    return spark.range(start, end).select(
+        F.concat(F.lit("host"), F.col("id") % 3).alias("source"), F.col("id").cast("string").alias("id"), F.lit(text).alias("content")
+    )
+
+
+def test_readers_see_whole_batches(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert store.read_store(spark, path).count() == 0 and snapshots.snapshot(spark, path)["version"] == 0
+    store.store_upsert(keyed(spark, 0, 10), path, 0, at(0))
+    before = store.read_store(spark, path)
+    # a batch that fails while it is written is never seen, and its files go
+    broken = keyed(spark, 0, 10).withColumn("content", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        store.store_upsert(broken, path, 1, at(1))
+    assert store.read_store(spark, path).count() == 10 and snapshots.snapshot(spark, path)["version"] == 1
+    store.store_upsert(keyed(spark, 5, 15, "new"), path, 1, at(1))
+    store.compact_store(spark, path)
+    assert snapshots.snapshot(spark, path)["version"] == 3 and len(snapshots.live_parts(spark, path)) == 1
+    assert before.filter("content = 'x'").count() == 10  # the older version can still be read
+    assert store.read_store(spark, path).groupBy("content").count().collect() and store.read_store(spark, path).count() == 15
+    assert len(snapshots.remove_superseded(spark, path, versions=1)) == 0  # too young
+    gone = snapshots.remove_superseded(spark, path, versions=1, older_than_hours=0)
+    assert len(gone) == 3 and len(list((tmp_path / "store" / "data").iterdir())) == 1
+    assert sorted(rows(store.read_store(spark, path).groupBy("content").count())) == [("new", 10), ("x", 5)]
+    store.store_upsert(keyed(spark, 0, 3, "retried"), path, 1, at(9))  # taken up by the compaction
+    assert store.read_store(spark, path).filter("content = 'retried'").count() == 0
+
+
+def test_a_second_writer_starts_from_the_first_ones_version(spark, tmp_path):
+    path, calls = str(tmp_path / "store"), []
+
+    def change(parts):
+        if not calls:
+            calls.append(snapshots.commit(spark, path, lambda p: [*p, {"part": "other"}]))
+        return [*parts, {"part": "own"}]
+
+    assert snapshots.commit(spark, path, change) == 2
+    assert [p["part"] for p in snapshots.snapshot(spark, path)["parts"]] == ["other", "own"]
+
+
+@pytest.mark.parametrize("probes", [0, 1000])
+def test_keys_are_found_in_their_buckets_of_the_index(spark, tmp_path, monkeypatch, probes):
+    monkeypatch.setattr(snapshots, "BUCKET_KEYS", 16)
+    monkeypatch.setattr(snapshots, "PROBES", probes)
+    path = str(tmp_path / "store")
+    store.store_upsert(keyed(spark, 0, 200).repartition(3), path, 0, at(0))
+    store.store_upsert(keyed(spark, 150, 160), path, 1, at(1), deleted=True)
+    store.store_upsert(books(spark, (None, "1", "n"), ("", "1", "e")), path, 2, at(2))
+    bits = {p["batches"][0]: p["bits"] for p in snapshots.live_parts(spark, path)}
+    assert bits == {0: 4, 1: 0, 2: 0}
+    data = list((tmp_path / "store" / "data").glob("part=0-*/*.parquet"))
+    assert len(data) == 3  # rows stay in the tasks that have them
+    asked = keyed(spark, 148, 152).select("source", "id").union(books(spark, (None, "1", ""), ("x", "1", "")).select("source", "id"))
+    found = store.known_keys(spark, path, asked, 3)
+    assert set(rows(found.join(asked, ["source", "id"], "left_semi"))) == {("host1", "148"), ("host2", "149")}
+    assert rows(store.pending(asked.filter("id = '1'"), found)) == [("x", "1")]
+    assert all("/keys/" in f for f in found.inputFiles())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ IN", plan) and ("In(h, [" in plan) == bool(probes)
+    assert store.known_keys(spark, path, asked, 0).count() == 0
+    assert store.read_store(spark, path).count() == 192
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_empty_batches(spark, tmp_path, n):
+    path = str(tmp_path / "store")
+    store.store_upsert(keyed(spark, 0, n), path, 0, at(0))
+    store.store_upsert(keyed(spark, 0, 0), path, 1, at(1))
+    store.compact_store(spark, path)
+    assert store.read_store(spark, path).count() == store.store_versions(spark, path).count() == n
+    assert store.known_keys(spark, path, keyed(spark, 0, 2).select("source", "id"), 5).count() == n
 
 
 def test_cached_and_pending(spark):

@@ -69,6 +69,7 @@ def test_ingest_keeps_pages_without_a_host(spark, tmp_path):
 
 
 def test_only_a_missing_store_counts_as_empty(spark, tmp_path):
-    assert ingest._known_keys(spark, str(tmp_path / "none"), 1, [0]).count() == 0
+    asked = spark.createDataFrame([("s", "1")], "source string, id string")
+    assert store.known_keys(spark, str(tmp_path / "none"), asked, 1).count() == 0
     with pytest.raises(Exception):
-        ingest._known_keys(spark, "nosuchscheme://x/y", 1, [0])
+        store.known_keys(spark, "nosuchscheme://x/y", asked, 1)
