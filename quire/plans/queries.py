@@ -232,19 +232,32 @@ def q_section_names(spark, d):
 
 
 def q_render_converted(spark, d):
-    return render.render_txt(_chapters(spark, d), ["id"], convert=ScriptTable(**LATIN_SCRIPT))
+    return render.render_txt(_chapters(spark, d), ["id"], convert=ScriptTable(**LATIN_SCRIPT)).drop("first_chapter")
 
 
 def q_rendered_roundtrip(spark, d):
     chapters = _chapters(spark, d)
-    rendered = render.render_txt(chapters, ["id"]).select("id", "part", F.col("id").cast("string").alias("title"), "content")
+    rendered = render.render_txt(chapters, ["id"]).select("id", "first_chapter", F.col("id").cast("string").alias("title"), "content")
     back = segment.ensure_chapters(rendered, rendered=True)
-    idx = (F.col("part") * render.PART + F.col("chapter_idx")).cast("int")
+    idx = (F.col("first_chapter") - 1 + F.col("chapter_idx")).cast("int")
     return back.select("id", idx.alias("chapter_idx"), "title", strip_text("text").alias("text"))
 
 
 def q_render_txt(spark, d):
-    return render.render_txt(_chapters(spark, d), ["id"])
+    return render.render_txt(_chapters(spark, d), ["id"]).drop("first_chapter")
+
+
+def q_txt_files(spark, d):
+    """All books written to files and read back; a hundred books share a title, so their names are numbered."""
+    chapters = _chapters(spark, d)
+    name = F.concat(F.lit("b"), (F.col("id") % 7).cast("string"), F.lit(".txt"))
+    names = chapters.select(F.lit("s").alias("source"), "id").distinct().withColumn("name", name)
+    names = cat.dedup_names(names, spark.createDataFrame([], "name string")).select(F.col("id").cast("bigint").alias("id"), "file_name")
+    path = f"{checkpoint_dir(spark)}/quire-books-{uuid.uuid4().hex}"
+    render.write_txt(render.render_txt(chapters, ["id"], part_bytes=2048).join(names, "id"), path)
+    files = readers.read_text_books(spark, path)
+    file_name = F.concat("title", F.lit(".txt"))
+    return files.select(file_name.alias("file_name"), F.length("content").alias("chars"), F.md5("content").alias("digest"))
 
 
 def q_merge_chapters(spark, d):
@@ -327,16 +340,9 @@ def q_convert_away(spark, d):
 
 
 def q_lean_books(spark, d):
-    """Books with their chapters as a nested column, as the store holds them."""
-    books = _chapters(spark, d).groupBy("id", F.floor(F.col("chapter_idx") / render.PART).alias("part")).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("chapter_idx", "title", "text"))),
-            lambda c: F.struct(c["title"].alias("title"), c["text"].alias("text")),
-        ).alias("chapters"),
-        F.sum(F.length("text").cast("bigint")).alias("chars"),
-    )
-    out = render.lean(books)
-    return out.select("id", "part", "chars", F.size("chapters").alias("n_chapters"), F.array_join("chapters", "|").alias("titles"))
+    """Titles and measures of books, without their texts."""
+    out = render.lean_chapters(_chapters(spark, d), ["id"])
+    return out.select("id", "part", "chars", "n_chapters", F.array_join("chapters", "|").alias("titles"))
 
 
 # ---- catalogue ----------------------------------------------------------

@@ -395,4 +395,8 @@ SELECT CAST(conv_id AS VARCHAR) AS rel, turn AS chapter_idx, direction, role <>
     "store_compacted": """SELECT source, CAST(d.doc_id AS VARCHAR) AS id, md5(CASE WHEN l.doc_id IS NULL THEN text ELSE text || '?' END) AS digest,
   CAST(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS batch_id
 FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id WHERE coalesce(l.toxic, 0) <> 1""",
+    "txt_files": """WITH b AS (SELECT conv_id AS id, CASE WHEN count(*) = 1 THEN min(text)
+    ELSE string_agg('=== ' || role || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) || chr(10) END AS content FROM conversations GROUP BY conv_id),
+  n AS (SELECT *, row_number() OVER (PARTITION BY id % 7 ORDER BY sha1('s|' || id)) - 1 AS k FROM b)
+SELECT 'b' || (id % 7) || CASE WHEN k > 0 THEN '(' || k || ')' ELSE '' END || '.txt' AS file_name, CAST(length(content) AS INT) AS chars, md5(content) AS digest FROM n""",
 }

@@ -3,7 +3,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from quire.functions.script import ScriptTable
-from quire.operators import render, script, segment
+from quire.operators import ordering, render, script, segment
 from quire.sources import readers
 
 
@@ -54,17 +54,20 @@ def chapters(spark, *cs):
     return spark.createDataFrame([(b, i, t, x) for b, i, t, x in cs], "id int, chapter_idx int, title string, text string")
 
 
-@pytest.mark.parametrize("part", [1, 2, 4096])
-def test_render_parts_join_to_the_same_text(spark, part):
+@pytest.mark.parametrize("part_bytes", [1, 45, 60, 1 << 20])
+def test_render_parts_join_to_the_same_text(spark, part_bytes, monkeypatch):
+    monkeypatch.setattr(ordering.number_chunk, "__defaults__", (3,))  # the book lies in two chunks
     cs = [(1, i, f"c{i}" if i != 1 else "", f"text {i}") for i in range(5)] + [(2, 0, "only", "as it is\n")]
-    out = render.render_txt(chapters(spark, *cs), ["id"], part=part).orderBy("id", "part").collect()
+    out = render.render_txt(chapters(spark, *cs), ["id"], part_bytes=part_bytes).orderBy("id", "part").collect()
+    assert [r["first_chapter"] for r in out if r["id"] == 1][0] == 1 and len({(r["id"], r["part"]) for r in out}) == len(out)
+    assert all(len(r["content"].encode()) <= part_bytes or r["content"].count("===") <= 2 for r in out)
     book = "".join(r["content"] for r in out if r["id"] == 1)
     want = "\n\n".join(f"=== {t or f'第{i + 1}部分'} ===\n{x}" for _, i, t, x in cs[:5]) + "\n"
     assert book == want
     assert [r["content"] for r in out if r["id"] == 2] == ["as it is\n"]
-    merged = render.merge_chapters(chapters(spark, *cs[:5]), ["id"], "\n\n", part=part).orderBy("part").collect()
+    merged = render.merge_chapters(chapters(spark, *cs[:5]), ["id"], "\n\n", part_bytes=part_bytes).orderBy("part").collect()
     assert "".join(r["content"] for r in merged) == "\n\n".join(x for *_, x in cs[:5])
-    closed = render.merge_chapters(chapters(spark, *cs[:5]), ["id"], "\n", True, part=part).orderBy("part").collect()
+    closed = render.merge_chapters(chapters(spark, *cs[:5]), ["id"], "\n", True, part_bytes=part_bytes).orderBy("part").collect()
     assert "".join(r["content"] for r in closed) == "\n".join(x for *_, x in cs[:5]) + "\n"
 
 
@@ -77,8 +80,31 @@ def test_render_single_chapter_uses_the_content(spark):
 def test_write_txt(spark, tmp_path):
     out = render.render_txt(chapters(spark, (1, 0, "a", "x"), (1, 1, "b", "y")), ["id"]).withColumn("file_name", F.lit("book.txt"))
     render.write_txt(out, str(tmp_path / "out"))
-    files = list((tmp_path / "out").rglob("part-*.txt"))
-    assert len(files) == 1 and files[0].read_text() == "=== a ===\nx\n\n=== b ===\ny\n"
+    names = lambda: sorted(f.name for f in (tmp_path / "out").rglob("*") if f.is_file())
+    assert names() == ["book.txt"] and (tmp_path / "out" / "book.txt").read_text() == "=== a ===\nx\n\n=== b ===\ny\n"
+    more = chapters(spark, *[(i, 0, "t", f"é {i}") for i in range(20)], *[(99, i, "t", "x" * 50) for i in range(30)])
+    out = render.render_txt(more, ["id"], part_bytes=200).withColumn("file_name", F.concat(F.col("id").cast("string"), F.lit(".txt")))
+    assert out.filter("id = 99").count() > 5
+    render.write_txt(out, str(tmp_path / "out"))
+    assert len(names()) == 22 and (tmp_path / "out" / "7.txt").read_text() == "é 7"
+    assert (tmp_path / "out" / "99.txt").read_text() == "\n\n".join(["=== t ===\n" + "x" * 50] * 30) + "\n"
+    # one task that fails: no file of the table appears
+    broken = out.withColumn("file_name", F.when(F.col("id") == 3, "a/b").otherwise(F.concat(F.lit("new"), F.col("file_name"))))
+    with pytest.raises(Exception, match="no file name"):
+        render.write_txt(broken, str(tmp_path / "out"))
+    assert len(names()) == 22
+
+
+def test_rendering_shuffles_texts_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = render.render_txt(chapters(spark, (1, 0, "a", "x"), (1, 1, "b", "y")), ["id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in plan.split("\n") if "Exchange" in line]
+    below = [plan.split("\n")[i + 1 :] for i, line in enumerate(plan.split("\n")) if "Exchange" in line]
+    assert len(exchanges) == 4  # the texts, and three of narrow rows
+    assert sum("text#" in "".join(lines[:2]) for lines in below) == 1
 
 
 def test_strip_dup_heading(spark):
