@@ -547,17 +547,27 @@ def q_wiki_json(spark, d):
 
 
 def q_book_members(spark, d):
-    """Chapters packed as XHTML members; the spine turns the order round for books of more than two."""
+    """Chapters packed as XHTML members with a package file; its spine turns the order of the assistant's replies round."""
     conv = table(spark, d, "conversations")
     href = F.concat(F.lit("c"), F.col("turn").cast("string"), F.lit(".xhtml"))
     members = conv.select(
         F.col("conv_id").alias("book"), F.concat(F.lit("OEBPS/"), href).alias("path"), F.col("turn").alias("pos"),
         F.concat(F.lit("<html><body><h1>"), "role", F.lit("</h1>\n\n\n\n<p>"), "text", F.lit("</p></body></html>")).alias("content"),
     )
-    spine = conv.filter("role = 'assistant'").select(
-        F.col("conv_id").alias("book"), (F.lit(1000) - F.col("turn")).alias("spine_pos"), F.lit("OEBPS").alias("base"), href.alias("href")
+    nth = F.col("turn").cast("string")
+    item = F.when(
+        F.col("turn") % 2 == 0, F.concat(F.lit('<item id="i'), nth, F.lit('" media-type="x" href="'), href, F.lit('"/>'))
+    ).otherwise(F.concat(F.lit('<opf:item href="'), href, F.lit("\"\n id=\"i"), nth, F.lit('"/>')))
+    ref = F.when(F.col("role") == "assistant", F.concat(F.lit('<itemref idref="i'), nth, F.lit('"/>'))).otherwise("")
+    package = conv.groupBy(F.col("conv_id").alias("book")).agg(
+        F.sort_array(F.collect_list(F.struct(-F.col("turn"), item.alias("item"), ref.alias("ref")))).alias("e")
     )
-    return readers.members_to_chapters(members, spine)
+    text = F.concat(
+        F.lit('<package xmlns="http://www.idpf.org/2007/opf"><manifest>'), F.array_join("e.item", "\n"), F.lit("</manifest><spine>"),
+        F.array_join("e.ref", ""), F.lit("</spine></package>"),
+    )
+    package = package.select("book", F.lit("OEBPS/content.opf").alias("path"), F.lit(-1).cast(members.schema["pos"].dataType).alias("pos"), text.alias("content"))
+    return readers.members_to_chapters(members.unionByName(package))
 
 
 def q_file_paths(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire import schemas
 from quire.functions.fallback import decode_legacy
 from quire.functions.html import remove_tags, strip_tags
+from quire.functions.rows import explode_rows
 from quire.functions.text import as_col, encode_title, file_title, folder, size_mb, strip, strip_text
 from quire.operators.catalog import UNDECLARED_LICENSE
 from quire.operators.ordering import number_chunk, number_within
@@ -113,34 +114,63 @@ def parse_record_json(df: DataFrame, column: str, mirror: str, source: str = "li
     )
 
 
+def _attribute(element: Column, name: str) -> Column:
+    """Value of an attribute of a start tag, wherever it stands in it; empty without one."""
+    return F.regexp_extract(element, rf"(?s)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+
+
+def _elements(xml: Column, name: str) -> Column:
+    return F.regexp_extract_all(xml, F.lit(rf"<(?:[\w.-]+:)?{name}\b[^>]*>"), F.lit(0))
+
+
+def package_spine(members: DataFrame) -> DataFrame:
+    """(book, spine_pos, base, href): reading order as the package file of each packed book states it.
+
+    members (book, path, pos, content), the package file among them: the first member called `.opf`. Its manifest
+    names a file for each id, its spine lists ids; an id without a manifest entry counts as a file name. Start tags
+    are cut with patterns, since an XML parser would end the job at the first damaged file.
+    """
+    package = (
+        members.filter(F.col("path").endswith(".opf"))
+        .groupBy("book")
+        .agg(F.min_by(F.struct("path", "content"), "pos").alias("_p"))
+        .select("book", F.regexp_extract("_p.path", r"\A(.*)/[^/]*\z", 1).alias("base"), F.col("_p.content").alias("xml"))
+    )
+    items = explode_rows(package, ["book"], _elements(F.col("xml"), "item"), "_at", "_e").select(
+        "book", "_at", _attribute(F.col("_e"), "id").alias("idref"), _attribute(F.col("_e"), "href").alias("_href")
+    )
+    # of items with one id the last counts
+    manifest = items.filter("idref != '' AND _href != ''").groupBy("book", "idref").agg(F.max_by("_href", "_at").alias("_href"))
+    refs = explode_rows(package, ["book", "base"], _elements(F.col("xml"), "itemref"), "spine_pos", "_e")
+    refs = refs.select("book", "spine_pos", "base", _attribute(F.col("_e"), "idref").alias("idref")).filter("idref != ''")
+    return refs.join(manifest, ["book", "idref"], "left").select("book", "spine_pos", "base", F.coalesce("_href", "idref").alias("href"))
+
+
 def members_to_chapters(members: DataFrame, spine: DataFrame | None = None) -> DataFrame:
     """Unpacked members of packed books to chapters.
 
-    members (book, path, pos, content); spine (book, spine_pos, base, href). The spine gives the order
-    when it names at least one member of the book, else the order of the members stands.
+    members (book, path, pos, content); spine (book, spine_pos, base, href), by default that of the package files
+    among the members. The spine gives the order when it names at least one member of the book, else the order of the
+    members stands. Order is settled on names alone; contents are joined to it once.
     """
     pages = members.filter(F.col("path").rlike(MEMBER_EXT)).select("book", "path", "pos", "content")
-    if spine is None:
-        ordered = pages.withColumn("_at", F.col("pos"))
-    else:
-        full = F.trim(F.concat_ws("/", F.nullif("base", F.lit("")), "href"), F.lit("/"))
-        names = pages.select("book", F.col("path").alias("_path"))
-        # the path below the manifest's folder goes before the bare one
-        tried = spine.select("book", "spine_pos", F.explode(F.array(
-            F.struct(F.lit(0).alias("pref"), full.alias("_path")),
-            F.struct(F.lit(1).alias("pref"), F.col("href").alias("_path")),
-        )).alias("_c")).select("book", "spine_pos", "_c.*")
-        resolved = (
-            tried.join(names, ["book", "_path"])
-            .groupBy("book", "spine_pos")
-            .agg(F.min_by("_path", "pref").alias("path"))
-        )
-        with_spine = resolved.select("book").distinct()
-        ordered = pages.join(resolved, ["book", "path"]).select(
-            "book", "path", "content", F.col("spine_pos").alias("_at")
-        ).unionByName(
-            pages.join(with_spine, "book", "left_anti").select("book", "path", "content", F.col("pos").alias("_at"))
-        )
+    names = pages.select("book", "path", "pos")
+    spine = package_spine(members) if spine is None else spine
+    full = F.trim(F.concat_ws("/", F.nullif("base", F.lit("")), "href"), F.lit("/"))
+    # the path below the manifest's folder goes before the bare one
+    tried = spine.select("book", "spine_pos", F.explode(F.array(
+        F.struct(F.lit(0).alias("pref"), full.alias("path")),
+        F.struct(F.lit(1).alias("pref"), F.col("href").alias("path")),
+    )).alias("_c")).select("book", "spine_pos", "_c.*")
+    resolved = (
+        tried.join(names.select("book", "path"), ["book", "path"])
+        .groupBy("book", "spine_pos")
+        .agg(F.min_by("path", "pref").alias("path"))
+    )
+    led = resolved.select("book", F.lit(True).alias("_led")).distinct()
+    places = names.join(resolved, ["book", "path"], "left").join(led, "book", "left")
+    places = places.withColumn("_at", F.when(F.col("_led"), F.col("spine_pos")).otherwise(F.col("pos")))
+    ordered = pages.drop("pos").join(places.filter("_at IS NOT NULL").select("book", "path", "_at"), ["book", "path"])
     body = F.regexp_extract("content", r"(?s)<body[^>]*>(.*?)</body>", 1)
     has_body = F.col("content").rlike(r"(?s)<body[^>]*>.*?</body>")
     plain = F.replace(remove_tags(F.when(has_body, body).otherwise(F.col("content"))), F.lit("\r"), F.lit(""))

@@ -225,6 +225,26 @@ def test_script_vote_and_conversion(spark):
     assert rendered == "=== 后 ===\n汉水之阳，净渊见月。\n\n=== 汉 ===\n汉\n"
 
 
+def test_package_spine(spark):
+    page = "<html><body><p>{}</p></body></html>"
+    opf = """<package><metadata id="m"/><manifest>
+      <item id="two" href="t/b.xhtml"/><item
+        href="a.xhtml" media-type="x" id="one"/><opf:item id="two" href="b.xhtml"/><item id="css" href="s.css"/></manifest>
+      <spine toc="ncx"><itemref linear="no" idref="two"/><itemref idref="gone"/><itemref idref="c.html"/><itemref idref="one"/></spine></package>"""
+    members = [("p", f"x/{n}", i, page.format(n)) for i, n in enumerate(("a.xhtml", "b.xhtml", "left.xhtml"))]
+    members += [("p", "c.html", 3, page.format("c")), ("p", "x/p.opf", 4, opf), ("p", "later.opf", 5, "<itemref idref='x/a.xhtml'/>")]
+    members += [("root", "p.opf", 0, opf), ("root", "a.xhtml", 1, page.format("A")), ("root", "b.xhtml", 2, page.format("B"))]
+    members += [("bad", "p.opf", 0, "<package <item <itemref"), ("bad", "z.xhtml", 1, page.format("z")), ("bad", "y.xhtml", 2, page.format("y"))]
+    df = spark.createDataFrame(members, "book string, path string, pos int, content string")
+    got = sorted(rows(readers.members_to_chapters(df), "book", "chapter_idx", "text"))
+    assert got == [
+        ("bad", 0, "z"), ("bad", 1, "y"), ("p", 0, "b.xhtml"), ("p", 1, "c"), ("p", 2, "a.xhtml"), ("root", 0, "B"), ("root", 1, "A"),
+    ]
+    assert sorted(rows(readers.package_spine(df).filter("book = 'p'"), "spine_pos", "base", "href")) == [
+        (0, "x", "b.xhtml"), (1, "x", "gone"), (2, "x", "c.html"), (3, "x", "a.xhtml"),
+    ]
+
+
 def test_members(spark):
     page = "<html><body><h1>{t}</h1>\n\n\n\n<p>{x}</p></body></html>"
     members = spark.createDataFrame(
