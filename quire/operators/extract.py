@@ -68,6 +68,39 @@ def extract_cards(
     return raw.select(*keys, "card_idx", *out)
 
 
+RULES = "host string, card string, field string, pattern string, clean string, max_chars int, is_id boolean"
+
+
+def extract_by_rules(pages: DataFrame, rules: DataFrame, html: str = "html", host: str = "host") -> DataFrame:
+    """Repeated cards of pages by the rules of their host: `card_idx`, `id` and a map `fields` of the other fields.
+
+    rules (columns of RULES): a row per host and field; `card` is the host's pattern of a card and stands in each of
+    its rows, `pattern` has the field in its first group, `clean` names one of CLEANERS, null is raw. The patterns are
+    columns, so hosts need no code and no query of their own, and pages of all hosts go through one scan. Pages of
+    hosts without rules are left out, and so are cards without an id. Empty fields stay empty.
+    """
+    keys = [c for c in pages.columns if c != html]
+    said = F.struct("is_id", "field", "pattern", F.coalesce("clean", F.lit("raw")).alias("clean"), "max_chars")
+    by_host = rules.groupBy(F.col("host").alias("_host")).agg(F.max("card").alias("_card"), F.sort_array(F.collect_list(said)).alias("_rules"))
+    known = pages.join(by_host, F.col(host) == F.col("_host"))
+    cards = F.regexp_extract_all(F.col(html), F.col("_card"), F.lit(1))
+    one = explode_rows(known.select(*keys, "_rules", cards.alias("_cards")), [*keys, "_rules"], "_cards", "card_idx", "_text")
+
+    def value(rule: Column) -> Column:
+        raw = remove_tags(F.call_function("regexp_extract", F.col("_text"), rule["pattern"], F.lit(1)))
+        cleaned = raw
+        for name, clean in CLEANERS.items():
+            if name != "raw":
+                cleaned = F.when(rule["clean"] == name, clean(unescape_html(raw))).otherwise(cleaned)
+        return F.when(rule["max_chars"].isNotNull(), F.substring(cleaned, F.lit(1), rule["max_chars"])).otherwise(cleaned)
+
+    found = F.transform("_rules", lambda r: F.struct(r["is_id"].alias("is_id"), r["field"].alias("key"), value(r).alias("value")))
+    values = settle(one.select(*keys, "card_idx", found.alias("_found")), "_found")
+    own = F.get(F.filter("_found", lambda f: f["is_id"]), F.lit(0))["value"]
+    rest = F.transform(F.filter("_found", lambda f: ~F.coalesce(f["is_id"], F.lit(False))), lambda f: F.struct(f["key"], f["value"]))
+    return values.select(*keys, "card_idx", own.alias("id"), F.map_from_entries(rest).alias("fields")).filter("id != ''")
+
+
 def extract_links(
     pages: DataFrame,
     pattern: str,

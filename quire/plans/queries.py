@@ -105,6 +105,21 @@ def q_page_cards(spark, d):
     return ex.extract_cards(_pages(spark, d), r"(?s)<li>(.*?)</li>", fields, "target")
 
 
+def q_cards_by_rules(spark, d):
+    """Three kinds of hosts, each with rules of its own from a table; pages of the fourth kind have none."""
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("h"), (F.col("page_id") % 4).cast("string")).alias("host"), "html")
+    link = r'href="/([^"]*)"'
+    rules = [
+        ("h0", r"(?s)<li>(.*?)</li>", "target", link, None, None, True),
+        ("h0", r"(?s)<li>(.*?)</li>", "label", r"(?s)<a[^>]*>(.*?)</a>", "title", 3, False),
+        ("h1", r"(?s)<h1>(.*?)</h1>", "name", r"(?s)\A(.*)\z", "text", 20, True),
+        ("h2", r"(?s)<a ([^>]*>.*?)</a>", "target", link, "raw", None, True),
+        ("h2", r"(?s)<a ([^>]*>.*?)</a>", "label", r"(?s)>(.*)\z", "text", None, False),
+    ]
+    found = ex.extract_by_rules(pages, spark.createDataFrame(rules, ex.RULES))
+    return found.select("page_id", "host", "card_idx", "id", F.coalesce(F.col("fields")["label"], F.lit("")).alias("label"))
+
+
 def q_nav_region_links(spark, d):
     return ex.extract_region_links(_pages(spark, d), "<nav[^>]*>", "</nav>", NAV_LINK)
 

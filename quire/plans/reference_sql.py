@@ -399,4 +399,12 @@ FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP
     ELSE string_agg('=== ' || role || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) || chr(10) END AS content FROM conversations GROUP BY conv_id),
   n AS (SELECT *, row_number() OVER (PARTITION BY id % 7 ORDER BY sha1('s|' || id)) - 1 AS k FROM b)
 SELECT 'b' || (id % 7) || CASE WHEN k > 0 THEN '(' || k || ')' ELSE '' END || '.txt' AS file_name, CAST(length(content) AS INT) AS chars, md5(content) AS digest FROM n""",
+    "cards_by_rules": rf"""WITH p AS (SELECT page_id, 'h' || (page_id % 4) AS host, html, CASE page_id % 4 WHEN 0 THEN regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)
+    WHEN 1 THEN regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1) WHEN 2 THEN regexp_extract_all(html, '(?s)<a ([^>]*>.*?)</a>', 1) ELSE [] END AS cards FROM pages),
+  c AS (SELECT page_id, host, unnest(cards) AS card, generate_subscripts(cards, 1) AS i FROM p),
+  v AS (SELECT page_id, host, i, CASE WHEN host = 'h1' THEN left({one_line(unescape(tagless('card')))}, 20)
+      ELSE {tagless('''regexp_extract(card, 'href="/([^"]*)"', 1)''')} END AS id,
+    CASE host WHEN 'h0' THEN left({strip(unescape(tagless("regexp_extract(card, '(?s)<a[^>]*>(.*?)</a>', 1)")))}, 3)
+      WHEN 'h1' THEN '' ELSE {one_line(unescape(tagless("regexp_extract(card, '(?s)>(.*)$', 1)")))} END AS label FROM c)
+SELECT page_id, host, CAST(i - 1 AS INT) AS card_idx, id, label FROM v WHERE id <> ''""",
 }

@@ -142,3 +142,24 @@ def test_a_web_page_served_for_a_file(spark):
 def test_blocks_without_text_are_dropped(spark):
     df = spark.createDataFrame([("<div>fern<style>p{a:'<b>'}</style>\n\tmoss</div><!-- ivy -->&hellip;",)], "c string")
     assert df.select(strip_tags("c", ("comment", "script", "style"))).first()[0] == "fern moss…"
+
+
+def test_rules_of_a_table(spark):
+    pages = spark.createDataFrame(
+        [("a", "<li>1|one &amp; <b>two</b></li><li>|none</li><li>22|x</li>"), ("b", "<p>z=7</p><p>y=8 （1/2）</p>"), ("c", "<li>5|no rules</li>"), ("a", None)],
+        "host string, html string",
+    )
+    rules = spark.createDataFrame(
+        [
+            ("a", "<li>(.*?)</li>", "key", r"(\d*)\|", None, None, True), ("a", "<li>(.*?)</li>", "text", r"\|(.*)", "text", 5, False),
+            ("b", "<p>(.*?)</p>", "key", "(.)=", "raw", None, True), ("b", "<p>(.*?)</p>", "n", "=(.*)", "title", None, None),
+            ("unasked", "x", "key", "(x)", None, None, True),
+        ],
+        ex.RULES,
+    )
+    got = ex.extract_by_rules(pages, rules).orderBy("host", "card_idx")
+    assert got.columns == ["host", "card_idx", "id", "fields"]
+    assert rows(got) == [
+        ("a", 0, "1", {"text": "one &"}), ("a", 2, "22", {"text": "x"}), ("b", 0, "z", {"n": "7"}), ("b", 1, "y", {"n": "8"}),
+    ]
+    assert ex.extract_by_rules(pages, rules.limit(0)).count() == 0
