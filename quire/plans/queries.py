@@ -28,6 +28,7 @@ from quire.operators import library as lib
 from quire.operators import logs, render, script, segment, snapshots, store
 from quire.operators.ordering import first_per_key
 from quire.session import checkpoint_dir, cut_lineage
+from quire.plans import flows
 from quire.sources import readers
 
 ARTICLE = r"(?s)<article[^>]*>(.*?)</article>"
@@ -275,6 +276,30 @@ def q_txt_files(spark, d):
     return files.select(file_name.alias("file_name"), F.length("content").alias("chars"), F.md5("content").alias("digest"))
 
 
+def q_library_scan(spark, d):
+    """Books written to a folder, and found there by a scan that opens none of them."""
+    path = f"{checkpoint_dir(spark)}/quire-library-{uuid.uuid4().hex}"
+    kind = F.when(F.col("id") % 3 == 0, ".txt.part").when(F.col("id") % 3 == 1, ".TXT").otherwise(".md")
+    books = render.render_txt(_chapters(spark, d), ["id"]).withColumn("file_name", F.concat(F.lit("b"), F.col("id").cast("string"), kind))
+    render.write_txt(books, path)
+    return readers.scan_library(spark, path).select("rel", "length")
+
+
+def q_get_books(spark, d):
+    """Every second book of a store, asked for by its key; seven titles, so names are numbered."""
+    chapters = F.sort_array(F.collect_list(F.struct("chapter_idx", "title", "text")))
+    stored = _chapters(spark, d).groupBy("id").agg(
+        F.transform(chapters, lambda c: F.struct(c["title"].alias("title"), c["text"].alias("text"))).alias("chapters")
+    )
+    stored = stored.select(
+        F.lit("s").alias("source"), F.col("id").cast("string").alias("id"), F.concat(F.lit("b?"), (F.col("id") % 7).cast("string")).alias("title"),
+        F.lit(None).cast("string").alias("content"), "chapters", F.lit(None).cast("binary").alias("raw"),
+    )
+    requests = stored.filter(F.col("id").cast("bigint") % 2 == 0).select("source", "id")
+    books = flows.get_books(requests, stored)
+    return books.select(F.col("id").cast("bigint").alias("id"), "name", "part", "n_chapters", F.md5("content").alias("digest"))
+
+
 def q_merge_chapters(spark, d):
     merged = render.merge_chapters(_chapters(spark, d), ["id"], "\n", final_newline=True)
     return merged.select("id", "part", "n_chapters", "content", F.length("content").alias("chars"), line_count("content").alias("lines"))
@@ -585,6 +610,23 @@ def q_book_members(spark, d):
     return readers.members_to_chapters(members.unionByName(package))
 
 
+def q_tree_listing(spark, d):
+    """One stored listing per brand, a file each, read back as blobs and as catalogue rows."""
+    path = f"{checkpoint_dir(spark)}/quire-listings-{uuid.uuid4().hex}"
+    kind = F.when(F.col("p_size") % 5 == 0, "tree").otherwise("blob")
+    ending = F.when(F.col("p_size") % 2 == 0, ".TXT").otherwise(".md")
+    name = F.concat(F.lit("d/"), F.col("p_partkey").cast("string"), ending)
+    entry = F.struct(name.alias("path"), kind.alias("type"), F.md5("p_name").alias("sha"), F.col("p_size").cast("bigint").alias("size"))
+    listings = table(spark, d, "part").groupBy(F.replace("p_brand", F.lit("#"), F.lit("")).alias("repo")).agg(F.collect_list(entry).alias("tree"))
+    files = listings.select(F.concat("repo", F.lit(".json")).alias("file_name"), F.lit(0).alias("part"), F.to_json(F.struct("tree")).alias("content"))
+    render.write_txt(files, path)
+    blobs = readers.read_tree_listing(spark, path).select(
+        F.regexp_extract("listing", r"([^/]*)\.json\z", 1).alias("repo"), "path", "sha", "size"
+    )
+    repos = listings.select("repo", F.lit("main").alias("branch"), F.lit(None).cast("string").alias("note"), F.lit("").alias("license"))
+    return readers.tree_catalog(blobs, repos).select("id", "title", "url", F.col("extra")["folder"].alias("folder"))
+
+
 def q_file_paths(spark, d):
     from quire.functions.text import base_name, file_title, folder
 

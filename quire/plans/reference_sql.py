@@ -407,4 +407,14 @@ SELECT 'b' || (id % 7) || CASE WHEN k > 0 THEN '(' || k || ')' ELSE '' END || '.
     CASE host WHEN 'h0' THEN left({strip(unescape(tagless("regexp_extract(card, '(?s)<a[^>]*>(.*?)</a>', 1)")))}, 3)
       WHEN 'h1' THEN '' ELSE {one_line(unescape(tagless("regexp_extract(card, '(?s)>(.*)$', 1)")))} END AS label FROM c)
 SELECT page_id, host, CAST(i - 1 AS INT) AS card_idx, id, label FROM v WHERE id <> ''""",
+    "library_scan": """WITH b AS (SELECT conv_id AS id, CASE WHEN count(*) = 1 THEN min(text)
+    ELSE string_agg('=== ' || role || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) || chr(10) END AS content FROM conversations GROUP BY conv_id)
+SELECT 'b' || id || CASE id % 3 WHEN 0 THEN '.txt.part' ELSE '.TXT' END AS rel, octet_length(encode(content)) AS length FROM b WHERE id % 3 < 2""",
+    "get_books": """WITH b AS (SELECT conv_id AS id, count(*) AS n_chapters, CASE WHEN count(*) = 1 THEN min(text)
+    ELSE string_agg('=== ' || role || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) || chr(10) END AS content FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id),
+  n AS (SELECT *, row_number() OVER (PARTITION BY id % 7 ORDER BY sha1('s|' || id)) - 1 AS k FROM b)
+SELECT id, 'b_' || (id % 7) || CASE WHEN k > 0 THEN '(' || k || ')' ELSE '' END || '.txt' AS name, CAST(0 AS BIGINT) AS part, n_chapters, md5(content) AS digest FROM n""",
+    "tree_listing": """SELECT replace(p_brand, '#', '') || ':d/' || p_partkey || '.TXT' AS id, CAST(p_partkey AS VARCHAR) AS title,
+  'https://github.com/' || replace(p_brand, '#', '') || '/blob/main/d/' || p_partkey || '.TXT' AS url, 'd' AS folder
+FROM part WHERE p_size % 5 <> 0 AND p_size % 2 = 0""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,7 +200,7 @@ def scan_library(spark: SparkSession, path: str) -> DataFrame:
         .select("path", "length", "modificationTime")
     )
     name = F.substring_index("path", "/", -1)
-    root = path.rstrip("/") + "/"
+    root = urlparse(path).path.rstrip("/") + "/"  # paths of files have a scheme, and not always as it was given
     rel = F.substring("path", F.instr("path", root) + len(root), F.length("path"))
     return files.filter(
         ~name.startswith(".") & (F.lower(name).rlike(r"\.(?:txt|epub)\z") | name.endswith(".txt.part"))
