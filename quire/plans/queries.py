@@ -28,7 +28,7 @@ from quire.operators import library as lib
 from quire.operators import logs, render, script, segment, snapshots, store
 from quire.operators.ordering import first_per_key
 from quire.session import checkpoint_dir, cut_lineage
-from quire.plans import flows
+from quire.plans import flows, registry
 from quire.sources import readers
 
 ARTICLE = r"(?s)<article[^>]*>(.*?)</article>"
@@ -285,6 +285,33 @@ def q_library_scan(spark, d):
     return readers.scan_library(spark, path).select("rel", "length")
 
 
+def q_library_increment(spark, d):
+    """Two runs over a library folder: the second one has the books that came in between, and none twice."""
+    base = f"{checkpoint_dir(spark)}/quire-library-{uuid.uuid4().hex}"
+    books = render.render_txt(_chapters(spark, d), ["id"]).withColumn("file_name", F.concat(F.lit("b"), F.col("id").cast("string"), F.lit(".txt")))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        found = batch.select("rel", F.md5("content").alias("digest"), F.lit(number).cast("bigint").alias("run"))
+        found.write.mode("overwrite").parquet(f"{base}/found/{number}")
+
+    for some in (F.col("id") % 3 < 2, F.col("id") % 3 == 2):
+        render.write_txt(books.filter(some), f"{base}/library")
+        stream = readers.library_stream(spark, f"{base}/library").writeStream.foreachBatch(keep)
+        stream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/found")
+
+
+def q_read_pages(spark, d):
+    return readers.read_pages(spark, f"{d}/pages.parquet").select("page_id", url_host("url").alias("host"), F.md5("html").alias("digest"))
+
+
+def q_registered_extractor(spark, d):
+    """An extractor of the caller, by name: a page to its title as a catalogue row."""
+    title = F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1)
+    registry.register_extractor("titles", lambda pages: pages.select("page_id", title.alias("title")).filter("title != ''"))
+    return registry.extract("titles", _pages(spark, d))
+
+
 def q_get_books(spark, d):
     """Every second book of a store, asked for by its key; seven titles, so names are numbered."""
     chapters = F.sort_array(F.collect_list(F.struct("chapter_idx", "title", "text")))

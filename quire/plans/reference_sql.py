@@ -417,4 +417,10 @@ SELECT id, 'b_' || (id % 7) || CASE WHEN k > 0 THEN '(' || k || ')' ELSE '' END
     "tree_listing": """SELECT replace(p_brand, '#', '') || ':d/' || p_partkey || '.TXT' AS id, CAST(p_partkey AS VARCHAR) AS title,
   'https://github.com/' || replace(p_brand, '#', '') || '/blob/main/d/' || p_partkey || '.TXT' AS url, 'd' AS folder
 FROM part WHERE p_size % 5 <> 0 AND p_size % 2 = 0""",
+    "library_increment": """WITH b AS (SELECT conv_id AS id, CASE WHEN count(*) = 1 THEN min(text)
+    ELSE string_agg('=== ' || role || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) || chr(10) END AS content FROM conversations GROUP BY conv_id)
+SELECT 'b' || id || '.txt' AS rel, md5(content) AS digest, CAST(CASE WHEN id % 3 = 2 THEN 1 ELSE 0 END AS BIGINT) AS run FROM b""",
+    "read_pages": f"SELECT page_id, {HOST} AS host, md5(html) AS digest FROM pages",
+    "registered_extractor": """SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS title FROM pages
+WHERE regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) <> ''""",
 }

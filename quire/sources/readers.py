@@ -193,15 +193,33 @@ def members_to_chapters(members: DataFrame, spine: DataFrame | None = None) -> D
     )
 
 
-def scan_library(spark: SparkSession, path: str) -> DataFrame:
-    """Book files below a folder: path, size and time only, no content is read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select("path", "length", "modificationTime")
-    )
+def _book_files(files: DataFrame, path: str) -> DataFrame:
+    """Files that are books, with `rel`, their path below the folder."""
     name = F.substring_index("path", "/", -1)
     root = urlparse(path).path.rstrip("/") + "/"  # paths of files have a scheme, and not always as it was given
     rel = F.substring("path", F.instr("path", root) + len(root), F.length("path"))
-    return files.filter(
-        ~name.startswith(".") & (F.lower(name).rlike(r"\.(?:txt|epub)\z") | name.endswith(".txt.part"))
-    ).select(rel.alias("rel"), "length", "modificationTime")
+    is_book = ~name.startswith(".") & (F.lower(name).rlike(r"\.(?:txt|epub)\z") | name.endswith(".txt.part"))
+    return files.filter(is_book).withColumn("rel", rel)
+
+
+def scan_library(spark: SparkSession, path: str) -> DataFrame:
+    """Book files below a folder: path, size and time only, no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return _book_files(files.select("path", "length", "modificationTime"), path).select("rel", "length", "modificationTime")
+
+
+def library_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Book files below a folder as a stream: each file once, with its content, when it is first seen.
+
+    What has been seen is in the checkpoint of the query that reads the stream, so a second run has the new files
+    alone. A file that is written again under its name counts as seen; `library_changes` finds it.
+    """
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
+    return _book_files(files, path).select("rel", "length", "modificationTime", "content")
+
+
+def library_changes(listing: DataFrame, seen: DataFrame) -> DataFrame:
+    """Files of a listing that are new or differ in size or time from what was seen (rel, length, modificationTime)."""
+    keys = ["rel", "length", "modificationTime"]
+    return listing.join(seen.select(*keys).distinct(), keys, "left_anti")

@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -268,3 +270,11 @@ def test_members(spark):
     ]
     plain = rows(readers.members_to_chapters(members).filter("book = 'b'").orderBy("chapter_idx"), "title")
     assert plain == [("A",), ("B",), ("c.html",)]
+
+
+def test_library_changes(spark):
+    schema = "rel string, length long, modificationTime timestamp"
+    day = [datetime(2024, 1, d) for d in (1, 2)]
+    seen = spark.createDataFrame([("a.txt", 1, day[0]), ("b.txt", 1, day[0]), ("gone.txt", 1, day[0])], schema)
+    now = spark.createDataFrame([("a.txt", 1, day[0]), ("b.txt", 1, day[1]), ("c/d.epub", 3, day[0])], schema)
+    assert sorted(rows(readers.library_changes(now, seen), "rel")) == [("b.txt",), ("c/d.epub",)]
