@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
+def release_memory() -> None:
+    """Give what earlier tasks of this worker have freed back to the system: workers are used again, stage after stage."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A fresh folder name in the cluster's shared folder, removed when the driver's file system closes."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/quire-{tag}-{uuid.uuid4().hex}"

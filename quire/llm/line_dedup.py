@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise
+from quire.llm.common import materialise, release_memory
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Keys of a shard, on average.
@@ -207,6 +207,7 @@ def _probed(docs: DataFrame, text_col: str, rows: list[tuple], width: int) -> Da
             kept.append(b"\n".join(stays))
             n.append(len(doc))
             dropped.append(len(doc) - len(stays))
+        release_memory()
         return pa.StructArray.from_arrays(
             [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())],
             ["text", "n_lines", "n_dropped"],

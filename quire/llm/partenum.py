@@ -15,6 +15,7 @@ of them, so a signature that very many sets share reaches a shard once per task.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, components, materialise
+from quire.llm.common import WORD, components, materialise, release_memory
 from quire.llm.wordhash import mix, word_hashes
 
 #: Parts beyond k // 2 + 1. A set in which more parts than this have an empty pair of subparts signs these as well.
@@ -178,6 +179,7 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str, width: int, pe
     bits = max(LEAST_SHARDS - 1, chars // SHARD_CHARS).bit_length()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         sigs, owners, held = [], [], 0
         for batch in batches:
             start, sets, features = 0, [], 0
@@ -232,6 +234,7 @@ def _shared(written: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(rows(names, sigs), ["what", "value"])
 
     def between(table: pa.Table) -> pa.Table:
+        release_memory()
         sigs, names = [], []
         for n, s, p, known in zip(*(table.column(c).to_pylist() for c in ("n", "sigs", "places", "names"))):
             sigs.append(np.cumsum(_restored(s, n, np.uint64), dtype=np.uint64))
@@ -269,6 +272,7 @@ def _chosen_sets(docs: DataFrame, text_col: str, width: int, signed: DataFrame,
     sent = docs.sparkSession.sparkContext.broadcast(_Filter(chosen))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        release_memory()
         seen: set[int] = set()
         for batch in batches:
             texts = batch.column(1).filter(pa.array(sent.value(batch.column(0).to_numpy())))
@@ -349,27 +353,37 @@ class _Sets:
         self.root[roots] = roots.min()
 
 
-def close_sets(sigs: list[np.ndarray], n: np.ndarray, cells: list[bytes], percent: int) -> list[tuple[int, int]]:
+def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of a binary column, without an object for each row."""
+    rows = pa.concat_arrays(column.chunks)
+    _, offsets, data = rows.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return (offsets - offsets[0]) // np.dtype(kind).itemsize, raw[offsets[0] : offsets[-1]].view(kind)
+
+
+def close_sets(starts: np.ndarray, sigs: np.ndarray, n: np.ndarray, places: np.ndarray, cells: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Ties that connect all pairs of sets which share a signature and are within the bounds of sizes and cells.
 
-    Pairs that are connected already are not compared again.
+    Set i has the signatures from starts[i] to starts[i + 1], and the cells from places[i] to places[i + 1]. Pairs
+    that are connected already are not compared again.
     """
-    owner, sig = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs]), np.concatenate(sigs)
-    order = np.argsort(sig, kind="stable")
-    owner, sig = owner[order], sig[order]
+    order = np.argsort(sigs, kind="stable")
+    owner, sig = np.repeat(np.arange(len(n), dtype=np.int32), np.diff(starts))[order], sigs[order]
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     end = np.append(start[1:], len(sig))
-    joined, ties, seen = _Sets(len(sigs)), [], set()
+    several = end - start > 1
+    start, end, wide = start[several], end[several], np.diff(places)
+    del order, sig
+    joined, ties, seen = _Sets(len(n)), [], set()
     for s, e in zip(start.tolist(), end.tolist()):
-        if e - s < 2:
-            continue
-        run = np.unique(owner[s:e])
-        if len(run) < 2 or (known := run.tobytes()) in seen:
+        run = np.unique(owner[s:e]).astype(np.int64)
+        if len(run) < 2 or (known := hashlib.blake2b(run, digest_size=16).digest()) in seen:
             continue  # the same sets were compared under another signature
         seen.add(known)
-        width = len(cells[run[0]])
-        run = run[[len(cells[i]) == width for i in run]]  # another length is another band, met by chance
-        planes = np.frombuffer(b"".join([cells[i] for i in run]), np.uint8).reshape(len(run), PLANES, -1)
+        width = wide[run[0]]
+        run = run[wide[run] == width]  # another length is another band, met by chance
+        planes = cells[places[run][:, None] + np.arange(width)].reshape(len(run), PLANES, -1)
         for i in range(len(run) - 1):
             roots = joined.of(run[i:])
             rest = i + np.flatnonzero(roots != roots[0])
@@ -411,11 +425,16 @@ def candidate_clusters(docs: DataFrame, text_col: str, width: int, percent: int,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["shard", "name", "n", "band", "cells", "sigs"])
 
     def close(table: pa.Table) -> pa.Table:
+        release_memory()
+        names, band, n = (table.column(c).to_numpy() for c in ("name", "band", "n"))
         # a name may come from several tasks; bands can allow equally many differences, so their number tells them apart
-        rows = {(name, band): (n, packed, sigs) for name, n, band, packed, sigs in zip(*(table.column(c).to_pylist() for c in ("name", "n", "band", "cells", "sigs")))}
-        names = [x for x, _ in rows]
-        n, packed, sigs = zip(*rows.values())
-        ties = close_sets([np.frombuffer(x, np.uint64) for x in sigs], np.array(n), list(packed), percent)
+        order = np.lexsort((band, names))
+        again = (np.diff(names[order]) == 0) & (np.diff(band[order]) == 0)
+        if again.any():
+            table = table.take(pa.array(np.sort(order[np.concatenate([[True], ~again])])))
+            names, n = table.column("name").to_numpy(), table.column("n").to_numpy()
+        ties = close_sets(*_flat(table.column("sigs"), np.uint64), n.astype(np.int64), *_flat(table.column("cells"), np.uint8), percent)
+        names = names.tolist()
         pairs = [(names[i], names[j]) for i, j in ties]
         columns = list(zip(*pairs)) or [()] * 2
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
@@ -462,6 +481,7 @@ def verified_links(members: DataFrame, percent: int) -> DataFrame:
     """(a, b, links) from (root, name, features): a forest of the links between names, and (name, null, its links)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for (_, low, high), held in _groups(batches):
             sets = [(block, name, np.frombuffer(raw, np.uint64)) for block, name, raw in held]
             one = [(n, x) for b, n, x in sets if b == low]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise
+from quire.llm.common import materialise, release_memory
 
 #: Bound of the labelled rows the models are fitted on.
 MAX_ROWS = 20_000
@@ -260,7 +260,9 @@ def _evidence(text: Column, model: Model, df: DataFrame) -> Column:
 
     @F.arrow_udf("double")
     def evidence(texts: pa.Array) -> pa.Array:
-        return pa.array(sent.value.evidence(texts.to_pylist()))
+        out = pa.array(sent.value.evidence(texts.to_pylist()))
+        release_memory()
+        return out
 
     return evidence(text)
 
