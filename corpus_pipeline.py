@@ -14,6 +14,8 @@ from quire.llm.common import materialise
 
 #: A document is rejected at this score or above.
 TOXIC = 0.5
+#: Whole texts go to Python, so a batch holds few of them.
+BATCH_ROWS = "1000"
 
 
 def _row(docs: DataFrame) -> DataFrame:
@@ -21,14 +23,20 @@ def _row(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(F.col("*")).alias("row"), "doc_id", "text")
 
 
+def _few_rows(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the score stay. Labels of a fifth of the ids are never learnt from."""
+    _few_rows(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.score_toxicity(_row(docs), labels, score_col="score").filter(F.col("score") < TOXIC).select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more share go; every document stays, with n_chars of what is left."""
+    _few_rows(spark)
     cleaned = line_dedup.drop_common_lines(_row(docs))
     row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
@@ -38,6 +46,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 of their five-word shingles one stays."""
+    _few_rows(spark)
     return partenum.keep_one(docs, width=5, percent=80)
 
 
@@ -55,6 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its packed ids, their number, and the digest of what they decode to."""
+    _few_rows(spark)
     import public_tokenizers
 
     coded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
