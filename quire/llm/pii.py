@@ -9,6 +9,7 @@ then run on the normalised text, and what they find is mapped back to the source
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 import uuid
@@ -203,8 +204,12 @@ def personal_data(text: str | None) -> list[tuple[str, int, int, bool]]:
     plain = list(detect(text))
     found = [(k, s, e, True) for k, s, e in plain]
     if _MARK.search(text):
+        starts = {kind: [s for k, s, _ in plain if k == kind] for kind in KINDS}
+        ends = {kind: [e for k, _, e in plain if k == kind] for kind in KINDS}
         for k, s, e in dict.fromkeys(disguised(text)):
-            if not any(k == pk and ps <= s and e <= pe for pk, ps, pe in plain):
+            # plain spans of a kind do not overlap, so the last that begins before is the only one to hold it
+            at = bisect.bisect_right(starts[k], s) - 1
+            if at < 0 or e > ends[k][at]:
                 found.append((k, s, e, False))
     return sorted(found, key=lambda x: (KINDS.index(x[0]), x[1], x[2], not x[3]))
 
