@@ -15,6 +15,9 @@ from quire.functions.text import as_col, collapse_space, strip
 # The shape of a character reference in HTML 5, and the value of one that is none.
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 _REPLACED = "\ufffd"
+# What sites put after a title, its page of pages, and before an author, the era; both have to go.
+PAGE_MARK = r"\s*（\s*\d+\s*/\s*\d+\s*）\s*$"
+ERA = r"^[（(][^）)]*[）)]"
 #: Below this number references have values of their own, as the standard's table says.
 _PLAIN = 0xA0
 
@@ -92,11 +95,11 @@ def clean_title(c: str | Column) -> Column:
 
 def clean_author(c: str | Column) -> Column:
     """Leading era in brackets removed."""
-    return strip(F.regexp_replace(as_col(c), r"^[（(][^）)]*[）)]", ""))
+    return strip(F.regexp_replace(as_col(c), ERA, ""))
 
 
 def _title_tail(text: Column) -> Column:
-    return strip(F.regexp_replace(strip(text), r"\s*（\s*\d+\s*/\s*\d+\s*）\s*$", ""))
+    return strip(F.regexp_replace(strip(text), PAGE_MARK, ""))
 
 
 #: How the text of an extracted fragment is cleaned once tags and references are resolved.
@@ -108,6 +111,7 @@ CLEANERS = {
     "intro": lambda text: collapse_space(_title_tail(text)),
 }
 
+
 def unescape_array(arr: str | Column) -> Column:
     """References resolved in every element."""
     return F.transform(arr, unescape_html)
