@@ -973,7 +973,7 @@ def q_ingest_stream(spark, d):
     from quire.streaming.ingest import ingest_stream
 
     base = f"{checkpoint_dir(spark)}/quire-ingest-{uuid.uuid4().hex}"
-    pages = spark.readStream.schema(table(spark, d, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+    pages = readers.stream_table(spark, f"{d}/pages.parquet")
     query = ingest_stream(pages, f"{base}/store", f"{base}/checkpoint", ARTICLE)
     query.awaitTermination()
     return store.read_store(spark, f"{base}/store").select("source", F.col("id").cast("bigint").alias("id"), "title", "content")

@@ -38,6 +38,15 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAGES).parquet(path)
 
 
+def stream_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table as a stream of its files, whether its path is a folder or one file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    alone = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+    # a plain path is taken as the base of partition folders, which a file cannot be; a pattern is not
+    pattern = f"{path[:-1]}[{path[-1]}]" if alone else path
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
+
+
 def read_tree_listing(spark: SparkSession, path: str) -> DataFrame:
     """Blob paths of stored repository listings, one listing per file."""
     listing = spark.read.schema(schemas.TREE).json(path, multiLine=True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.operators import library, store
-from quire.plans.queries import ARTICLE
+from quire.plans.queries import ARTICLE, q_ingest_stream
 from quire.streaming import ingest
 
 
@@ -68,6 +68,14 @@ def test_ingest_keeps_pages_without_a_host(spark, tmp_path):
     assert sorted(r["content"] for r in store.read_store(spark, path).collect()) == ["text 1", "text 2", "text 3"]
 
 
+def test_ingest_reads_a_table_of_one_file_and_of_a_folder(spark, tmp_path, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    (tmp_path / "documents.parquet").mkdir()
+    got = [sorted(rows(q_ingest_stream(spark, d), "source", "id", "title", "content")) for d in (sf_dir, str(tmp_path))]
+    assert got[0] == got[1] and len(got[0]) == pages.count()
+
+
 def test_only_a_missing_store_counts_as_empty(spark, tmp_path):
     asked = spark.createDataFrame([("s", "1")], "source string, id string")
     assert store.known_keys(spark, str(tmp_path / "none"), asked, 1).count() == 0
