@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import WORD, components, materialise, release_memory
@@ -40,8 +40,9 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Signatures a task holds before it passes them on; code points of text of a shard of signatures, and fewest shards.
 HELD = 1 << 20
 SHARD_CHARS, LEAST_SHARDS = 16_000_000, 16
-#: The same for shards of cells, which hold a set's cells once for all its signatures there.
-CELL_CHARS, LEAST_CELL_SHARDS = 128_000_000, 8
+#: Signatures of a shard of cells, shared or not, and fewest such shards of a band. A set's cells are in a shard once
+#: for all its signatures there, so shards of one band repeat fewer of them than shards of all bands.
+CELL_SIGNATURES, LEAST_CELL_SHARDS = 1 << 22, 1
 #: Shard number of the rows that hold what is shared within a task.
 TIES = -1
 SIGNED = "id long, text_hash long, n long, name long, shard int, sigs binary, places binary, names binary"
@@ -67,6 +68,14 @@ class Bands:
         """Most differing features of two similar sets whose larger one lies in the band."""
         return 2 * self.ends()[bands] * (100 - self.percent) // (100 + self.percent)
 
+    def parts(self, bands: np.ndarray) -> np.ndarray:
+        return self.differences(bands) // 2 + 1 + SLACK
+
+    def column(self, size: Column) -> Column:
+        """`of` a column of sizes."""
+        ends = F.array(*[F.lit(end).cast("long") for end in self.ends().tolist()])
+        return F.size(F.filter(ends, lambda end: end < size))
+
 
 def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than `width` are one shingle, no words none."""
@@ -101,10 +110,10 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[list[tuple[np.ndarr
     jobs = [(i, b) for i in np.flatnonzero(sizes).tolist() for b in range(lowest[i], highest[i] + 1)]
     out: list[list[tuple[np.ndarray, int, bytes]]] = [[] for _ in sets]
     k = bands.differences(np.array([b for _, b in jobs], np.int64)) if jobs else np.zeros(0, np.int64)
-    jobs, k = [j for j, x in zip(jobs, k) if x], k[k > 0]  # without a difference only equal sets are similar
+    jobs = [j for j, x in zip(jobs, k) if x]  # without a difference only equal sets are similar
     if not jobs:
         return out
-    parts = k // 2 + 1 + SLACK
+    parts = bands.parts(np.array([b for _, b in jobs], np.int64))
     offset = np.concatenate([[0], np.cumsum(parts * 3)])
     features = np.concatenate([sets[i] for i, _ in jobs])
     lengths = sizes[[i for i, _ in jobs]]
@@ -353,13 +362,30 @@ class _Sets:
         self.root[roots] = roots.min()
 
 
-def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, values) of a binary column, without an object for each row."""
-    rows = pa.concat_arrays(column.chunks)
+def _flat(rows: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, values) of a binary column, without an object for each row."""
     _, offsets, data = rows.buffers()
     offsets = np.frombuffer(offsets, np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
-    return (offsets - offsets[0]) // np.dtype(kind).itemsize, raw[offsets[0] : offsets[-1]].view(kind)
+    return np.diff(offsets) // np.dtype(kind).itemsize, raw[offsets[0] : offsets[-1]].copy().view(kind)
+
+
+def _joined(pieces: list[np.ndarray]) -> np.ndarray:
+    out = np.concatenate(pieces)
+    pieces.clear()  # what is joined is not held twice
+    return out
+
+
+def cell_shards(sizes: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per band the number of its shards of cells and the number of its first one, for the sets' sizes (n)."""
+    bands = Bands(percent)
+    low, high = bands.column(F.col("n")), bands.column(F.expr(f"n * 100 div {percent}"))
+    sets = np.zeros(len(bands.ends()), np.int64)
+    for r in sizes.groupBy(low.alias("low"), high.alias("high")).count().collect():  # a row or two per band
+        sets[r["low"] : r["high"] + 1] += r["count"]
+    signed = sets * bands.parts(np.arange(len(sets))) * len(PAIRS)
+    shards = np.maximum(LEAST_CELL_SHARDS, -(-signed // CELL_SIGNATURES))
+    return shards, np.cumsum(shards) - shards
 
 
 def close_sets(starts: np.ndarray, sigs: np.ndarray, n: np.ndarray, places: np.ndarray, cells: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -382,7 +408,7 @@ def close_sets(starts: np.ndarray, sigs: np.ndarray, n: np.ndarray, places: np.n
             continue  # the same sets were compared under another signature
         seen.add(known)
         width = wide[run[0]]
-        run = run[wide[run] == width]  # another length is another band, met by chance
+        run = run[wide[run] == width]  # another length is another band
         planes = cells[places[run][:, None] + np.arange(width)].reshape(len(run), PLANES, -1)
         for i in range(len(run) - 1):
             roots = joined.of(run[i:])
@@ -407,8 +433,8 @@ def candidate_clusters(docs: DataFrame, text_col: str, width: int, percent: int,
     texts, sets = _chosen_sets(docs, text_col, width, signed, names)
     tied = docs.sparkSession.sparkContext.broadcast(_Filter(shared.filter("what = 1").select("value")))
 
-    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    bits = max(LEAST_CELL_SHARDS - 1, chars // CELL_CHARS).bit_length()
+    distinct = signed.join(names, "name").select("name", "n").distinct()
+    count, first = cell_shards(distinct, percent)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for of, features in sets(batches):
@@ -416,30 +442,36 @@ def candidate_clusters(docs: DataFrame, text_col: str, width: int, percent: int,
             for name, x, bands in zip(of, features, signatures(features, percent)):
                 for sigs, band, packed in bands:
                     sigs = np.sort(sigs[tied.value(sigs.view(np.int64))])
-                    shard = (sigs >> np.uint64(64 - bits)).astype(np.int64)
+                    # the upper half of a signature, scaled to the number of shards, keeps their order
+                    shard = first[band] + ((sigs >> np.uint64(32)).astype(np.int64) * count[band] >> 32)
                     cut = np.flatnonzero(np.diff(shard, prepend=-1))
                     for s, e in zip(cut, np.append(cut[1:], len(sigs))):
-                        rows.append((int(shard[s]), name, len(x), band, packed, sigs[s:e].tobytes()))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["shard", "name", "n", "band", "cells", "sigs"])
+                        rows.append((int(shard[s]), name, len(x), packed, sigs[s:e].tobytes()))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["shard", "name", "n", "cells", "sigs"])
 
-    def close(table: pa.Table) -> pa.Table:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        names, band, n = (table.column(c).to_numpy() for c in ("name", "band", "n"))
-        # a name may come from several tasks; bands can allow equally many differences, so their number tells them apart
-        order = np.lexsort((band, names))
-        again = (np.diff(names[order]) == 0) & (np.diff(band[order]) == 0)
-        if again.any():
-            table = table.take(pa.array(np.sort(order[np.concatenate([[True], ~again])])))
-            names, n = table.column("name").to_numpy(), table.column("n").to_numpy()
-        ties = close_sets(*_flat(table.column("sigs"), np.uint64), n.astype(np.int64), *_flat(table.column("cells"), np.uint8), percent)
-        names = names.tolist()
-        pairs = [(names[i], names[j]) for i, j in ties]
-        columns = list(zip(*pairs)) or [()] * 2
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
-
-    rows = texts.mapInArrow(cells, "shard int, name long, n int, band int, cells binary, sigs binary")
+        held: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for batch in batches:
+            columns = [batch.column(c).to_numpy().copy() for c in ("name", "n")]
+            for c, kind in (("cells", np.uint8), ("sigs", np.uint64)):
+                columns += _flat(batch.column(c), kind)
+            for pieces, column in zip(held, columns):
+                pieces.append(column)
+        names, n, wide, planes, signed_by, sigs = map(_joined, held)
+        once = np.unique(names, return_index=True)[1]
+        if len(once) < len(names):  # a name may come from several tasks
+            one = np.zeros(len(names), bool)
+            one[once] = True
+            planes, sigs = planes[np.repeat(one, wide)], sigs[np.repeat(one, signed_by)]
+            names, n, wide, signed_by = names[one], n[one], wide[one], signed_by[one]
+        starts, places = (np.concatenate([[0], np.cumsum(x)]) for x in (signed_by, wide))
+        ties = np.array(close_sets(starts, sigs, n.astype(np.int64), places, planes, percent), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(names[ties[:, c]]) for c in (0, 1)], ["a", "b"])
+
+    rows = texts.mapInArrow(cells, "shard int, name long, n int, cells binary, sigs binary")
     return materialise(components(rows.groupBy("shard").applyInArrow(close, "a long, b long")), "clusters")
 
 

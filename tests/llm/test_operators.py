@@ -496,6 +496,20 @@ def test_jaccard_bands_of_one_difference(spark, monkeypatch, shards):
         assert got[i].n_links == sum(100 * len(s & o) >= 90 * len(s | o) for o in sets) - 1
 
 
+def test_shards_of_cells_hold_one_band_and_a_bounded_number_of_signatures(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "CELL_SIGNATURES", 500)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(1 << 62, size=n).astype(np.uint64)) for n in [30] * 60 + [400] * 20 + [5000]]
+    sizes = spark.createDataFrame([(len(x),) for x in sets], "n long")
+    count, first = partenum.cell_shards(sizes, 80)
+    signed = np.zeros(len(count), np.int64)
+    for found in partenum.signatures(sets, 80):
+        for sigs, band, _ in found:
+            signed[band] += len(sigs)
+    assert (np.flatnonzero(count > 1) == np.flatnonzero(signed > 500)).all() and (signed <= 500 * count).all()
+    assert first[0] == 0 and (first[1:] == (first + count)[:-1]).all()
+
+
 def test_keep_one(docs, rows, none):
     kept = partenum.keep_one(docs)
     assert kept.columns == docs.columns
