@@ -27,7 +27,7 @@ from quire.operators import extract as ex
 from quire.operators import library as lib
 from quire.operators import logs, render, script, segment, snapshots, store
 from quire.operators.ordering import first_per_key
-from quire.session import checkpoint_dir, cut_lineage
+from quire.session import checkpoint_dir, cut_lineage, spread
 from quire.plans import flows, registry
 from quire.sources import readers
 
@@ -130,7 +130,7 @@ def q_main_text(spark, d):
 
 
 def q_page_sections(spark, d):
-    return ex.html_chapters(_pages(spark, d), levels=("h1",))
+    return ex.html_chapters(spread(_pages(spark, d)), levels=("h1",))
 
 
 def q_page_stats(spark, d):
@@ -777,7 +777,8 @@ def q_page_subsections(spark, d):
         F.lit("<p>lead</p><h2>"), name, F.lit("</h2><p>"), F.col("p_type"), F.lit('</p><div class="navbox"><div>x</div><p>no</p></div>'),
         F.lit("<h3>二</h3><ul><li>"), F.col("p_brand"), F.lit("</li></ul><h4>目錄</h4><p>list</p><h4>last</h4><p>"), name, F.lit("<br/>z</p>"),
     )
-    return ex.html_chapters(table(spark, d, "part").select("p_partkey", html.alias("html")))
+    part = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand"))
+    return ex.html_chapters(part.select("p_partkey", html.alias("html")))
 
 
 def q_card_defaults(spark, d):

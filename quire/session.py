@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Only settings that change correctness or the handling of skew; sizes belong to the cluster.
 SETTINGS = {
@@ -71,3 +71,13 @@ def cut_lineage(df):
     """Materialise in the shared checkpoint folder, so that a lost executor does not redo the past."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a table of few files over all cores, for work that costs far more than their bytes.
+
+    A file of one row group is read by one task, however many rows it has. Rows of at least as many files as there are
+    cores stay where they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(4 * cores)

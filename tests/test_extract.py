@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions.html import strip_tags
 from quire.operators import extract as ex
 from quire.operators.segment import with_heading_chapters
+from quire.plans.queries import q_page_sections, q_page_subsections
 
 
 def pages(spark, *html):
@@ -163,3 +164,9 @@ def test_rules_of_a_table(spark):
         ("a", 0, "1", {"text": "one &"}), ("a", 2, "22", {"text": "x"}), ("b", 0, "z", {"n": "7"}), ("b", 1, "y", {"n": "8"}),
     ]
     assert ex.extract_by_rules(pages, rules.limit(0)).count() == 0
+
+
+def test_pages_of_one_file_are_cut_by_all_cores(spark, sf_dir):
+    for query, key in ((q_page_subsections, "p_partkey"), (q_page_sections, "page_id")):
+        at = query(spark, sf_dir).select(key, F.spark_partition_id().alias("task")).distinct()
+        assert at.select("task").distinct().count() >= spark.sparkContext.defaultParallelism
