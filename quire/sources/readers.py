@@ -222,7 +222,11 @@ def library_stream(spark: SparkSession, path: str) -> DataFrame:
 
     What has been seen is in the checkpoint of the query that reads the stream, so a second run has the new files
     alone. A file that is written again under its name counts as seen; `library_changes` finds it.
+
+    Spark lists the new files of a batch one by one and by default with a task for each, up to 10,000, which take
+    longer than the reading; the session is set to a few tasks a core instead.
     """
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
     return _book_files(files, path).select("rel", "length", "modificationTime", "content")

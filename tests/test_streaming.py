@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire import schemas
 from quire.operators import library, store
 from quire.plans.queries import ARTICLE, q_ingest_stream
+from quire.sources import readers
 from quire.streaming import ingest
 
 
@@ -81,3 +82,17 @@ def test_only_a_missing_store_counts_as_empty(spark, tmp_path):
     assert store.known_keys(spark, str(tmp_path / "none"), asked, 1).count() == 0
     with pytest.raises(Exception):
         store.known_keys(spark, "nosuchscheme://x/y", asked, 1)
+
+
+def test_a_library_of_many_files_is_listed_by_a_few_tasks_a_core(spark, tmp_path):
+    library = tmp_path / "library"
+    library.mkdir()
+    for i in range(80):
+        (library / f"b{i}.txt").write_text(f"text {i}")
+    found = readers.library_stream(spark, str(library)).writeStream.foreachBatch(lambda batch, _: batch.write.parquet(str(tmp_path / "found")))
+    query = found.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "found")).select("rel").distinct().count() == 80
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
