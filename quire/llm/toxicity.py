@@ -187,11 +187,23 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         return 0.0, float(np.log(share / (1 - share))) if len(y) else -50.0
     mean, sd = x.mean(), max(x.std(), 1e-9)
     a, w = np.stack([(x - mean) / sd, np.ones_like(x)], 1), np.array([0.0, np.log(share / (1 - share))])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5e-2 * w[0] ** 2)
+
+    at, fallen = loss(w), True
+    while fallen:
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
         slope = a.T @ (p - y) + np.array([1e-2 * w[0], 0])
         curve = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-2, 1e-6])
-        w = w - np.clip(np.linalg.solve(curve, slope), -2, 2)
+        step = np.linalg.solve(curve, slope)
+        # a whole step may overshoot where one class lies close and the other is spread: halve it until the loss falls
+        tries = (w - step / 2**k for k in range(40))
+        after = next((v for v in tries if loss(v) < at - 1e-9 * (1 + at)), None)
+        fallen = after is not None
+        if fallen:
+            w, at = after, loss(after)
     return float(w[0] / sd), float(w[1] - w[0] * mean / sd)
 
 

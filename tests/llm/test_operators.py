@@ -286,6 +286,24 @@ def test_toxicity_of_unseen_expressions():
     assert np.allclose(got, want, atol=1e-4) and np.abs(got[unseen]).max() > 0.1
 
 
+def test_toxicity_curve_ends_at_its_least_loss():
+    """Clean texts lie close, with a tail of long ones far below, toxic ones are spread: whole Newton steps swing to and fro."""
+    rng = np.random.default_rng(5)
+    clean = np.concatenate([rng.normal(-0.3, 0.3, 4400), -rng.exponential(40, 200)])
+    toxic = 0.6 + rng.gamma(2, 1.4, 500)
+    x, y = np.concatenate([clean, toxic]), np.repeat([0, 1], [len(clean), len(toxic)])
+    slope, offset = toxicity._logistic(x, y)
+    predicted = slope * x + offset >= 0
+    assert predicted[y == 1].mean() > 0.9 and predicted[y == 0].mean() < 0.01
+
+    def loss(a, b):
+        z = a * x + b
+        return np.logaddexp(0, z).sum() - y @ z + 0.5e-2 * (a * x.std()) ** 2
+
+    least = loss(slope, offset)
+    assert all(least <= loss(slope * f, offset * g) + 1e-6 for f in (0.98, 1, 1.02) for g in (0.98, 1, 1.02))
+
+
 # ---- 5 exact dedup --------------------------------------------------------------------------------------------
 
 def check_exact(rows, got):
