@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import release_memory
+
 #: Most parts of a word whose ranks are scanned.
 SCAN = 256
 #: Most words, with and without punctuation, that a worker remembers; beyond it the memory starts anew.
@@ -213,7 +215,9 @@ def encode(text: Column, path: str) -> Column:
     @F.arrow_udf("binary")
     def encoded(texts: pa.Array) -> pa.Array:
         codec = _codec(spec)
-        return pa.array(codec.encode(texts.to_pylist()), pa.binary())
+        out = pa.array(codec.encode(texts.to_pylist()), pa.binary())
+        release_memory()
+        return out
 
     return encoded(text)
 
